@@ -40,6 +40,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    out = judged(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return out.select("doc_id", *(F.col(f"_f.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import digests
 
@@ -50,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_store": op10_token_store,
 }
 

@@ -1,8 +1,8 @@
 """Tokenising whole documents with the tokenizers library, each distinct chunk once per batch.
 
 A text is cut where both vocabularies' own pre-tokenizers cut as well: before white space that follows a character
-other than white space, and between an ASCII letter and ASCII punctuation (apostrophes aside, since contractions are
-one piece). The ids of a text are then the ids of its chunks in order, so each distinct chunk is encoded once and the
+other than white space, and between a letter (ASCII or Latin-1) and ASCII punctuation (apostrophes aside, since
+contractions are one piece). The ids of a text are then the ids of its chunks in order, so each distinct chunk is encoded once and the
 rest is a gather over numpy arrays. Texts with other white space than ASCII are encoded whole.
 """
 
@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Distinct chunks that a Python worker remembers; beyond it those met in one slice only are forgotten.
+REMEMBERED = 500_000
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 SPACE, LETTER, PUNCTUATION = 1, 2, 3
 _CLASS = np.zeros(256, np.uint8)
@@ -53,6 +54,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def classes(data: np.ndarray) -> np.ndarray:
+    """Class of each byte of UTF-8 text; 0 for what isn't known to be a space, letter or punctuation."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, letters but for two signs
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = LETTER
+    kind[lead + 1] = LETTER
+    return kind
+
+
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Strings between consecutive offsets of data."""
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data))
@@ -67,31 +78,47 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.forget()
+        self._empty()
 
     def forget(self) -> None:
+        """Keep the chunks met in two slices or more since the last time."""
+        keep = np.flatnonzero(self.met[: len(self.known)] > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = keep[:0]
+        words = list(self.known)
+        sizes = self.lengths[keep]
+        ends = np.cumsum(sizes)
+        used = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(used)]
+        self._empty()
+        self._add([words[k] for k in keep], ids, sizes)
+
+    def _empty(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ids = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
+        self.met = np.zeros(1 << 12, np.int32)
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, last, total = len(self.known), len(self.known) + len(words), len(ids)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while last > len(self.starts):
+            self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
+        self.ids[self.used : self.used + total] = ids
+        self.lengths[first:last] = sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.known.update(zip(words, range(first, last), strict=True))
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = len(self.known), int(sizes.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(part) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.ids[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
-            self.lengths[first : first + len(part)] = sizes
-            self.starts[first : first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+            self._add(part, np.fromiter(chain.from_iterable(ids), self.ids.dtype, int(sizes.sum())), sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text's ids."""
@@ -108,7 +135,7 @@ class ChunkEncoder:
         data, rows = raw(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        kind = _CLASS[data]
+        kind = classes(data)
         before = np.concatenate([[0], kind[:-1]])
         cut = ((kind == SPACE) & (before != SPACE)) | ((kind == LETTER) & (before == PUNCTUATION)) | ((kind == PUNCTUATION) & (before == LETTER))
         cut[rows[:-1][rows[:-1] < len(data)]] = True
@@ -118,7 +145,9 @@ class ChunkEncoder:
         if len(self.known) + len(words) > REMEMBERED:
             self.forget()
         self._learn([w for w in words if w not in self.known])
-        slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
+        slots = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.met[slots] += 1
+        slot = slots[np.asarray(coded.indices)]
         sizes = self.lengths[slot]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[slot] - (ends - sizes), sizes) + np.arange(ends[-1])]
