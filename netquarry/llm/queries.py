@@ -40,6 +40,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, listed, spanned
+
+    out = spanned(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = {f"n_{k}": F.size(F.filter("_base", lambda x, i=i: x["k"] == i)).cast("long") for i, k in enumerate(KINDS[:4])}
+    return out.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_store": op10_token_store,
 }
