@@ -92,15 +92,14 @@ class Snapshot:
         return theirs.join(mine, ["digest", "text"]).select("digest", "keep_id", "n")
 
 
-def dedupe(docs: DataFrame, is_new: Column) -> DataFrame:
-    """Rows of docs with keep_id, group_size, kept and text_sha256, in two batches: a snapshot and what comes after it.
+def labels(docs: DataFrame, is_new: Column, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns carry of docs with keep_id, group_size, kept and text_sha256, in two batches: a snapshot and what comes after it.
 
     is_new tells the batch of each row; null counts as the snapshot's. A null text counts as empty. Of equal texts the
     row with the largest doc_id stays; of rows that share it too all do, and a null doc_id stays only if its group has no
     other (keep_id is then null). An empty table gives no row. Two texts of one digest, should they ever be found, end
     the run with an error.
     """
-    names = docs.columns
     batched = docs.select("doc_id", "text", F.coalesce(is_new, F.lit(False)).alias("_new"))
     groups = scratch.save(grouped(batched, "_new"), "groups")
     old, new = (groups.filter(F.col("_new") == x).drop("_new") for x in (False, True))
@@ -118,8 +117,14 @@ def dedupe(docs: DataFrame, is_new: Column) -> DataFrame:
     clash = F.raise_error(F.lit("two texts share a digest")).cast("long")
     bad = (F.col("old") > 1) | (F.col("new") > 1) | ((F.col("old") + F.col("new") == 2) & (F.col("found") != 1))
     info = scratch.save(joined.select("digest", "keep_id", F.when(bad, clash).otherwise(F.col("group_size")).alias("group_size")).filter("group_size > 1"), "dup-groups")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return labelled(rows, info).select("_row.*", F.when(F.col("group_size").isNull(), F.col("_row.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("group_size").isNull(), True).otherwise(F.col("_row.doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", *carry)))).alias("_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return labelled(rows, info).select(*(F.col(f"_row.`{c}`") for c in carry), F.when(F.col("group_size").isNull(), F.col("_row.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("group_size").isNull(), True).otherwise(F.col("_row.doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+
+
+def dedupe(docs: DataFrame, is_new: Column) -> DataFrame:
+    """The rows of docs that stay, with docs' columns."""
+    held = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_row", "doc_id", "text")
+    return labels(held, is_new, ("_row",)).filter("kept").select("_row.*")
 
 
 def labelled(rows: DataFrame, info: DataFrame) -> DataFrame:

@@ -47,10 +47,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import dedupe
+    from .exact_dedup import labels
 
-    out = dedupe(documents(spark, sf_dir).select("doc_id", "text"), F.xxhash64("doc_id") % 2 == 0)
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return labels(documents(spark, sf_dir).select("doc_id", "text"), F.xxhash64("doc_id") % 2 == 0)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
