@@ -9,8 +9,8 @@ rest is a gather over numpy arrays. Texts with other white space than ASCII are
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Distinct chunks that a Python worker remembers; beyond it those met in one slice only are forgotten.
 REMEMBERED = 500_000
+#: Chunks that are joined by a separator and encoded in one call.
+JOINED = 2000
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
@@ -78,6 +80,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        # A separator that is a piece and an id of its own between chunks free of what could join it.
+        self.separator, self.unsafe = "\n", re.compile("[\t\n\x0b\x0c\r]|  | $")
+        if len(self._one("\n")) != 1:
+            self.separator, self.unsafe = "7", re.compile("7")
+        self.mark = self._one(self.separator)[0]
         self._empty()
 
     def forget(self) -> None:
@@ -95,7 +103,7 @@ class ChunkEncoder:
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.ids = np.zeros(1 << 16, np.uint32 if self.wide else np.uint16)
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
@@ -113,34 +121,72 @@ class ChunkEncoder:
         self.used += total
         self.known.update(zip(words, range(first, last), strict=True))
 
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Words that may be joined are encoded many in a call."""
+        alone = [i for i, w in enumerate(words) if self.unsafe.search(w)]
+        ids = dict(zip(alone, self._each([words[i] for i in alone]), strict=True))
+        joined = [w for i, w in enumerate(words) if i not in ids] if ids else words
+        blocks = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
+        parts, sizes = [], []
+        for block, part in zip(blocks, self._each([self.separator.join([*b, ""]) for b in blocks]), strict=True):
+            at = np.flatnonzero(part == self.mark)
+            if len(at) != len(block):
+                each = self._each(block)
+                parts.append(np.concatenate(each))
+                sizes.append(np.array([len(x) for x in each]))
+            else:
+                parts.append(np.delete(part, at))
+                sizes.append(np.diff(at, prepend=-1) - 1)
+        flat = np.concatenate([*parts, np.zeros(0, np.uint32)])
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
+        if ids:
+            ends = np.concatenate([[0], np.cumsum(size)])
+            where = np.array(alone) - np.arange(len(alone))  # among the joined words, the one that each stands before
+            at = np.repeat(ends[where], [len(ids[i]) for i in alone])
+            flat = np.insert(flat, at, np.concatenate([ids[i] for i in alone]))
+            size = np.insert(size, where, [len(ids[i]) for i in alone])
+        return flat, size
+
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Rows whose ids aren't those of their chunks."""
+        return np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _ODD_SPACE)))
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Chunks of all texts, where each starts and where the texts do."""
+        data, rows = raw(texts)
+        kind = classes(data)
+        before = np.concatenate([[0], kind[:-1]]) if len(data) else kind
+        cut = ((kind == SPACE) & (before != SPACE)) | ((kind == LETTER) & (before == PUNCTUATION)) | ((kind == PUNCTUATION) & (before == LETTER))
+        cut[rows[:-1][rows[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        return strings(data, np.append(starts, len(data))), starts, rows
+
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add(part, np.fromiter(chain.from_iterable(ids), self.ids.dtype, int(sizes.sum())), sizes)
+            self._add(words[at : at + 20_000], *self._ids_of(words[at : at + 20_000]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text's ids."""
         texts = pc.fill_null(texts, "")
-        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _ODD_SPACE)))
+        odd = self._odd(texts)
         if len(odd):
             plain = texts.to_pylist()
-            whole = {int(i): np.array(e.ids, np.uint32) for i, e in zip(odd, self.tokenizer.encode_batch_fast([plain[i] for i in odd], add_special_tokens=False), strict=True)}
+            whole = dict(zip(odd.tolist(), self._each([plain[i] for i in odd]), strict=True))
             for i in odd:
                 plain[i] = ""
             ids, offsets = self.encode(pa.array(plain, pa.string()))
             parts = [whole.get(i, ids[offsets[i] : offsets[i + 1]]) for i in range(len(plain))]
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        data, rows = raw(texts)
-        if not len(data):
+        pieces, starts, rows = self._cut(texts)
+        if not len(pieces):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        kind = classes(data)
-        before = np.concatenate([[0], kind[:-1]])
-        cut = ((kind == SPACE) & (before != SPACE)) | ((kind == LETTER) & (before == PUNCTUATION)) | ((kind == PUNCTUATION) & (before == LETTER))
-        cut[rows[:-1][rows[:-1] < len(data)]] = True
-        starts = np.flatnonzero(cut)
-        coded = strings(data, np.append(starts, len(data))).dictionary_encode()
+        coded = pieces.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) + len(words) > REMEMBERED:
             self.forget()
