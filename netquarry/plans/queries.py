@@ -1,4 +1,294 @@
 """The registered queries and the SQL each must equal."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import netmath
+from ..functions.addresses import addresses
+from ..operators import index as ix
+from ..operators import search, stats, templates
+from ..sources import lines as src
+from ..sources import store, terms
+from ..streaming import live
+from . import oracle
+
+SYNTHETIC_TEXT = """concat('src=10.', user_id % 4, '.', event_id % 16, '.', event_id % 32, ' dst=192.168.1.', user_id % 10,
+    ' mac=02:00:00:00:00:', lpad(lower(hex(event_id % 256)), 2, '0'), ' v6=2001:db8::', lower(hex(user_id)))"""
+TERMS = "10.1.2.3,192.168.1.7,02:00:00:00:00:0a,2001:db8::1f,192.168.1.7,10.9.9.9,2001:DB8::1F,10.1"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with one line for each event."""
+    return table(spark, sf_dir, "events").select(F.lit("synthetic.log").alias("file"), (F.col("event_id") + 1).alias("line_no"), F.expr(SYNTHETIC_TEXT).alias("text"))
+
+
+def text_lines(spark: SparkSession, sf_dir: str, name: str, text: str, file: str) -> DataFrame:
+    return src.column_lines(table(spark, sf_dir, name), text, file)
+
+
+def _index(found: DataFrame, *keys: str) -> DataFrame:
+    return store.format_records(ix.build_index(found, per_file="file" in keys)).select(*keys, "address", "kind", "n", "record")
+
+
+def ipv4_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ix.occurrences(text_lines(spark, sf_dir, "documents", "text", "doc_id"), kinds=["ipv4"])
+    return ix.by_count(_index(found))
+
+
+def ipv4_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.by_count(_index(ix.occurrences(text_lines(spark, sf_dir, "pages", "html", "page_id"), kinds=["ipv4"])))
+
+
+def synth_index(*kinds: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: ix.by_count(_index(ix.occurrences(synthetic(spark, sf_dir), kinds=kinds)))
+
+
+def index_records_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(ix.occurrences(synthetic(spark, sf_dir)), "file").select("file", "record")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text records of both forms, the older without fields."""
+    index = store.format_records(ix.build_index(ix.occurrences(synthetic(spark, sf_dir)), per_file=True))
+    old = F.concat_ws(",", "address", F.col("n").cast("string"), F.array_join(F.transform("locations", lambda x: x["line"].cast("string")), ","))
+    return index.select(F.lit("new").alias("form"), F.col("record").alias("value")).unionByName(index.select(F.lit("old").alias("form"), old.alias("value")))
+
+
+def index_record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = store.parse_records(_records(spark, sf_dir))
+    return parsed.select("form", "address", "n", F.explode("locations").alias("x")).select("form", "address", "n", "x.line", "x.field")
+
+
+def combined_index_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [src.column_lines(table(spark, sf_dir, t), c, F.lit(t)) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
+    found = ix.occurrences(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    by_file = ix.counts(found, "file", "address", "kind")
+    return by_file.groupBy("address", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))
+
+
+def per_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(ix.occurrences(text_lines(spark, sf_dir, "documents", "text", "source")), "file")
+
+
+def address_count_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.count_by_kind(ix.occurrences(synthetic(spark, sf_dir)))
+
+
+def distinct_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distinct_addresses(ix.occurrences(synthetic(spark, sf_dir)))
+
+
+def line_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.line_lengths(text_lines(spark, sf_dir, "documents", "text", "source"), "file").withColumn("avg_bytes", F.round("avg_bytes", 6))
+
+
+def addresses_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.kinds_per_line(synthetic(spark, sf_dir)).drop("text")
+
+
+def line_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.template_counts(synthetic(spark, sf_dir).unionByName(text_lines(spark, sf_dir, "documents", "text", "doc_id")))
+
+
+def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = synthetic(spark, sf_dir).unionByName(text_lines(spark, sf_dir, "documents", "text", "doc_id"))
+    wanted = spark.createDataFrame([("%i",), ("%i%i",), ("%i%i%m%I",), ("%i",)], "template string")
+    return templates.match(every, wanted).groupBy("template").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"))
+
+
+def _per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.postings(ix.occurrences(synthetic(spark, sf_dir)))
+
+
+def search_terms_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hits(_per_file(spark, sf_dir), terms.argument_terms(spark, TERMS))
+
+
+def search_quick_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir)), "file", "address", "kind")
+    return search.quick(index, terms.argument_terms(spark, TERMS))
+
+
+def search_retrieve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.retrieve(synthetic(spark, sf_dir), search_terms_exact(spark, sf_dir))
+
+
+def search_retrieve_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.retrieve(synthetic(spark, sf_dir), search_terms_exact(spark, sf_dir), distinct=True)
+
+
+def search_terms_file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms as from a file with repeated lines: every third user's address, from the events themselves."""
+    listed = table(spark, sf_dir, "events").select(F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") * 3))).alias("term"))
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir)), "file", "address", "kind")
+    return search.quick(index, listed)
+
+
+def search_missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir)), "address")
+    return search.missing(index, terms.argument_terms(spark, TERMS))
+
+
+def normalize_ipv4_leading_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat('at 010.', lpad(user_id % 4, 3, '0'), '.', lpad(event_id % 16, 2, '0'), '.00', event_id % 8, ' end')")
+    found = ix.occurrences(table(spark, sf_dir, "events").select(F.lit("zeros.log").alias("file"), (F.col("event_id") + 1).alias("line_no"), text.alias("text")))
+    return ix.counts(found)
+
+
+def normalize_mac_dash_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat('hw 0A-', lpad(hex(user_id % 256), 2, '0'), '-AA-BB-CC-', lpad(hex(event_id % 256), 2, '0'), ' up')")
+    found = ix.occurrences(table(spark, sf_dir, "events").select(F.lit("dash.log").alias("file"), (F.col("event_id") + 1).alias("line_no"), text.alias("text")))
+    return ix.counts(found)
+
+
+def long_line_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one line: those over the limit give nothing, with the limit off they do."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.size(addresses("text")).alias("n_limited"), F.size(addresses("text", max_line_bytes=None)).alias("n_whole"))
+    return d.filter((F.col("bytes") > 8191) | (F.col("n_whole") > 0))
+
+
+def max_addresses_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of a type in one line, which has far more than the 256 addresses that a line can give."""
+    quad = F.expr("concat('10.', user_id % 200, '.', event_id % 250, '.', event_id % 16)")
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", quad.alias("q")))).alias("e"))
+    line = F.array_join(F.transform("e", lambda x: x["q"]), " ")
+    return rows.select("event_type", addresses(line, max_line_bytes=None).alias("a")).select("event_type", F.size("a").alias("n"), F.get("a", F.lit(0))["address"].alias("first"), F.element_at("a", -1)["address"].alias("last"))
+
+
+def top_talkers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.top(ix.counts(ix.occurrences(synthetic(spark, sf_dir))), 10)
+
+
+def cidr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir), kinds=["ipv4"]))
+    return index.filter(netmath.in_network(F.col("address"), "10.2.0.0/15"))
+
+
+def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir), kinds=["ipv4"]))
+    return index.filter(netmath.in_range(F.col("address"), "10.1.3.0", "192.168.1.4"))
+
+
+def numeric_ip_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal counts in order of the address as a number, not as text."""
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir), kinds=["ipv4"])).withColumn("number", netmath.ipv4_number(F.col("address")))
+    return index.select("address", "n", "number", netmath.ipv4_text(F.col("number")).alias("text")).orderBy(F.desc("n"), "number")
+
+
+def mac_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ix.occurrences(synthetic(spark, sf_dir), kinds=["mac"])
+    return found.groupBy(netmath.maker(F.col("address")).alias("maker")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_index_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the synthetic log read as a stream, all that there is now."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    place = f"{root}/netquarry-stream-{uuid.uuid4().hex}"
+    out = live.live_counts(events.select(F.expr(SYNTHETIC_TEXT).alias("text")))
+    write = out.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{place}/state")
+    run = write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/counts")).start()
+    run.awaitTermination()
+    return spark.read.schema("address string, kind string, n long").parquet(f"{place}/counts")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "ipv4_index_documents": ipv4_index_documents,
+    "ipv4_index_pages": ipv4_index_pages,
+    "synth_index_ipv4": synth_index("ipv4"),
+    "synth_index_mac": synth_index("mac"),
+    "synth_index_ipv6": synth_index("ipv6"),
+    "synth_index_all": synth_index(),
+    "index_records_text": index_records_text,
+    "index_record_parse": index_record_parse,
+    "combined_index_multi_source": combined_index_multi_source,
+    "per_file_index": per_file_index,
+    "address_count_by_kind": address_count_by_kind,
+    "distinct_addresses": distinct_addresses,
+    "line_length_stats": line_length_stats,
+    "addresses_per_line": addresses_per_line,
+    "line_template": line_template,
+    "template_match": template_match,
+    "search_terms_exact": search_terms_exact,
+    "search_quick_counts": search_quick_counts,
+    "search_retrieve_lines": search_retrieve_lines,
+    "search_retrieve_distinct": search_retrieve_distinct,
+    "search_terms_file_dedup": search_terms_file_dedup,
+    "search_missing_terms": search_missing_terms,
+    "normalize_ipv4_leading_zero": normalize_ipv4_leading_zero,
+    "normalize_mac_dash_upper": normalize_mac_dash_upper,
+    "long_line_cutoff": long_line_cutoff,
+    "max_addresses_cap": max_addresses_cap,
+    "top_talkers": top_talkers,
+    "cidr_search": cidr_search,
+    "range_search": range_search,
+    "numeric_ip_order": numeric_ip_order,
+    "mac_makers": mac_makers,
+    "stream_index_equals_batch": stream_index_equals_batch,
+}
+
+_LOG = oracle.SYNTHETIC
+_OCC = oracle.occurrences(_LOG)
+_DOCS = oracle.lines("documents", "text", "doc_id")
+_TERMS = f"(SELECT DISTINCT unnest(string_split('{TERMS}', ',')) AS term)"
+_HITS = f"(SELECT file, address AS term, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o WHERE address IN (SELECT term FROM {_TERMS} AS t))"
+_COUNTS = "SELECT address, kind, count(*) AS n FROM {} AS o GROUP BY ALL"
+_IPV4 = oracle.occurrences(_LOG, "'ipv4'")
+_NUMBER = "list_reduce(list_transform(string_split(address, '.'), lambda o: CAST(o AS BIGINT)), lambda a, b: a * 256 + b)"
+_TEMPLATE = f"(SELECT file, line_no, array_to_string(list_transform({oracle.found('text')}, lambda x: '%' || x.code), '') AS template FROM (SELECT * FROM {_LOG} UNION ALL SELECT * FROM {_DOCS}) AS l)"
+
+
+def _events_log(name: str, text: str) -> str:
+    return oracle.occurrences(f"(SELECT '{name}' AS file, event_id + 1 AS line_no, {text} AS text FROM events)")
+
+
+ORACLES: dict[str, str] = {
+    "ipv4_index_documents": oracle.index(oracle.occurrences(_DOCS, "'ipv4'")),
+    "ipv4_index_pages": oracle.index(oracle.occurrences(oracle.lines("pages", "html", "page_id"), "'ipv4'")),
+    "synth_index_ipv4": oracle.index(_IPV4),
+    "synth_index_mac": oracle.index(oracle.occurrences(_LOG, "'mac'")),
+    "synth_index_ipv6": oracle.index(oracle.occurrences(_LOG, "'ipv6'")),
+    "synth_index_all": oracle.index(_OCC),
+    "index_records_text": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
+    "index_record_parse": f"""WITH o AS (SELECT *, count(*) OVER (PARTITION BY address, kind) AS n FROM {_OCC})
+        SELECT 'new' AS form, address, n, line_no AS line, CAST(field AS INTEGER) AS field FROM o UNION ALL SELECT 'old', address, n, line_no, 0 FROM o""",
+    "combined_index_multi_source": f"""SELECT address, kind, count(*) AS n, count(DISTINCT file) AS files FROM {oracle.occurrences(
+        f"(SELECT * FROM {oracle.lines('documents', 'text', chr(39) + 'documents' + chr(39))} UNION ALL SELECT * FROM {oracle.lines('pages', 'html', chr(39) + 'pages' + chr(39))} UNION ALL SELECT * FROM {oracle.lines('conversations', 'text', chr(39) + 'conversations' + chr(39))})")} AS o GROUP BY ALL""",
+    "per_file_index": oracle.index(oracle.occurrences(oracle.lines("documents", "text", "source")), "file"),
+    "address_count_by_kind": f"SELECT kind, CAST(count(*) AS BIGINT) AS occurrences, count(DISTINCT address) AS addresses FROM {_OCC} AS o GROUP BY kind",
+    "distinct_addresses": f"SELECT count(DISTINCT address) AS addresses FROM {_OCC} AS o",
+    "line_length_stats": f"SELECT file, count(*) AS lines, CAST(min(strlen(text)) AS INTEGER) AS min_bytes, CAST(max(strlen(text)) AS INTEGER) AS max_bytes, CAST(sum(strlen(text)) AS BIGINT) AS bytes, round(avg(strlen(text)), 6) AS avg_bytes FROM {oracle.lines('documents', 'text', 'source')} AS l GROUP BY file",
+    "addresses_per_line": f"""SELECT file, line_no, CAST(len(a) AS INTEGER) AS n_addresses, CAST(len(list_filter(a, lambda x: x.kind = 'ipv4')) AS INTEGER) AS n_ipv4,
+        CAST(len(list_filter(a, lambda x: x.kind = 'ipv6')) AS INTEGER) AS n_ipv6, CAST(len(list_filter(a, lambda x: x.kind = 'mac')) AS INTEGER) AS n_mac FROM (SELECT file, line_no, {oracle.found('text')} AS a FROM {_LOG} AS l)""",
+    "line_template": f"SELECT template, count(*) AS lines FROM {_TEMPLATE} AS t GROUP BY template",
+    "template_match": f"SELECT template, count(*) AS lines, min(line_no) AS first_line FROM {_TEMPLATE} AS t WHERE template IN ('%i', '%i%i', '%i%i%m%I') GROUP BY template",
+    "search_terms_exact": f"SELECT * FROM {_HITS}",
+    "search_quick_counts": f"SELECT file, term, count(*) AS occurrences FROM {_HITS} AS h GROUP BY file, term",
+    "search_retrieve_lines": f"SELECT l.file, l.line_no, l.text, h.term, h.field FROM {_LOG} AS l JOIN {_HITS} AS h ON l.file = h.file AND l.line_no = h.line",
+    "search_retrieve_distinct": f"SELECT l.file, l.line_no, l.text FROM {_LOG} AS l WHERE l.line_no IN (SELECT line FROM {_HITS} AS h)",
+    "search_terms_file_dedup": f"SELECT file, address AS term, count(*) AS occurrences FROM {_OCC} AS o WHERE address IN (SELECT concat('2001:db8::', lower(hex(user_id * 3))) FROM events) GROUP BY file, address",
+    "search_missing_terms": f"SELECT term FROM {_TERMS} AS t WHERE term NOT IN (SELECT address FROM {_OCC} AS o)",
+    "normalize_ipv4_leading_zero": _COUNTS.format(_events_log("zeros.log", "concat('at 010.', lpad(CAST(user_id % 4 AS VARCHAR), 3, '0'), '.', lpad(CAST(event_id % 16 AS VARCHAR), 2, '0'), '.00', event_id % 8, ' end')")),
+    "normalize_mac_dash_upper": _COUNTS.format(_events_log("dash.log", "concat('hw 0A-', lpad(hex(user_id % 256), 2, '0'), '-AA-BB-CC-', lpad(hex(event_id % 256), 2, '0'), ' up')")),
+    "long_line_cutoff": f"""SELECT * FROM (SELECT doc_id, CAST(strlen(text) AS INTEGER) AS bytes, CAST(len({oracle.found('text')}) AS INTEGER) AS n_limited, CAST(len({oracle.found('text', None)}) AS INTEGER) AS n_whole FROM documents)
+        WHERE bytes > 8191 OR n_whole > 0""",
+    "max_addresses_cap": f"""SELECT event_type, CAST(len(a) AS INTEGER) AS n, a[1].address AS first, a[len(a)].address AS last FROM (SELECT event_type, {oracle.found('text', None)} AS a FROM
+        (SELECT event_type, string_agg(concat('10.', user_id % 200, '.', event_id % 250, '.', event_id % 16), ' ' ORDER BY event_id) AS text FROM events GROUP BY event_type))""",
+    "top_talkers": f"{_COUNTS.format(_OCC)} ORDER BY n DESC, address LIMIT 10",
+    "cidr_search": f"SELECT * FROM ({_COUNTS.format(_IPV4)}) WHERE {_NUMBER} BETWEEN {(10 << 24) + (2 << 16)} AND {(10 << 24) + (4 << 16) - 1}",
+    "range_search": f"SELECT * FROM ({_COUNTS.format(_IPV4)}) WHERE {_NUMBER} BETWEEN {(10 << 24) + (1 << 16) + (3 << 8)} AND {(192 << 24) + (168 << 16) + (1 << 8) + 4}",
+    "numeric_ip_order": f"SELECT address, n, {_NUMBER} AS number, address AS text FROM ({_COUNTS.format(_IPV4)})",
+    "mac_makers": f"SELECT substr(address, 1, 8) AS maker, count(*) AS n FROM {oracle.occurrences(_LOG, chr(39) + 'mac' + chr(39))} AS o GROUP BY 1",
+    "stream_index_equals_batch": _COUNTS.format(_OCC),
+}
