@@ -27,6 +27,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    out = classify(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"), labels, F.col("source"), F.col("lang"))
+    return out.select("doc_id", "host", "path", *(F.round(c, 6).alias(c) for c in ("p_doc", "p_host", "p_path", "posterior")), "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedupe
 
@@ -46,6 +54,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import round_trip
+
+    return round_trip(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import labels
 
@@ -75,9 +89,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
