@@ -90,6 +90,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
+
+
 def entity(span: Column) -> Column:
     return F.concat_ws(":", span["k"].cast("string"), F.lower(span["v"]))
 

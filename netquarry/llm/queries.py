@@ -67,10 +67,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, listed, spanned
+    from .pii import KINDS, count_of, listed, spanned
 
     out = spanned(documents(spark, sf_dir).select("doc_id", "text"))
-    counts = {f"n_{k}": F.size(F.filter("_base", lambda x, i=i: x["k"] == i)).cast("long") for i, k in enumerate(KINDS[:4])}
+    counts = {f"n_{k}": count_of(F.col("_base"), i) for i, k in enumerate(KINDS[:4])}
     return out.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
 
 
