@@ -117,7 +117,8 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
         return counted.select("entity", "term", F.lit(0.0).alias("ratio"))
     wanted = small(scratch.save(counted.select("term").distinct(), "terms"))
     words = docs.select(F.explode(terms_in(F.coalesce("text", F.lit("")))).alias("term"))
-    of_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # Terms are counted before the join, which is an inner one so that it stays above the count.
+    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
     total_ = F.lit(float(max(n_docs, 2)))
     pmi = F.log(F.col("n_te") * total_ / (F.greatest("n_t", "n_te") * F.col("n_e")))
     own = F.log(total_ / F.col("n_e"))
@@ -130,28 +131,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def spanned(docs: DataFrame) -> DataFrame:
-    """docs with _text, _base (base spans) and _spans (all spans; v of a term is its ratio).
+def spanned(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns carry of docs with _base (base spans) and _spans (all spans; v of a term is its ratio).
 
-    docs has doc_id, text and what else is wanted. A null text counts as empty and has no span. Rows equal in doc_id and
-    text get the same spans. Terms are letters only, found as whole words in any case; one that meets a base span is left
-    to it. An empty table gives no row.
+    A null text counts as empty and has no span. Rows equal in doc_id and text get the same spans. Terms are letters only,
+    found as whole words in any case; one that meets a base span is left to it. An empty table gives no row. The base
+    patterns run once over all texts and their spans are saved; terms are looked for in the documents that they concern.
     """
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("_text"))).withColumn("_base", base_spans(F.col("_text")))
-    found = scratch.save(keyed.select("_key", "_base"), "spans")
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id"), F.xxhash64(text)).alias("_key")
+    found = scratch.save(docs.select(*carry, key, base_spans(text).alias("_base")), "spans")
     rules = scratch.save(disclosures(found, docs), "disclosures")
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("_text")))
-    held = keyed.withColumn("_base", base_spans(F.col("_text")))
     if rules.isEmpty():
-        return held.withColumn("_spans", F.col("_base")).drop("_key")
+        return found.withColumn("_spans", F.col("_base")).drop("_key")
     entities = found.filter(F.size("_base") > 0).select("_key", F.explode(F.array_distinct(F.transform("_base", entity))).alias("entity")).distinct()
     per_doc = entities.join(rules, "entity").groupBy("_key", "term").agg(F.max("ratio").alias("ratio")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("term", "ratio"))).alias("_terms"))
-    held = held.join(small(scratch.save(per_doc, "doc-terms")), "_key", "left")
+    held = docs.select("doc_id", text.alias("_text"), key).join(small(scratch.save(per_doc, "doc-terms")), "_key")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}])"))
-    clear = lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     ratio = lambda v: F.element_at(F.filter("_terms", lambda t: t["term"] == F.lower(v)), 1)["ratio"]
-    more = F.transform(F.filter(matches(F.col("_text"), pattern, 4), clear), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.coalesce(ratio(x["v"]), F.lit(GENERALISE)).cast("string").alias("v"), F.lit("").alias("c")))
-    return held.withColumn("_spans", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.concat("_base", more.cast(f"array<{SPAN}>")))).drop("_key", "_terms")
+    more = F.transform(matches(F.col("_text"), pattern, 4), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.coalesce(ratio(x["v"]), F.lit(GENERALISE)).cast("string").alias("v"), F.lit("").alias("c")))
+    terms = scratch.save(held.select("_key", more.cast(f"array<{SPAN}>").alias("_more")).dropDuplicates(["_key"]), "term-spans")
+    out = found.join(small(terms), "_key", "left")
+    clear = lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    return out.withColumn("_spans", F.when(F.col("_more").isNull(), F.col("_base")).otherwise(F.concat("_base", F.filter("_more", clear)))).drop("_key", "_more")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -181,5 +183,5 @@ def sanitised(text: Column, spans: Column) -> Column:
 def clean(docs: DataFrame) -> DataFrame:
     """docs with text sanitised; other columns as they are. A null text stays null."""
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
-    out = spanned(held).withColumn("_clean", F.when(F.col("text").isNotNull(), sanitised(F.col("_text"), F.col("_spans"))))
+    out = spanned(held, ("_row",)).withColumn("_clean", sanitised(F.col("_row.text"), F.col("_spans")))
     return out.select(*((F.col("_clean") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
