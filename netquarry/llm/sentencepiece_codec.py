@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import ChunkEncoder, raw, slices, strings
 
@@ -200,8 +201,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 at = pa.array(offsets.astype(np.int32), mask=empty)  # a null offset makes a null list
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))], names=[*part.schema.names, "ids"])
 
-    schema = docs.select("doc_id", "text").schema.add("ids", "array<int>")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    slim = docs.select("doc_id", "text")
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -212,7 +213,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
             texts = [None if x.values is None else encoder(model).pieces.decode(np.asarray(x.values)) for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
