@@ -77,10 +77,10 @@ def assign(df: DataFrame, key: Column, shards: int, tie: Column | None = None, s
 
     key decides the place on the ring; null is a key like another. tie orders and deals out the rows of one key, so a
     key of a third of all rows is ranked by PARTS tasks and overflows to the next shards. Rows equal in key and tie are
-    in any order. df is read twice and is best given without the columns that are not needed.
+    in any order. Columns of df named shard or slot are replaced; an empty df gives no row. df is read twice and is best given without the columns that are not needed.
     """
     tie = F.lit(0) if tie is None else tie
-    names = df.columns
+    names = [c for c in df.columns if c not in ("shard", "slot")]
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("_slot"), F.xxhash64(key, tie).alias("_order"))
     held = held.withColumn("_part", F.pmod("_order", F.lit(PARTS)))
     counts = scratch.save(held.groupBy(F.col("_slot").alias("slot"), F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n")), "ring-counts")
