@@ -21,7 +21,11 @@ CODES = {"ipv4": "i", "ipv6": "I", "mac": "m"}
 MAX_ADDRESSES = 256
 MAX_LINE_BYTES = 8191
 
-QUAD = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
+#: Maximal runs that hold a dot, and those that hold a colon or dash.
+DOT_RUNS = "[0-9]*[.][0-9.]*"
+COLON_RUNS = "[0-9A-Fa-f]*[:-][0-9A-Fa-f:-]*"
+OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+QUAD = f"^{OCTET}([.]{OCTET}){{3}}$"
 MAC = "^([0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(-[0-9A-Fa-f]{2}){5})"
 IPV6_FULL = "^([0-9A-Fa-f]{1,4}:){7}([0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}:)$"
 IPV6_SHORT = "^([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*:::?|::)([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*:?)?$"
@@ -44,46 +48,53 @@ def octets(quad: Column) -> Column:
 
 
 def is_quad(text: Column) -> Column:
-    return F.rlike(text, F.lit(QUAD)) & F.forall(octets(text), lambda x: x <= 255)
+    return F.rlike(text, F.lit(QUAD))
 
 
 def normal_quad(quad: Column) -> Column:
     """A quad without leading zeros."""
-    return F.array_join(F.transform(octets(quad), lambda x: x.cast("string")), ".")
+    return F.when(F.rlike(quad, F.lit("(^|[.])0[0-9]")), F.regexp_replace(quad, "(^|[.])0+([0-9])", "$1$2")).otherwise(quad)
 
 
 def ipv4_of(text: Column, dialect: str) -> Column:
     """IPv4 addresses of a line."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit("[0-9.]+"), F.lit(0)), lambda r: F.contains(r, F.lit(".")))
+    runs = F.regexp_extract_all(text, F.lit(DOT_RUNS), F.lit(0))
+    plain = lambda rs: F.transform(F.filter(rs, is_quad), lambda r: _made("ipv4", normal_quad(r)))
     if dialect == "strict":
-        quads = F.transform(runs, lambda r: F.btrim(r, F.lit(".")))
-        found = F.transform(F.filter(quads, is_quad), normal_quad)
-    else:
+        return plain(F.transform(runs, lambda r: F.btrim(r, F.lit("."))))
+
+    def long_ones(rs: Column) -> Column:
         # A longer run is read up to its 15th character, once more for each dot after that.
-        times = lambda r: F.when(F.char_length(r) <= 15, F.lit(1)).otherwise(1 + F.char_length(F.substring(r, 16, 1 << 30)) - F.char_length(F.replace(F.substring(r, 16, 1 << 30), F.lit("."), F.lit(""))))
-        quads = F.filter(runs, lambda r: is_quad(F.left(r, F.lit(15))))
-        found = F.flatten(F.transform(quads, lambda r: F.array_repeat(normal_quad(F.left(r, F.lit(15))), times(r))))
-    return F.transform(found, lambda a: _made("ipv4", a))
+        rest = lambda r: F.substring(r, 16, 1 << 30)
+        times = lambda r: 1 + F.char_length(rest(r)) - F.char_length(F.replace(rest(r), F.lit("."), F.lit("")))
+        quads = F.filter(rs, lambda r: is_quad(F.left(r, F.lit(15))))
+        return F.flatten(F.transform(quads, lambda r: F.array_repeat(_made("ipv4", normal_quad(F.left(r, F.lit(15)))), times(r))))
+
+    return _let(runs, lambda rs: F.when(F.exists(rs, lambda r: F.char_length(r) > 15), long_ones(rs)).otherwise(plain(rs)))
 
 
 def is_ipv6(s: Column, fewest: int) -> Column:
     groups = F.size(F.regexp_extract_all(s, F.lit("[0-9A-Fa-f]+"), F.lit(0)))
-    third = F.contains(s, F.lit(":::")).cast("int")
-    return F.rlike(s, F.lit(IPV6_FULL)) | (F.rlike(s, F.lit(IPV6_SHORT)) & (groups + third <= 8) & (groups >= fewest))
+    enough = groups + F.contains(s, F.lit(":::")).cast("int") <= 8
+    return F.rlike(s, F.lit(f"{IPV6_SHORT}|{IPV6_FULL}")) & (enough & (groups >= fewest) if fewest else enough)
 
 
 def hardware_of(text: Column, dialect: str) -> Column:
     """MAC and IPv6 addresses of a line."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit("[0-9A-Fa-f:-]+"), F.lit(0)), lambda r: F.contains(r, F.lit(":")) | F.contains(r, F.lit("-")))
     leading = lambda r: F.left(F.substring_index(r, "-", 1), F.lit(39))
     if dialect == "strict":
         # One colon at the end is punctuation.
-        bare = lambda r: F.when(F.rlike(leading(r), F.lit("[^:]:$")), F.left(leading(r), F.char_length(leading(r)) - 1)).otherwise(leading(r))
-        ipv6, fewest = bare, 2
+        head = lambda r: _let(leading(r), lambda s: F.when(F.rlike(s, F.lit("[^:]:$")), F.left(s, F.char_length(s) - 1)).otherwise(s))
+        fewest = 2
     else:
-        ipv6, fewest = leading, 0
-    is_mac = lambda r: F.rlike(r, F.lit(MAC))
-    one = lambda r: F.when(is_mac(r), _made("mac", F.lower(F.replace(F.left(r, F.lit(17)), F.lit("-"), F.lit(":"))))).when(is_ipv6(ipv6(r), fewest), _made("ipv6", ipv6(r)))
+        head, fewest = leading, 0
+
+    def one(r: Column) -> Column:
+        mac = _made("mac", F.lower(F.replace(F.left(r, F.lit(17)), F.lit("-"), F.lit(":"))))
+        ipv6 = _let(head(r), lambda s: F.when(is_ipv6(s, fewest), _made("ipv6", s)))
+        return F.when(F.rlike(r, F.lit(MAC)), mac).when(F.contains(r, F.lit(":")), ipv6)
+
+    runs = F.regexp_extract_all(text, F.lit(COLON_RUNS), F.lit(0))
     return F.filter(F.transform(runs, one), lambda x: x.isNotNull())
 
 
@@ -102,7 +113,7 @@ def addresses(text: Column | str, dialect: str = "ref", kinds: Sequence[str] | N
     none = F.array().cast(SCHEMA)
     v4 = F.when(F.contains(text, F.lit(".")), ipv4_of(text, dialect)).otherwise(none)
     rest = F.when(F.contains(text, F.lit(":")) | F.contains(text, F.lit("-")), hardware_of(text, dialect)).otherwise(none)
-    every = F.slice(F.concat(v4, rest), 1, MAX_ADDRESSES).cast(SCHEMA)
+    every = _let(F.concat(v4, rest), lambda a: F.when(F.size(a) > MAX_ADDRESSES, F.slice(a, 1, MAX_ADDRESSES)).otherwise(a))
     if limit is not None:
         every = F.when(F.octet_length(text) <= limit, every)
     return F.coalesce(every, none)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.addresses import addresses, with_fields
+from ..functions.addresses import addresses
 
 #: Lines that a bucket of postings spans. An address in every line has this many places in a row, not all of them.
 BUCKET_LINES = 1 << 20
@@ -15,8 +15,11 @@ BUCKET_LINES = 1 << 20
 
 def occurrences(lines: DataFrame, dialect: str = "ref", kinds: Sequence[str] | None = None, max_line_bytes: int | None = -1) -> DataFrame:
     """file, line_no, field, kind and address of every address in lines (file, line_no, text)."""
-    found = with_fields(addresses("text", dialect, kinds, max_line_bytes), kinds)
-    return lines.select("file", "line_no", F.explode(found).alias("x")).select("file", "line_no", "x.field", "x.kind", "x.address")
+    found = addresses("text", dialect, kinds, max_line_bytes)
+    # The outer form, because the optimizer would put a filter on the array, and so all of the extraction, before the other.
+    rows = lines.select("file", "line_no", F.posexplode_outer(found).alias("pos", "x")).filter(F.col("x").isNotNull())
+    rows = rows.select("file", "line_no", (F.col("pos") + 1).alias("field"), "x.kind", "x.address")
+    return rows.filter(kind_filter(*kinds)) if kinds else rows
 
 
 def postings(found: DataFrame, per_file: bool = True, bucket_lines: int = BUCKET_LINES) -> DataFrame:

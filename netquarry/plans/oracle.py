@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.addresses import IPV6_FULL, IPV6_SHORT, MAC, MAX_ADDRESSES, MAX_LINE_BYTES, QUAD
+from ..functions.addresses import IPV6_FULL, IPV6_SHORT, MAC, MAX_ADDRESSES, MAX_LINE_BYTES
+
+QUAD = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 
 
 def quad_ok(x: str) -> str:

@@ -15,7 +15,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def live_occurrences(lines: DataFrame, dialect: str = "ref", *keep: str) -> DataFrame:
     """kind, address and field of each address in a stream of lines, with the columns in keep."""
-    return lines.select(*keep, F.explode(with_fields(addresses("text", dialect))).alias("x")).select(*keep, "x.kind", "x.address", "x.field")
+    return lines.select(*keep, F.explode_outer(with_fields(addresses("text", dialect))).alias("x")).filter(F.col("x").isNotNull()).select(*keep, "x.kind", "x.address", "x.field")
 
 
 def live_counts(lines: DataFrame, dialect: str = "ref") -> DataFrame:
