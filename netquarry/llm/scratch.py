@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,9 +30,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and return a reader of what was written, with df's schema."""
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, giving memory back to the system when a task ends; Spark keeps its Python workers."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
+#: Rows of whole texts that go to Python at once.
+TEXT_ROWS = 1000
+
+
+def save(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """Write df once and return a reader of what was written, with df's schema. texts: df sends whole texts to Python, in small batches."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if texts:
+        spark.conf.set(key, TEXT_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        if texts and before is None:
+            spark.conf.unset(key)
+        elif texts:
+            spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*saved: DataFrame) -> None:
+    """Delete tables returned by save(), once everything made from them has itself been written."""
+    for df in saved:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -151,7 +151,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int =
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part int, number int, file string, n_docs long, n_ids long")
+    return ordered.mapInArrow(scratch.trimmed(run), "part int, number int, file string, n_docs long, n_ids long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -173,7 +173,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.nqtk").load(path).select("path", "content")
-    return content.mapInArrow(run, "file string, doc_id long, inside long, n_tokens long, ids binary")
+    return content.mapInArrow(scratch.trimmed(run), "file string, doc_id long, inside long, n_tokens long, ids binary")
 
 
 def with_start(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write docs to files, read the files back, and return doc_id, start, n_tokens and ids_crc32 of each document."""
     spark = docs.sparkSession
     path = scratch.new_path(spark, "tokens")
-    files = scratch.save(write(docs, path, tokenizer, end_id), "token-files")
+    files = scratch.save(write(docs, path, tokenizer, end_id), "token-files", texts=True)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
