@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.addresses import addresses, with_fields
 
@@ -27,3 +30,24 @@ def windowed_counts(lines: DataFrame, time: str, late: str, width: str, dialect:
     """address, kind and n in each time window; state older than the watermark is dropped."""
     found = live_occurrences(lines.withWatermark(time, late), dialect, time)
     return found.groupBy(F.window(time, width), "address", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "address", "kind", "n")
+
+
+class Throughput(StreamingQueryListener):
+    """Logs the lines that each step of a stream has read, and lines a minute. Register it with spark.streams.addListener."""
+
+    def __init__(self, log: logging.Logger | None = None):
+        self.log, self.lines = log or logging.getLogger("netquarry"), 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.log.debug("stream %s started", event.id)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        step = event.progress
+        self.lines += step.numInputRows
+        self.log.info("%d lines, %.0f lines a minute", self.lines, 60 * (step.processedRowsPerSecond or 0))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.log.debug("stream %s ended", event.id)

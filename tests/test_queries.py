@@ -1,6 +1,7 @@
 import math
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import duckdb
@@ -57,9 +58,17 @@ def test_windowed_stream(spark, tmp_path):
 
 def test_live_lines(spark, tmp_path):
     (tmp_path / "a.log").write_text("x 10.0.0.1\ny 10.0.0.1 fe80::1\n")
+    counter = live.Throughput()
+    spark.streams.addListener(counter)
     run = live.live_counts(live.read_stream(spark, str(tmp_path))).writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r["address"], r["n"]) for r in spark.table("live").collect()) == [("10.0.0.1", 2), ("fe80::1", 1)]
+    for _ in range(50):
+        if counter.lines:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(counter)
+    assert counter.lines == 2
 
 
 def test_plan_reads_only_what_it_needs(spark, sf):
