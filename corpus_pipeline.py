@@ -33,8 +33,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, with their ids (little-endian unsigned 32-bit), packed into sequences of 4096 tokens."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 2, keep_ids=True)
+    """Pieces of documents, with their ids (little-endian unsigned 16-bit), packed into sequences of 4096 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 2, keep_ids=2)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("personal data", personal_data), ("packing", sequences)]

@@ -21,7 +21,9 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("near"))
         stepped = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        done = scratch.save(stepped.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("new"), "label"), "labels")
-        labels = done.select("node", F.col("new").alias("label"))
-        if done.filter(F.col("new") != F.col("label")).isEmpty():
-            return labels
+        done = scratch.save(stepped.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("label"), F.col("label").alias("before")), "labels")
+        scratch.drop(labels)
+        labels = done
+        if done.filter(F.col("label") != F.col("before")).isEmpty():
+            scratch.drop(edges)
+            return done.select("node", "label")

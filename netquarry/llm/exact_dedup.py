@@ -86,10 +86,13 @@ class Snapshot:
 
     def join(self, batch: DataFrame) -> DataFrame:
         """batch's groups (a saved table) whose text the snapshot has: digest and the snapshot's keep_id and n."""
-        maybe = small(scratch.save(self.screen(batch), "maybe"))
+        saved = scratch.save(self.screen(batch), "maybe")
+        maybe = small(saved)
         mine = batch.join(maybe, "digest", "left_semi").select("digest", "text")
         theirs = self.groups.join(maybe, "digest", "left_semi")
-        return theirs.join(mine, ["digest", "text"]).select("digest", "keep_id", "n")
+        out = scratch.save(theirs.join(mine, ["digest", "text"]).select("digest", "keep_id", "n"), "found")
+        scratch.drop(saved)
+        return out
 
 
 def labels(docs: DataFrame, is_new: Column, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -103,7 +106,8 @@ def labels(docs: DataFrame, is_new: Column, carry: tuple[str, ...] = ("doc_id",)
     batched = docs.select("doc_id", "text", F.coalesce(is_new, F.lit(False)).alias("_new"))
     groups = scratch.save(grouped(batched, "_new"), "groups")
     old, new = (groups.filter(F.col("_new") == x).drop("_new") for x in (False, True))
-    found = Snapshot.build(old).join(new).select("digest", "keep_id", "n")
+    snapshot = Snapshot.build(old)
+    found = snapshot.join(new)
     # Each digest has at most three rows here: the snapshot's, the batch's, and what the join found of the snapshot.
     both = old.select("digest", "keep_id", "n", F.lit(1).alias("side")).unionByName(new.select("digest", "keep_id", "n", F.lit(2).alias("side"))).unionByName(found.withColumn("side", F.lit(3)))
     of = lambda f, c, *sides: f(F.when(F.col("side").isin(*sides), F.col(c)))
@@ -117,6 +121,7 @@ def labels(docs: DataFrame, is_new: Column, carry: tuple[str, ...] = ("doc_id",)
     clash = F.raise_error(F.lit("two texts share a digest")).cast("long")
     bad = (F.col("old") > 1) | (F.col("new") > 1) | ((F.col("old") + F.col("new") == 2) & (F.col("found") != 1))
     info = scratch.save(joined.select("digest", "keep_id", F.when(bad, clash).otherwise(F.col("group_size")).alias("group_size")).filter("group_size > 1"), "dup-groups")
+    scratch.drop(groups, snapshot.filters, found)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", *carry)))).alias("_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     return labelled(rows, info).select(*(F.col(f"_row.`{c}`") for c in carry), F.when(F.col("group_size").isNull(), F.col("_row.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("group_size").isNull(), True).otherwise(F.col("_row.doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 

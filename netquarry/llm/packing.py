@@ -24,8 +24,8 @@ from .tokens import encoder, slices
 RANK_PARTS = 256
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
-    """Pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens and, if wanted, ids (uint16 or uint32).
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: int = 0) -> DataFrame:
+    """Pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens and, if wanted, ids of keep_ids bytes each.
 
     A null text counts as empty and has the end id alone. Only a document's last piece is shorter than capacity.
     """
@@ -51,11 +51,12 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep
                     "doc_tokens": pa.array(sizes[doc].astype(np.int64)),
                 }
                 if keep_ids:
-                    out["ids"] = pa.array([bytes(view[4 * x : 4 * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)], pa.binary())
+                    short = memoryview(ids.astype(f"<u{keep_ids}")).cast("B")
+                    out["ids"] = pa.array([bytes(short[keep_ids * x : keep_ids * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * bool(keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scratch.trimmed(run), schema)
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -114,13 +115,13 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("_rank", F.row_number().over(inside) - 1).join(firsts, ["length", "_part"]).withColumn("rank", F.col("_first") + F.col("_rank")).drop("_part", "_first", "_rank")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: int = 0) -> DataFrame:
     """Pieces of all documents with sequence_id and offset, the place of each in its sequence.
 
     An empty table gives no row. Rows that share a doc_id are separate documents. The histogram and the slots, which
     are sent to every task, have a size set by capacity, not by the number of pieces.
     """
-    pieces = scratch.save(cut(docs, tokenizer, end_id, capacity, keep_ids), "pieces")
+    pieces = scratch.save(cut(docs, tokenizer, end_id, capacity, keep_ids), "pieces", texts=True)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = slots(patterns(histogram, capacity))
     sent = docs.sparkSession.sparkContext.broadcast(table)
@@ -134,6 +135,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, kee
             kept = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([batch[n] for n in kept] + [pa.array(row[:, 3] + rank - row[:, 1]), pa.array(np.ascontiguousarray(row[:, 4]))], names=[*kept, "sequence_id", "offset"])
 
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return ranked(pieces).select(*columns, "rank").mapInArrow(place, schema)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * bool(keep_ids)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * bool(keep_ids) + ", sequence_id long, offset long"
+    return ranked(pieces).select(*columns, "rank").mapInArrow(scratch.trimmed(place), schema)

@@ -182,6 +182,11 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs with text sanitised; other columns as they are. A null text stays null."""
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
-    out = spanned(held, ("_row",)).withColumn("_clean", sanitised(F.col("_row.text"), F.col("_spans")))
-    return out.select(*((F.col("_clean") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    key = (F.col("doc_id").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text", *key)
+    # Spans, without texts, of the documents that have any; rows equal in doc_id and text have the same.
+    found = spanned(held, ("_d", "_t")).filter(F.size("_spans") > 0).dropDuplicates(["_d", "_t"]).select(F.col("_d").alias("_d2"), F.col("_t").alias("_t2"), "_spans")
+    saved = scratch.save(found, "all-spans")
+    out = held.join(small(saved), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_t") == F.col("_t2")), "left")
+    clean_text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(sanitised(F.col("_row.text"), F.col("_spans")))
+    return out.select(*((clean_text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

@@ -190,5 +190,8 @@ def judged(df: DataFrame, *without: str) -> DataFrame:
 
 def keep(df: DataFrame) -> DataFrame:
     """The rows of df that are kept, with df's columns."""
-    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), "text")
-    return judged(held, "text").filter("kept").select("_row.*")
+    rows = voted(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), "text"))
+    # The votes are taken twice, which spares a copy of all texts.
+    found = scratch.save(posteriors(rows.select("_votes"), len(rules(F.col("_f")))), "posteriors")
+    out = rows.join(F.broadcast(found), "_votes")  # at most 3 ** rules rows
+    return out.filter(~base_failed(F.col("_f")) & (F.col("p_good") >= THRESHOLD)).select("_row.*")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scratch
 from .tokens import ChunkEncoder, raw, slices, strings
 
 MARK = "▁"
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))], names=[*part.schema.names, "ids"])
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return slim.mapInArrow(scratch.trimmed(run), T.StructType([*slim.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -213,7 +214,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
             texts = [None if x.values is None else encoder(model).pieces.decode(np.asarray(x.values)) for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(scratch.trimmed(run), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -239,4 +240,4 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                     same.append(text == back)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].slice(a, b - a), "n_ids": pa.array(np.diff(offsets)), "ids_crc32": pa.array(crc, pa.int64()), "decoded_sha256": sha, "same": same})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scratch.trimmed(run), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
