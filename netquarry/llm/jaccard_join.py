@@ -37,7 +37,8 @@ RARE = 16
 BLOCK_TOKENS, BUCKET_TOKENS = 250_000, 1 << 20
 #: Texts compared with one hub in a task.
 HUB_TEXTS = 256
-WIDTH = 6  # bytes of a token in the indexes
+#: Bytes of a token in the indexes. Tokens that become equal by it only add candidates; use 6 beyond about 10 TB.
+WIDTH = 5
 BITS = 8  # words of 64 bits in a document's bitmap
 
 
@@ -73,8 +74,8 @@ def widen(content: bytes) -> np.ndarray:
 class Rule:
     """What the threshold num / den implies."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, rare: int = RARE):
+        self.num, self.den, self.rare = num, den, rare
         t = num / den
         self.slack = ((1 - t) + 1 / 32) / t + (1 - t)
         self.share = min(1.0, 1.35 * self.slack)
@@ -111,13 +112,13 @@ def token_sets(docs: DataFrame, shingle: int, rule: Rule) -> DataFrame:
                     k = int(np.searchsorted(u, np.uint64(rule.limit), "right"))
                     n.append(len(u))
                     sig.append(np.array([u.sum(dtype=np.uint64), mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], "<u8").tobytes())
-                    low.append(narrow(u[:k] >> np.uint64(16)) if len(u) > 1 and rule.in_low(len(u), k) else b"")
-                    whole.append(narrow(u >> np.uint64(16)) if len(u) > 1 and rule.in_all(len(u), k) else b"")
+                    low.append(narrow(u[:k] >> np.uint64(64 - 8 * WIDTH)) if len(u) > 1 and rule.in_low(len(u), k) else b"")
+                    whole.append(narrow(u >> np.uint64(64 - 8 * WIDTH)) if len(u) > 1 and rule.in_all(len(u), k) else b"")
                     odd = np.bincount((u & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
                     bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].slice(a, b - a), "th": batch["th"].slice(a, b - a), "n": pa.array(n, pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in (("sig", sig), ("low", low), ("whole", whole), ("bits", bits))}})
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, sig binary, low binary, whole binary, bits binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(scratch.trimmed(run), "doc_id long, th long, n long, sig binary, low binary, whole binary, bits binary")
 
 
 def blocks(reps: DataFrame) -> DataFrame:
@@ -145,17 +146,21 @@ def blocks(reps: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return reps.select("rep", "n", "low", "whole", "bits").mapInArrow(run, "block long, rep binary, n binary, kind binary, size binary, tokens binary, bits binary")
+    return reps.select("rep", "n", "low", "whole", "bits").mapInArrow(scratch.trimmed(run), "block long, rep binary, n binary, kind binary, size binary, tokens binary, bits binary")
 
 
 def indexed(tokens: bytes, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Tokens of a block's entries, apart by index and spread evenly over 48 bits."""
-    return mix(widen(tokens) + np.repeat(kind.astype(np.uint64), size) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+    """Tokens of a block's entries, apart by index and spread evenly."""
+    return mix(widen(tokens) + np.repeat(kind.astype(np.uint64), size) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 8 * WIDTH)
 
 
 def shared(held: DataFrame, buckets: int) -> DataFrame:
-    """block, tokens and df of those tokens of each block that two documents or more have. buckets: a power of two."""
-    shift = np.uint64(48 - buckets.bit_length() + 1)
+    """block, tokens and df of those tokens of each block that two documents or more have. buckets: a power of two.
+
+    A block's count of a token stops at 255; df orders the tokens and is the same for all documents, which is all that
+    the join asks of it.
+    """
+    shift = np.uint64(8 * WIDTH - buckets.bit_length() + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +168,11 @@ def shared(held: DataFrame, buckets: int) -> DataFrame:
                 t, count = np.unique(indexed(tokens, np.frombuffer(kind, np.uint8), np.frombuffer(size, "<i8")), return_counts=True)
                 edges = np.searchsorted(t >> shift, np.arange(buckets + 1, dtype=np.uint64)).tolist()
                 rows = [(k, edges[k], edges[k + 1]) for k in range(buckets) if edges[k] < edges[k + 1]]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "tokens": pa.array([narrow(t[a:b]) for _, a, b in rows], pa.binary()), "counts": pa.array([count[a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "tokens": pa.array([narrow(t[a:b]) for _, a, b in rows], pa.binary()), "counts": pa.array([np.minimum(count[a:b], 255).astype("<u1").tobytes() for _, a, b in rows], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         tokens = [widen(x) for x in table["tokens"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, "<u1") for x in table["counts"].to_pylist()])
         every, place = np.unique(np.concatenate(tokens), return_inverse=True)
         df = np.bincount(place, counts, len(every)).astype(np.int64)[place]
         ends = np.cumsum([len(x) for x in tokens])
@@ -178,7 +183,7 @@ def shared(held: DataFrame, buckets: int) -> DataFrame:
                 values.append(value)
         return pa.table({"block": pa.array(out[0], pa.int64()), "tokens": pa.array(out[1], pa.binary()), "df": pa.array(out[2], pa.binary())})
 
-    sent = held.select("block", "kind", "size", "tokens").mapInArrow(send, "bucket long, block long, tokens binary, counts binary")
+    sent = held.select("block", "kind", "size", "tokens").mapInArrow(scratch.trimmed(send), "bucket long, block long, tokens binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(count, "block long, tokens binary, df binary")
 
 
@@ -186,7 +191,7 @@ def combinations(tokens: np.ndarray, df: np.ndarray, need: int, n: int, rule: Ru
     """Signatures from a document's shared tokens when need of them must outlast the losses."""
     order = np.lexsort((tokens, df))
     tokens, df = tokens[order], df[order]
-    rare = int(np.searchsorted(df, RARE, "right"))
+    rare = int(np.searchsorted(df, rule.rare, "right"))
     out = mix(tokens[: min(rare, need)] + np.uint64(1)).tolist()
     need -= len(out)
     if need <= 0:
@@ -248,11 +253,11 @@ def may_link(rule: Rule, a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets. docs: doc_id, th, text."""
+    """The pairs (a, b) that are linked, by their whole sets, as a saved table. docs: doc_id, th, text."""
     pairs = scratch.save(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    ids = small(scratch.save(ids.join(reps.select("rep", "th"), "rep"), "pair-ids"))
-    texts = scratch.save(docs.join(ids.withColumnRenamed("rep", "doc_id"), ["doc_id", "th"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "pair-texts")
+    ids = scratch.save(ids.join(reps.select("rep", "th"), "rep").withColumnRenamed("rep", "doc_id"), "pair-ids")
+    texts = scratch.save(docs.join(small(ids), ["doc_id", "th"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "pair-texts")
     # A hub's texts are dealt to parts, each with a copy of the hub's own.
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_TEXTS).alias("parts"))
     left = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text"}), "b")
@@ -268,32 +273,34 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, r
                 linked.append(rule.den * common >= rule.num * (len(whole) + len(one) - common))
         return mine.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return left.groupBy("a", "part").cogroup(right.groupBy("hub", "hub_part")).applyInArrow(run, "a long, b long")
+    out = scratch.save(left.groupBy("a", "part").cogroup(right.groupBy("hub", "hub_part")).applyInArrow(run, "a long, b long"), "links")
+    scratch.drop(pairs, ids, texts)
+    return out
 
 
-def linked_sets(base: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, rule: Rule) -> DataFrame:
-    """rep and component of the sets that are linked with another. base, reps: saved tables."""
+def linked_sets(held: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, rule: Rule) -> DataFrame:
+    """rep and component of the sets that are linked with another. held: blocks, saved; reps: rep and th, saved."""
     spark = docs.sparkSession
-    held = scratch.save(blocks(reps.filter("n > 1")), "blocks")
     tokens = held.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // WIDTH
     if not tokens:
         return spark.createDataFrame([], "rep long, component long")
     buckets = 1 << max(0, (tokens // BUCKET_TOKENS).bit_length())
     rows = signatures(held, shared(held, buckets), rule)
     rows = scratch.save(rows.select("key", "rep", "n", "score", *_words(F.col("bits"))), "signatures")
+    scratch.drop(held)
     words = [f"w{k}" for k in range(BITS)]
     hubs = rows.groupBy("key").agg(F.min(F.struct("score", "rep", "n", *words)).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     hubs = hubs.select("key", F.col("hub.rep").alias("hub_rep"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("n", *words)))
     star = rows.join(hubs, "key").filter((F.col("rep") != F.col("hub_rep")) & may_link(rule, "", "hub_")).select(F.col("hub_rep").alias("a"), F.col("rep").alias("b"))
-    links = scratch.save(verified(star, reps, docs, shingle, rule), "links")
+    links = verified(star, reps, docs, shingle, rule)
     label = components(links) if not links.isEmpty() else spark.createDataFrame([], "node long, label long")
     of = scratch.save(rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "signatures")
     mixed = of.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter(F.col("_x") != F.col("_y")).select("key")
     left = of.join(mixed, "key", "left_semi")
     right = left.select("key", *(F.col(c).alias(f"o_{c}") for c in ("rep", "n", "label", *words)))
     cross = left.join(right, "key").filter((F.col("rep") < F.col("o_rep")) & (F.col("label") != F.col("o_label")) & may_link(rule, "", "o_")).select(F.col("rep").alias("a"), F.col("o_rep").alias("b"))
-    more = scratch.save(verified(cross, reps, docs, shingle, rule), "links")
-    links = links.unionByName(more)
+    links = links.unionByName(verified(cross, reps, docs, shingle, rule))
+    scratch.drop(rows, of)
     if links.isEmpty():
         return spark.createDataFrame([], "rep long, component long")
     return components(links).select(F.col("node").alias("rep"), F.col("label").alias("component"))
@@ -307,23 +314,28 @@ def classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, ca
     doc_id are taken as one document, whose set is that of the text with the least hash; rows without a doc_id are linked
     with nothing. An empty table gives no row.
     """
-    rule = Rule(num, den)
+    rule = Rule(num, den, RARE)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", *carry)))).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("th"))
     slim = held.select("doc_id", "th", "text")
-    base = scratch.save(token_sets(slim, shingle, rule), "sets")
+    base = scratch.save(token_sets(slim, shingle, rule), "sets", texts=True)
     of_id = scratch.save(base.filter("doc_id is not null").groupBy("doc_id").agg(F.min("th").alias("th"), F.max("th").alias("_last")).filter("th != _last").select("doc_id", F.col("th").alias("_th")), "repeated-ids")
     one = base.filter("doc_id is not null and n > 0")
     if not of_id.isEmpty():
         one = one.join(small(of_id), "doc_id", "left").filter(F.coalesce("_th", "th") == F.col("th")).drop("_th")
-    reps = one.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("_d"), F.count(F.lit(1)).alias("size"), *(F.first(c).alias(c) for c in ("n", "low", "whole", "bits")))
-    reps = scratch.save(reps.select("sig", F.col("_d.doc_id").alias("rep"), F.col("_d.th").alias("th"), "size", "n", "low", "whole", "bits"), "reps")
-    linked = linked_sets(base, reps, slim, shingle, rule)
-    info = reps.select("sig", "rep", "size").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    info = scratch.save(info.filter((F.col("size") > 1) | (F.col("component") != F.col("rep"))).select("sig", "component", "size"), "classes")
-    ids = base.select("doc_id", "th", "n", "sig")
+    reps = one.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("_d"), F.count(F.lit(1)).alias("size"))
+    reps = scratch.save(reps.select("sig", F.col("_d.doc_id").alias("rep"), F.col("_d.th").alias("th"), "size"), "reps")
+    sets = one.filter("n > 1").groupBy("sig").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "low", "whole", "bits")))
+    stored = scratch.save(blocks(sets), "blocks")
+    # The tokens are in the blocks now.
+    ids = scratch.save(base.select("doc_id", "th", "n", "sig"), "set-ids")
     if not of_id.isEmpty():
         kept = one.join(small(of_id), "doc_id", "left_semi").select(F.col("doc_id").alias("_d"), F.col("sig").alias("_sig")).distinct()
+        kept = scratch.save(kept, "repeated-sets")
         ids = ids.join(kept, F.col("doc_id") == F.col("_d"), "left").withColumn("sig", F.coalesce("_sig", "sig")).drop("_d", "_sig")
+    scratch.drop(base)
+    linked = linked_sets(stored, reps, slim, shingle, rule)
+    info = reps.select("sig", "rep", "size").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    info = scratch.save(info.filter((F.col("size") > 1) | (F.col("component") != F.col("rep"))).select("sig", "component", "size"), "classes")
     total = info.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     hot = info.filter(F.col("size") > total / HOT_SHARE).select("sig", F.col("component").alias("_hot"))
     rest = info.filter(F.col("size") <= total / HOT_SHARE).select(F.col("sig").alias("_key"), F.col("component").alias("_rest"))
@@ -332,7 +344,8 @@ def classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, ca
     key = F.when(F.col("_hot").isNull() & F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("sig")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id", "th"))))
     out = out.withColumn("_key", key).join(rest, "_key", "left")
     mine = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("_hot", "_rest"))
-    labels = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce(mine, "doc_id").alias("component_id"))
+    labels = scratch.save(out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce(mine, "doc_id").alias("component_id")), "labels")
+    scratch.drop(reps, info, of_id)
     if carry == ("doc_id",):
         return labels.drop("th")
     labels = labels.distinct().withColumnsRenamed({"doc_id": "_d", "th": "_t"})
