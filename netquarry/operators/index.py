@@ -27,7 +27,7 @@ def postings(found: DataFrame, per_file: bool = True, bucket_lines: int = BUCKET
     keys = ["file"] * per_file + ["address", "kind"]
     bucket = F.floor(F.col("line_no") / bucket_lines).cast("long").alias("bucket")
     place = F.struct(F.col("line_no").alias("line"), F.col("field").alias("field"))
-    return found.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(place)).alias("locations"))
+    return found.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(place)).alias("locations"))
 
 
 def build_index(found: DataFrame, per_file: bool = True) -> DataFrame:
@@ -37,7 +37,7 @@ def build_index(found: DataFrame, per_file: bool = True) -> DataFrame:
     text form; postings keep the file.
     """
     keys = ["file"] * per_file + ["address", "kind"]
-    whole = postings(found, per_file).groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "locations"))).alias("_b"))
+    whole = postings(found, per_file).groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bucket", "locations"))).alias("_b"))
     return whole.withColumn("locations", F.flatten(F.transform("_b", lambda x: x["locations"]))).drop("_b")
 
 
