@@ -1,6 +1,10 @@
+import random
+import time
+
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netquarry.llm import jaccard_join as jj
 from netquarry.llm import line_dedup, pii
@@ -144,6 +148,7 @@ PERSONAL = [
     "a@b.c x", None, "", "😀 mail é.x@y-z.co.uk, 010.1.2.3 4111 1111 1111 1111 +1 (743) 555-3824.",
     "1.2.3.256 1.2.3.4.5.6.7.8 00000255.1.1.1 4111-1111-1111-1112 4111-1111-1111-1111 +12345 a@b a@@b.c",
     "+1 4111111111111111 x@y.z,x@y.z." + "9" * 5000, "a." * 3000 + "@" + "b." * 3000 + "c", "+1-2-3-4-5-6-7-8-9 +(1) 1234567890 +49.30.1234567",
+    "a@b.c_d@e.f x@y@z.w..1.2.3.4.5.6.7.8 1.2..3.4.5.6 a@b a%@c.d-@e.f", "@ " + "a" * 9_000, "1.2.3.4 a@b.c " + "7" * 9_000,
 ]
 
 
@@ -156,6 +161,21 @@ def test_base_spans_equal_brute_force(spark, documents, hard):
             assert r["b"] == want and [r[k] for k in pii.KINDS[:4]] == [want.count(k + ":") for k in pii.KINDS[:4]]
 
 
+def test_base_spans_of_random_texts(spark):
+    pick = random.Random(6)
+    rows = [(k, "".join(pick.choice("ab1.@-_+ 2(9") for _ in range(pick.randrange(5, 60)))) for k in range(4000)]
+    out = pii.spanned(spark.createDataFrame(rows, "doc_id long, text string"), ("doc_id", "text"))
+    for r in out.select("text", pii.listed(out["_base"]).alias("b")).collect():
+        assert r["b"] == cases.personal(r["text"])
+
+
+def test_long_runs_take_linear_time(spark):
+    rows = [(1, "@ 1.2.3.4 " + "a" * 1_000_000), (2, "a@b.c 1.2 " + "7" * 1_000_000)]
+    began = time.monotonic()
+    out = pii.spanned(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed(F.col("_base")).alias("b")).collect()
+    assert dict(map(tuple, out)) == {1: "ip:2:9", 2: "email:0:5"} and time.monotonic() - began < 60
+
+
 def test_disclosing_terms(spark):
     rows = [(k, f"{a} contact Zorblax Quonk zq@mail.example for {b} details") for k, (a, b) in enumerate([("one", "new"), ("two", "old"), ("six", "big"), ("ten", "red")])]
     rows += [(10, "Zorblax alone stays"), *((100 + k, f"plain words here contact details for number {k} and more") for k in range(60))]
