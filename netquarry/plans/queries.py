@@ -29,11 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log with one line for each event."""
-    return table(spark, sf_dir, "events").select(F.lit("synthetic.log").alias("file"), (F.col("event_id") + 1).alias("line_no"), F.expr(SYNTHETIC_TEXT).alias("text"))
+    events = src.spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
+    return events.select(F.lit("synthetic.log").alias("file"), (F.col("event_id") + 1).alias("line_no"), F.expr(SYNTHETIC_TEXT).alias("text"))
 
 
 def text_lines(spark: SparkSession, sf_dir: str, name: str, text: str, file: str) -> DataFrame:
-    return src.column_lines(table(spark, sf_dir, name), text, file)
+    return src.column_lines(src.spread(table(spark, sf_dir, name).select(text, file)), text, file)
 
 
 def _index(found: DataFrame, *keys: str) -> DataFrame:
@@ -70,7 +71,7 @@ def index_record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined_index_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [src.column_lines(table(spark, sf_dir, t), c, F.lit(t)) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
+    parts = [src.column_lines(src.spread(table(spark, sf_dir, t).select(c)), c, F.lit(t)) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
     found = ix.occurrences(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     by_file = ix.counts(found, "file", "address", "kind")
     return by_file.groupBy("address", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))

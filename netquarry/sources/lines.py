@@ -27,6 +27,19 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return rows.join(splits, ["file", "block"]).select("file", (F.col("base") + F.col("mid") - F.col("first") + 1).alias("line_no"), "text")
 
 
+#: Parts up to which an input counts as small, whatever the cluster.
+SMALL_PARTS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in a few parts, such as one small or unsplittable file; any other df as it is.
+
+    Extraction costs far more than moving a line, but an input of many splits is never moved.
+    """
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < min(cores, SMALL_PARTS) else df
+
+
 def column_lines(df: DataFrame, text: Column | str, file: Column | str) -> DataFrame:
     """file, line_no and text of the lines of a text column. What follows the last line feed is a line if it isn't empty."""
     text, file = (F.col(x) if isinstance(x, str) else x for x in (text, file))
