@@ -1,9 +1,9 @@
 """Line dedup by a log-template tree.
 
 A line's words with a digit are variable fields and become one wildcard. A leaf of the tree is a number of words and the
-first DEPTH words (DEEP for leaves that would hold over LEAF_LINES different lines). In a leaf a line joins the first
-template with which it shares SIMILAR of all places, and places that differ become variable. A template that occurs in
-two documents or more is recurring: its first place in order of doc_id stays, its others are dropped.
+first DEPTH words, at any size of leaf. In a leaf a line joins the template with which it shares most places, SIMILAR of
+all at least, and places that differ become variable. A template that occurs in two documents or more is recurring: its
+first place in order of doc_id stays, its others are dropped.
 
 Lines under MIN_WORDS words are too short to tell a template from chance and stay, and so do lines whose words all but
 MIN_FIXED are variable. Words are compared within a leaf by an eight-bit mark each.
@@ -19,20 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .exact_dedup import HOT_SHARE, small
+from .exact_dedup import HOT_SHARE
 from .tokens import slices
 from .words import Words, mix
 
 MIN_WORDS = 5
 MIN_FIXED = 4
-DEPTH, DEEP = 3, 8
-LEAF_LINES = 4096
+DEPTH = 3
+#: Templates in a leaf from which on a line is compared only with those that share a block of places; the result is the same.
+LEAF_LINES = 64
 SIMILAR = 0.8
 WILD = np.uint64(0x57494C44)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows of doc_id, th (the text's hash), pos, line (hash of the masked words), leaf, deep and marks of every line that can be a template."""
+    """Rows of doc_id, th (the text's hash), pos, line (hash of the masked words), leaf and marks of every line that can be a template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +48,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 placed = mix(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 fixed = np.add.reduceat((~w.numeric).astype(np.int64), first)
                 line = mix(np.add.reduceat(placed, first) + count.astype(np.uint64))
-                leaf, deep = (mix(np.add.reduceat(np.where(place < d, placed, np.uint64(0)), first) ^ (count.astype(np.uint64) << np.uint64(32))) for d in (DEPTH, DEEP))
+                leaf = mix(np.add.reduceat(np.where(place < DEPTH, placed, np.uint64(0)), first) ^ (count.astype(np.uint64) << np.uint64(32)))
                 keep = np.flatnonzero((count >= MIN_WORDS) & (fixed >= MIN_FIXED))
                 row = np.repeat(np.arange(b - a), np.diff(w.rows))[first][keep]
                 pos = w.lines[first][keep] - w.row_lines[row]
@@ -56,38 +57,66 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(marks)])
                 of_row = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(of_row), batch["th"].take(of_row), pa.array(pos.astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (line, leaf, deep)), blobs.take(pa.array(keep)).cast(pa.binary())],
-                    names=["doc_id", "th", "pos", "line", "leaf", "deep", "marks"],
+                    [batch["doc_id"].take(of_row), batch["th"].take(of_row), pa.array(pos.astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (line, leaf)), blobs.take(pa.array(keep)).cast(pa.binary())],
+                    names=["doc_id", "th", "pos", "line", "leaf", "marks"],
                 )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(scratch.trimmed(run), "doc_id long, th long, pos int, line long, leaf long, deep long, marks binary")
-
-
-def grow(templates: list[np.ndarray], fixed: list[np.ndarray], marks: np.ndarray) -> int:
-    """Number of the template that a line joins, a new one if none is similar enough. fixed: places that aren't variable."""
-    if templates:
-        alike = (np.stack(templates) == marks) & np.stack(fixed)
-        share = alike.mean(axis=1)
-        best = int(share.argmax())
-        if share[best] >= SIMILAR:
-            fixed[best] = alike[best]
-            return best
-    templates.append(marks)
-    fixed.append(np.ones(len(marks), bool))
-    return len(templates) - 1
+    return docs.select("doc_id", "th", "text").mapInArrow(scratch.trimmed(run), "doc_id long, th long, pos int, line long, leaf long, marks binary")
+
+
+class Leaf:
+    """The templates of one leaf, of lines of n words."""
+
+    def __init__(self, n: int):
+        differ = next(k for k in range(n, -1, -1) if (n - k) / n >= SIMILAR)
+        # A line and a template that it joins differ in so many places at most, so of one block more one is equal in both.
+        self.blocks = np.array_split(np.arange(DEPTH, n), differ + 1)
+        self.words, self.fixed = np.empty((1, n), np.uint64), np.empty((1, n), bool)
+        self.size, self.index = 0, {}
+
+    def keys(self, words: np.ndarray) -> list[int]:
+        return [hash((j, words[block].tobytes())) for j, block in enumerate(self.blocks)]
+
+    def enter(self, k: int) -> None:
+        for key in self.keys(self.words[k]):
+            self.index.setdefault(key, []).append(k)
+
+    def grow(self, words: np.ndarray) -> int:
+        """Number of the template that a line joins, a new one if none is similar enough."""
+        indexed = self.size > LEAF_LINES
+        if indexed and not self.index:
+            for k in range(self.size):
+                self.enter(k)
+        near = np.array(sorted({k for key in self.keys(words) for k in self.index.get(key, ())}), np.int64) if indexed else np.arange(self.size)
+        if len(near):
+            at = near if indexed else slice(0, self.size)
+            alike = (self.words[at] == words) & self.fixed[at]
+            share = alike.sum(axis=1) / len(words)
+            best = int(share.argmax())
+            if share[best] >= SIMILAR:
+                self.fixed[near[best]] = alike[best]
+                return int(near[best])
+        if self.size == len(self.words):
+            self.words, self.fixed = (np.concatenate([x, np.empty_like(x)]) for x in (self.words, self.fixed))
+        self.words[self.size], self.fixed[self.size] = words, True
+        self.size += 1
+        if indexed:
+            self.enter(self.size - 1)
+        return self.size - 1
 
 
 def merged(distinct: DataFrame) -> DataFrame:
     """line and template (the first line of its template) of lines that share a template with another. distinct: leaf, line, marks of leaves with two lines or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, names, templates, fixed = None, [], [], []
+        leaf, names, tree = None, [], None
         for batch in batches:
             out: tuple[list[int], list[int]] = ([], [])
             for at, line, blob in zip(batch["leaf"].to_pylist(), batch["line"].to_pylist(), batch["marks"].to_pylist(), strict=True):
+                words = np.frombuffer(blob, np.uint8).astype(np.uint64)
                 if at != leaf:
-                    leaf, names, templates, fixed = at, [], [], []
-                k = grow(templates, fixed, np.frombuffer(blob, np.uint8))
+                    leaf, names, tree = at, [], Leaf(len(words))
+                k = tree.grow(words)
                 if k == len(names):
                     names.append(line)
                 else:
@@ -102,18 +131,17 @@ def drops(docs: DataFrame) -> DataFrame:
     """doc_id, th and drop, the numbers of the lines to drop, of documents that have any. docs: doc_id, th, text."""
     lines = scratch.save(lines_of(docs), "lines", texts=True)
     place = F.struct("doc_id", "th", "pos")
-    distinct = lines.groupBy("leaf", "deep", "line").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count(F.lit(1)).alias("n"), F.first("marks").alias("marks"))
+    distinct = lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count(F.lit(1)).alias("n"), F.first("marks").alias("marks"))
     distinct = scratch.save(distinct, "distinct-lines")
     leaves = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    crowded = scratch.save(leaves.filter(F.col("lines") > LEAF_LINES).select("leaf", F.lit(True).alias("crowded")), "crowded")
-    shared = distinct.select("leaf", "deep", "line", "marks").join(leaves.select("leaf"), "leaf", "left_semi").join(small(crowded), "leaf", "left")
-    same = scratch.save(merged(shared.withColumn("leaf", F.when(F.col("crowded"), F.col("deep")).otherwise(F.col("leaf")))), "templates")
+    shared = distinct.select("leaf", "line", "marks").join(leaves.select("leaf"), "leaf", "left_semi")
+    same = scratch.save(merged(shared), "templates")
     # The first line of a template stands for itself.
     named = distinct.select("line", "first", "last", "n").join(same, "line", "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     recurring = recurring.filter(~(F.col("last.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("last.th") == F.col("first.th"))))
     of_line = scratch.save(named.select("line", "template", F.col("n").alias("line_n")).join(recurring.select("template", "first"), "template").select("line", "line_n", "first"), "recurring")
-    scratch.drop(distinct, crowded, same)
+    scratch.drop(distinct, same)
     total = of_line.agg(F.coalesce(F.sum("line_n"), F.lit(0))).first()[0]
     hot, rest = (of_line.filter(x).select("line", "first") for x in (F.col("line_n") > total / HOT_SHARE, F.col("line_n") <= total / HOT_SHARE))
     slim = lines.select("doc_id", "th", "pos", "line")

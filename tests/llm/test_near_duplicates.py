@@ -138,6 +138,30 @@ def test_crowded_leaves_go_deeper(spark, monkeypatch):
     assert len(out) == 40 and 100 not in out
 
 
+def letters(k):
+    return "".join(chr(97 + int(c)) for c in str(k))
+
+
+def test_crowded_leaves_lose_no_template(spark):
+    """Lines that differ at the fifth place merge in a leaf of any size."""
+    rows = [(k, f"same start of all x{letters(k)} kinds here") for k in range(4200)]
+    assert lines_left(spark, rows) == {0: rows[0][1]}
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 14, 15, 31])
+def test_lookup_of_templates_equals_comparing_all(monkeypatch, n):
+    pick = np.random.default_rng(n)
+    rows = pick.integers(0, 4, (600, n)).astype(np.uint64)
+    rows[300:] = np.where(pick.random((300, n)) < 0.15, 7, rows[:300])
+    rows[:, : line_dedup.DEPTH] = 9
+    found = []
+    for limit in (0, 1 << 40):
+        monkeypatch.setattr(line_dedup, "LEAF_LINES", limit)
+        leaf = line_dedup.Leaf(n)
+        found.append([leaf.grow(x) for x in rows])
+    assert found[0] == found[1] and len(set(found[0])) < 600
+
+
 def test_lines_of_hard_and_no_rows(hard):
     out = line_dedup.dedupe(hard)
     assert set(out.columns) == set(hard.columns) | {"n_dropped"} and out.filter("text is null").count() == 2
