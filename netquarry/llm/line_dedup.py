@@ -6,7 +6,7 @@ all at least, and places that differ become variable. A template that occurs in
 first place in order of doc_id stays, its others are dropped.
 
 Lines under MIN_WORDS words are too short to tell a template from chance and stay, and so do lines whose words all but
-MIN_FIXED are variable. Words are compared within a leaf by an eight-bit mark each.
+MIN_FIXED are variable. Words are compared by 64-bit hashes, which are made again from the lines that share a leaf.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .exact_dedup import HOT_SHARE
+from .quality_rules import let
 from .tokens import slices
 from .words import Words, mix
 
@@ -33,7 +34,7 @@ WILD = np.uint64(0x57494C44)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows of doc_id, th (the text's hash), pos, line (hash of the masked words), leaf and marks of every line that can be a template."""
+    """Rows of doc_id, th (the text's hash), pos, line (hash of the masked words), leaf of every line that can be a template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,16 +53,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 keep = np.flatnonzero((count >= MIN_WORDS) & (fixed >= MIN_FIXED))
                 row = np.repeat(np.arange(b - a), np.diff(w.rows))[first][keep]
                 pos = w.lines[first][keep] - w.row_lines[row]
-                marks = (words >> np.uint64(56)).astype(np.uint8)
-                ends = np.append(first, len(words))
-                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(marks)])
                 of_row = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(of_row), batch["th"].take(of_row), pa.array(pos.astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (line, leaf)), blobs.take(pa.array(keep)).cast(pa.binary())],
-                    names=["doc_id", "th", "pos", "line", "leaf", "marks"],
+                    [batch["doc_id"].take(of_row), batch["th"].take(of_row), pa.array(pos.astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (line, leaf))],
+                    names=["doc_id", "th", "pos", "line", "leaf"],
                 )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(scratch.trimmed(run), "doc_id long, th long, pos int, line long, leaf long, marks binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(scratch.trimmed(run), "doc_id long, th long, pos int, line long, leaf long")
 
 
 class Leaf:
@@ -105,37 +103,49 @@ class Leaf:
         return self.size - 1
 
 
-def merged(distinct: DataFrame) -> DataFrame:
-    """line and template (the first line of its template) of lines that share a template with another. distinct: leaf, line, marks of leaves with two lines or more."""
+def merged(shared: DataFrame, docs: DataFrame) -> DataFrame:
+    """line and template (the first line of its template) of lines that share a template with another. shared: leaf, line, first (place) of leaves with two lines or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, names, tree = None, [], None
+        leaf, last, names, tree = None, None, [], None
         for batch in batches:
             out: tuple[list[int], list[int]] = ([], [])
-            for at, line, blob in zip(batch["leaf"].to_pylist(), batch["line"].to_pylist(), batch["marks"].to_pylist(), strict=True):
-                words = np.frombuffer(blob, np.uint8).astype(np.uint64)
-                if at != leaf:
-                    leaf, names, tree = at, [], Leaf(len(words))
-                k = tree.grow(words)
-                if k == len(names):
-                    names.append(line)
-                else:
-                    out[0].append(line)
-                    out[1].append(names[k])
+            leaves, lines = batch["leaf"].to_pylist(), batch["line"].to_pylist()
+            for a, b in slices(batch["text"]):
+                w = Words(batch["text"].slice(a, b - a), lines=True)
+                words = np.where(w.numeric, WILD, w.hashes)
+                for i in range(a, b):
+                    if (leaves[i], lines[i]) == (leaf, last):
+                        continue  # of an equal row
+                    own = words[w.rows[i - a] : w.rows[i - a + 1]]
+                    if leaves[i] != leaf:
+                        leaf, names, tree = leaves[i], [], Leaf(len(own))
+                    last = lines[i]
+                    k = tree.grow(own)
+                    if k == len(names):
+                        names.append(last)
+                    else:
+                        out[0].append(last)
+                        out[1].append(names[k])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["line", "template"])
 
-    return distinct.select("leaf", "line", "marks").repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(scratch.trimmed(run), "line long, template long")
+    # One document's lines make an array of its own size.
+    wanted = shared.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")).agg(F.collect_list(F.struct("leaf", "line", "first.pos")).alias("_wanted"))
+    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    taken = let(F.split("text", "\n"), lambda lines: F.transform("_wanted", lambda x: F.struct(x["leaf"].alias("leaf"), x["line"].alias("line"), F.get(lines, x["pos"]).alias("text"))))
+    rows = held.select(F.explode(taken).alias("x")).select("x.*")
+    return rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(scratch.trimmed(run), "line long, template long")
 
 
 def drops(docs: DataFrame) -> DataFrame:
     """doc_id, th and drop, the numbers of the lines to drop, of documents that have any. docs: doc_id, th, text."""
     lines = scratch.save(lines_of(docs), "lines", texts=True)
     place = F.struct("doc_id", "th", "pos")
-    distinct = lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count(F.lit(1)).alias("n"), F.first("marks").alias("marks"))
+    distinct = lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count(F.lit(1)).alias("n"))
     distinct = scratch.save(distinct, "distinct-lines")
     leaves = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    shared = distinct.select("leaf", "line", "marks").join(leaves.select("leaf"), "leaf", "left_semi")
-    same = scratch.save(merged(shared), "templates")
+    shared = distinct.select("leaf", "line", "first").join(leaves.select("leaf"), "leaf", "left_semi")
+    same = scratch.save(merged(shared, docs), "templates")
     # The first line of a template stands for itself.
     named = distinct.select("line", "first", "last", "n").join(same, "line", "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
