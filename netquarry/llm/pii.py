@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and terms that corpus co-occurrence shows to reveal what the patterns protect.
 
-An entity is the text of a base span. Its context is the CONTEXT characters on either side. A term t of the contexts
-of an entity e has pointwise mutual information log(p(t,e) / (p(t) p(e))); the entity's own information is -log p(e).
-Their ratio is 1 when t says as much as e itself. Terms at REMOVE or more are removed and those at GENERALISE or more
-are generalised, in the documents that hold e. Probabilities are shares of documents; equal contexts, as in copies,
-count once, so a term needs MIN_CONTEXTS different contexts of e before it counts at all. All of it is SQL.
+An entity is the text of a base span, and so is what it shares with others of its kind: an email's domain, an ip's first
+three numbers, a card's issuer (six digits), a phone number without its last four digits. Most texts of spans occur once,
+and their estimate is that of what they share. A term t of the documents with an entity e has pointwise mutual information
+log(p(t,e) / (p(t) p(e))); the entity's own information is -log p(e). Their ratio is 1 when t says as much as e itself.
+Terms at REMOVE or more are removed and those at GENERALISE or more are generalised, in the documents that hold e.
+Probabilities are shares of documents, whole texts but for emails. Of documents in which the CONTEXT characters on either
+side of e are equal, as in copies, one counts; a term needs MIN_CONTEXTS of those that count. All of it is SQL.
 """
 
 from __future__ import annotations
@@ -99,6 +101,18 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["k"].cast("string"), F.lower(span["v"]))
 
 
+def entities_of(span: Column) -> Column:
+    """The entity of a span and what it shares with others of its kind."""
+    value, digits = F.lower(span["v"]), _digits(span["v"])
+    shared = F.when(span["k"] == 0, F.substring_index(value, "@", -1)).when(span["k"] == 1, F.substring_index(value, ".", 3)).when(span["k"] == 2, F.left(digits, F.lit(6))).otherwise(F.left(digits, F.char_length(digits) - 4))
+    return F.array(entity(span), F.concat_ws("/", span["k"].cast("string"), shared))
+
+
+def prose(text: Column) -> Column:
+    """text without emails, the only spans with letters."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+
+
 def terms_in(context: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
 
@@ -109,15 +123,20 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     The counts cover all documents. A term's document count is taken only for terms that pass MIN_CONTEXTS.
     """
     n_docs = found.select(F.count(F.lit(1))).first()[0]
-    seen = found.filter(F.size("_base") > 0).select("_key", F.explode("_base").alias("x")).select("_key", entity(F.col("x")).alias("entity"), F.col("x.c").alias("context"))
-    contexts = seen.select("entity", "context").distinct()
-    of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= MIN_CONTEXTS)
-    pairs = contexts.join(of_entity, "entity").select("entity", "n_e", F.explode(terms_in(F.col("context"))).alias("term"))
+    spans = found.filter(F.size("_base") > 0).select("_key", F.explode("_base").alias("x"))
+    seen = spans.select("_key", F.explode(entities_of(F.col("x"))).alias("entity"), F.col("x.c").alias("context"))
+    holders = scratch.save(seen.groupBy("entity", "context").agg(F.min("_key").alias("_key")).select("entity", "_key").distinct(), "holders")
+    of_entity = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= MIN_CONTEXTS)
+    # One document's entities make an array of its own size.
+    of_doc = scratch.save(holders.join(of_entity, "entity").groupBy("_key").agg(F.collect_list(F.struct("entity", "n_e")).alias("_of")), "rated-docs")
+    text = F.coalesce("text", F.lit(""))
+    held = docs.select(F.struct(F.col("doc_id"), F.xxhash64(text)).alias("_key"), text.alias("_text")).join(small(of_doc), "_key").dropDuplicates(["_key"])
+    pairs = held.select("_of", F.explode(terms_in(prose(F.col("_text")))).alias("term")).select(F.explode("_of").alias("x"), "term").select("x.*", "term")
     counted = scratch.save(pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= MIN_CONTEXTS), "contexts")
     if counted.isEmpty():
         return counted.select("entity", "term", F.lit(0.0).alias("ratio"))
     wanted = small(scratch.save(counted.select("term").distinct(), "terms"))
-    words = docs.select(F.explode(terms_in(F.coalesce("text", F.lit("")))).alias("term"))
+    words = docs.select(F.explode(terms_in(prose(text))).alias("term"))
     # Terms are counted before the join, which is an inner one so that it stays above the count.
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
     total_ = F.lit(float(max(n_docs, 2)))
@@ -145,7 +164,7 @@ def spanned(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rules = scratch.save(disclosures(found, docs), "disclosures")
     if rules.isEmpty():
         return found.withColumn("_spans", F.col("_base")).drop("_key")
-    entities = found.filter(F.size("_base") > 0).select("_key", F.explode(F.array_distinct(F.transform("_base", entity))).alias("entity")).distinct()
+    entities = found.filter(F.size("_base") > 0).select("_key", F.explode(F.array_distinct(F.flatten(F.transform("_base", entities_of)))).alias("entity")).distinct()
     per_doc = entities.join(rules, "entity").groupBy("_key", "term").agg(F.max("ratio").alias("ratio")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("term", "ratio"))).alias("_terms"))
     held = docs.select("doc_id", text.alias("_text"), key).join(small(scratch.save(per_doc, "doc-terms")), "_key")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}])"))

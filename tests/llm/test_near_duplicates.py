@@ -215,6 +215,16 @@ def test_disclosing_terms(spark):
     assert out[100] == rows[5][1] and out[200] == "a copy of contact Unique Person <EMAIL> here"
 
 
+def test_terms_that_disclose_what_single_entities_share(spark):
+    """Each email occurs once; the term is far from it and stays where no email of the domain is."""
+    far = "plain words here and more of them until the text is long enough to be far away from it"
+    rows = [(k, f"Zorblax {far} number {letters(k)} write to {letters(k)}x@firm.example now") for k in range(5)]
+    rows += [(10, "Zorblax alone stays"), *((100 + k, f"{far} write to number {letters(k)} now") for k in range(80))]
+    out = {r["doc_id"]: r["text"] for r in pii.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[k].strip() == f"{far} number {letters(k)} write to <EMAIL> now" for k in range(5))
+    assert out[10] == rows[5][1] and out[100] == rows[6][1]
+
+
 def test_clean_hard_and_no_rows(hard):
     out = pii.clean(hard)
     assert out.columns == hard.columns and sorted(map(str, out.collect())) == sorted(map(str, hard.collect()))
