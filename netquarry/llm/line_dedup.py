@@ -5,8 +5,10 @@ first DEPTH words, at any size of leaf. In a leaf a line joins the template with
 all at least, and places that differ become variable. A template that occurs in two documents or more is recurring: its
 first place in order of doc_id stays, its others are dropped.
 
-Lines under MIN_WORDS words are too short to tell a template from chance and stay, and so do lines whose words all but
-MIN_FIXED are variable. Words are compared by 64-bit hashes, which are made again from the lines that share a leaf.
+Lines under MIN_WORDS words, and lines whose words all but MIN_FIXED are variable, are weak: they recur by chance too. They
+join only lines equal to them with the variable words masked, or verbatim if all are variable, and are recurring when
+WEAK_DOCS documents hold them and a share of all, WEAK_SHARE for a fixed word and a third of that for each more.
+Words are compared by 64-bit hashes, which are made again from the lines that share a leaf.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .exact_dedup import HOT_SHARE
+from .exact_dedup import HOT_SHARE, small
 from .quality_rules import let
 from .tokens import slices
 from .words import Words, mix
 
 MIN_WORDS = 5
 MIN_FIXED = 4
+WEAK_DOCS, WEAK_SHARE = 10, 0.01
 DEPTH = 3
 #: Templates in a leaf from which on a line is compared only with those that share a block of places; the result is the same.
 LEAF_LINES = 64
@@ -34,7 +37,7 @@ WILD = np.uint64(0x57494C44)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows of doc_id, th (the text's hash), pos, line (hash of the masked words), leaf of every line that can be a template."""
+    """Rows of doc_id, th (the text's hash), pos, line (hash of the masked words), leaf and weak (the number of fixed words of a weak line, -1 of others) of every line with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,24 +45,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 w = Words(batch["text"].slice(a, b - a), lines=True)
                 if not len(w.hashes):
                     continue
-                words = np.where(w.numeric, WILD, w.hashes)
                 first = np.flatnonzero(np.diff(w.lines, prepend=-1))
-                count = np.diff(np.append(first, len(words)))
+                count = np.diff(np.append(first, len(w.hashes)))
+                fixed = np.add.reduceat((~w.numeric).astype(np.int64), first)
+                words = np.where(w.numeric & np.repeat(fixed > 0, count), WILD, w.hashes)
                 place = np.arange(len(words)) - np.repeat(first, count)
                 placed = mix(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                fixed = np.add.reduceat((~w.numeric).astype(np.int64), first)
                 line = mix(np.add.reduceat(placed, first) + count.astype(np.uint64))
                 leaf = mix(np.add.reduceat(np.where(place < DEPTH, placed, np.uint64(0)), first) ^ (count.astype(np.uint64) << np.uint64(32)))
-                keep = np.flatnonzero((count >= MIN_WORDS) & (fixed >= MIN_FIXED))
-                row = np.repeat(np.arange(b - a), np.diff(w.rows))[first][keep]
-                pos = w.lines[first][keep] - w.row_lines[row]
+                weak = np.where((count >= MIN_WORDS) & (fixed >= MIN_FIXED), -1, fixed)
+                row = np.repeat(np.arange(b - a), np.diff(w.rows))[first]
+                pos = w.lines[first] - w.row_lines[row]
                 of_row = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(of_row), batch["th"].take(of_row), pa.array(pos.astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (line, leaf))],
-                    names=["doc_id", "th", "pos", "line", "leaf"],
+                    [batch["doc_id"].take(of_row), batch["th"].take(of_row), pa.array(pos.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (line, leaf)), pa.array(weak.astype(np.int32))],
+                    names=["doc_id", "th", "pos", "line", "leaf", "weak"],
                 )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(scratch.trimmed(run), "doc_id long, th long, pos int, line long, leaf long")
+    return docs.select("doc_id", "th", "text").mapInArrow(scratch.trimmed(run), "doc_id long, th long, pos int, line long, leaf long, weak int")
 
 
 class Leaf:
@@ -137,21 +140,33 @@ def merged(shared: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(scratch.trimmed(run), "line long, template long")
 
 
+def frequent(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """line and weak of weak lines that enough documents hold."""
+    n_docs = lines.select("doc_id", "th").distinct().count()
+    needed = F.greatest(F.lit(float(WEAK_DOCS)), WEAK_SHARE * n_docs / F.pow(F.lit(3.0), F.greatest(F.col("weak"), F.lit(1)) - 1))
+    likely = scratch.save(distinct.filter((F.col("weak") >= 0) & (F.col("n") >= needed)).select("line", "weak"), "likely")
+    # A line may stand in a document more than once.
+    held = lines.filter("weak >= 0").join(small(likely), ["line", "weak"]).select("line", "weak", "doc_id", "th").distinct()
+    return held.groupBy("line", "weak").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= needed).select("line", "weak")
+
+
 def drops(docs: DataFrame) -> DataFrame:
     """doc_id, th and drop, the numbers of the lines to drop, of documents that have any. docs: doc_id, th, text."""
     lines = scratch.save(lines_of(docs), "lines", texts=True)
     place = F.struct("doc_id", "th", "pos")
-    distinct = lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count(F.lit(1)).alias("n"))
+    distinct = lines.groupBy("leaf", "line", "weak").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count(F.lit(1)).alias("n"))
     distinct = scratch.save(distinct, "distinct-lines")
-    leaves = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    shared = distinct.select("leaf", "line", "first").join(leaves.select("leaf"), "leaf", "left_semi")
+    leaves = distinct.filter("weak < 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    shared = distinct.filter("weak < 0").select("leaf", "line", "first").join(leaves.select("leaf"), "leaf", "left_semi")
     same = scratch.save(merged(shared, docs), "templates")
     # The first line of a template stands for itself.
-    named = distinct.select("line", "first", "last", "n").join(same, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    often = scratch.save(frequent(lines, distinct), "frequent")
+    judged = distinct.filter("weak < 0").unionByName(distinct.filter("weak >= 0").join(small(often), ["line", "weak"], "left_semi").select(*distinct.columns))
+    named = judged.select("line", "first", "last", "n").join(same, "line", "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     recurring = recurring.filter(~(F.col("last.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("last.th") == F.col("first.th"))))
     of_line = scratch.save(named.select("line", "template", F.col("n").alias("line_n")).join(recurring.select("template", "first"), "template").select("line", "line_n", "first"), "recurring")
-    scratch.drop(distinct, same)
+    scratch.drop(distinct, same, often)
     total = of_line.agg(F.coalesce(F.sum("line_n"), F.lit(0))).first()[0]
     hot, rest = (of_line.filter(x).select("line", "first") for x in (F.col("line_n") > total / HOT_SHARE, F.col("line_n") <= total / HOT_SHARE))
     slim = lines.select("doc_id", "th", "pos", "line")

@@ -154,6 +154,14 @@ def test_lines_that_differ_in_two_of_five_words_stay(spark):
     assert lines_left(spark, rows + rows[:3]) == dict(rows)
 
 
+def test_frequent_short_and_mostly_variable_lines_go(spark):
+    """Few documents are chance, and so is a line that stands often in one; numbers alone must be equal."""
+    rows = [(k, f"own {letters(k)}\nAll rights reserved.\n10.0.0.{k} 47{k} closed by peer\n{k} {k + 1}") for k in range(12)]
+    rows += [(20 + k, f"other {letters(k)}\nNo idea.") for k in range(3)] + [(30, "\n".join(["Ha ha."] * 20)), (31, "Ha ha.")]
+    want = {i: t if i in (0, 20, 21, 22, 30, 31) else "\n".join(t.split("\n")[::3]) for i, t in rows}
+    assert lines_left(spark, rows) == want
+
+
 @pytest.mark.parametrize("n", [5, 6, 9, 10, 14, 15, 31])
 def test_lookup_of_templates_equals_comparing_all(monkeypatch, n):
     pick = np.random.default_rng(n)
