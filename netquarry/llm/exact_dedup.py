@@ -1,8 +1,10 @@
 """Exact dedup against immutable snapshots.
 
-A snapshot holds groups of equal texts (digest, text, keep_id, n) and, for each bucket of digests, a static binary-fuse
-filter. An incoming batch is first grouped by itself; the filters then screen its digests. A digest that they refuse is
-new. The others are joined with the snapshot's exact buckets on digest and text, so that bytes decide.
+A snapshot holds groups of equal texts (digest, keep_id, n), the documents that they are of and, for each bucket of
+digests, a static binary-fuse filter. An incoming batch is first grouped by itself; the filters then screen its digests.
+A digest that they refuse is new. The others meet the snapshot's exact buckets on the digest, and one text of each side is
+read again so that bytes decide. What comes back joins the batch's group with the snapshot's; all other groups stay as they
+are. Texts are read from the tables themselves and only those that pass the filters are moved.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse, scratch
+from .lookup import lookup
 
 #: Digests that a filter holds, on average.
 FILTER_KEYS = 1 << 14
@@ -39,34 +42,54 @@ def _bucket(digest: Column, buckets: int) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
-def grouped(docs: DataFrame, *extra: str) -> DataFrame:
-    """Groups of equal texts of docs (doc_id, text): extra, digest, text, keep_id (the largest doc_id) and n rows."""
-    text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select(*extra, "doc_id", text).withColumn("digest", F.sha2(F.col("text"), 256))
-    return rows.groupBy(*extra, "digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+def grouped(docs: DataFrame) -> DataFrame:
+    """Groups of equal texts of docs (doc_id, text, _new): _new, digest, keep_id (the largest doc_id) and n rows.
+
+    Two texts of one digest, should they ever be found, end the run with an error.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("_new", "doc_id", F.sha2(text, 256).alias("digest"), F.xxhash64(text).alias("_h"))
+    out = rows.groupBy("_new", "digest").agg(
+        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min("_h").alias("_first"), F.max("_h").alias("_last")
+    )
+    clash = F.raise_error(F.lit("two texts share a digest")).cast("long")
+    n = F.when(F.col("_first") == F.col("_last"), F.col("n")).otherwise(clash)
+    return out.select("_new", "digest", "keep_id", n.alias("n"))
+
+
+def texts_of(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest and text, one row each, of digests (a saved table of digest and keep_id). docs: doc_id, text."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("_id"), text.alias("text"), F.sha2(text, 256).alias("_digest"))
+    # The row that stays holds the text for all of its group; rows that share its doc_id too are one here.
+    met = rows.join(small(digests), (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("keep_id")))
+    return met.select("digest", "text").dropDuplicates(["digest"])
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    """An immutable set of groups and its filters."""
+    """An immutable set of documents, its groups and its filters."""
 
+    docs: DataFrame
     groups: DataFrame
     filters: DataFrame
     buckets: int
 
     @classmethod
-    def build(cls, groups: DataFrame) -> Snapshot:
-        """groups: a saved table of digest, text, keep_id, n."""
+    def build(cls, docs: DataFrame, groups: DataFrame) -> Snapshot:
+        """docs: doc_id, text; groups: a saved table of digest, keep_id, n."""
         buckets = max(1, -(-groups.count() // FILTER_KEYS))
 
         def make(table: pa.Table) -> pa.Table:
-            return pa.table({"bucket": table["bucket"].slice(0, 1), "filter": pa.array([fuse.build(np.asarray(table["key"]))], pa.binary())})
+            content = fuse.build(np.asarray(table["key"]))
+            return pa.table({"bucket": table["bucket"].slice(0, 1), "filter": pa.array([content], pa.binary())})
 
         keys = groups.select(_bucket(F.col("digest"), buckets).alias("bucket"), _key(F.col("digest")).alias("key"))
-        return cls(groups, scratch.save(keys.groupBy("bucket").applyInArrow(make, "bucket int, filter binary"), "fuse"), buckets)
+        filters = scratch.save(keys.groupBy("bucket").applyInArrow(make, "bucket int, filter binary"), "fuse")
+        return cls(docs, groups, filters, buckets)
 
     def screen(self, batch: DataFrame) -> DataFrame:
-        """Digests of batch (a saved table of distinct digests) that the filters don't refuse.
+        """digest and keep_id of batch (a saved table of distinct digests) that the filters don't refuse.
 
         Each bucket's digests are dealt to parts with a copy of its filter each, so that a part has a bounded number
         of digests however large the batch is.
@@ -77,21 +100,25 @@ class Snapshot:
             passed = np.zeros(len(left), bool)
             if len(right):
                 passed = fuse.contains(right["filter"][0].as_py(), np.asarray(left["key"]))
-            return left.select(["digest"]).filter(pa.array(passed))
-
-        key = _key(F.col("digest"))
-        rows = batch.select("digest", key.alias("key"), _bucket(F.col("digest"), self.buckets).alias("bucket"), F.pmod(F.xxhash64("digest"), F.lit(parts)).alias("part"))
-        filters = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        return rows.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part")).applyInArrow(check, "digest string")
-
-    def join(self, batch: DataFrame) -> DataFrame:
-        """batch's groups (a saved table) whose text the snapshot has: digest and the snapshot's keep_id and n."""
-        saved = scratch.save(self.screen(batch), "maybe")
-        maybe = small(saved)
-        mine = batch.join(maybe, "digest", "left_semi").select("digest", "text")
-        theirs = self.groups.join(maybe, "digest", "left_semi")
-        out = scratch.save(theirs.join(mine, ["digest", "text"]).select("digest", "keep_id", "n"), "found")
-        scratch.drop(saved)
+            return left.select(["digest", "keep_id"]).filter(pa.array(passed))
+
+        part = F.pmod(F.xxhash64("digest"), F.lit(parts))
+        bucket = _bucket(F.col("digest"), self.buckets)
+        rows = batch.select("digest", "keep_id", _key(F.col("digest")).alias("key"), bucket.alias("bucket"), part.alias("part"))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+        filters = self.filters.withColumn("part", copies)
+        both = rows.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part"))
+        return both.applyInArrow(check, "digest string, keep_id long")
+
+    def join(self, docs: DataFrame, batch: DataFrame) -> DataFrame:
+        """Those of batch's groups whose text the snapshot has: digest and the snapshot's keep_id and n. docs: the batch's documents."""
+        maybe = scratch.save(self.screen(batch), "maybe")
+        theirs = scratch.save(self.groups.join(small(maybe.select("digest")), "digest", "left_semi"), "theirs")
+        # What the filters let through by chance has no bucket entry, and its text isn't read.
+        mine = scratch.save(maybe.join(small(theirs.select("digest")), "digest", "left_semi"), "mine")
+        equal = texts_of(docs, mine).join(texts_of(self.docs, theirs), ["digest", "text"]).select("digest")
+        out = scratch.save(theirs.join(equal, "digest").select("digest", "keep_id", "n"), "found")
+        scratch.drop(maybe, theirs, mine)
         return out
 
 
@@ -100,48 +127,45 @@ def labels(docs: DataFrame, is_new: Column, carry: tuple[str, ...] = ("doc_id",)
 
     is_new tells the batch of each row; null counts as the snapshot's. A null text counts as empty. Of equal texts the
     row with the largest doc_id stays; of rows that share it too all do, and a null doc_id stays only if its group has no
-    other (keep_id is then null). An empty table gives no row. Two texts of one digest, should they ever be found, end
-    the run with an error.
+    other (keep_id is then null). An empty table gives no row. Columns of carry keep their values whatever their names.
     """
-    batched = docs.select("doc_id", "text", F.coalesce(is_new, F.lit(False)).alias("_new"))
-    groups = scratch.save(grouped(batched, "_new"), "groups")
+    batch = F.coalesce(is_new, F.lit(False))
+    batched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", batch.alias("_new"))
+    groups = scratch.save(grouped(batched), "groups")
     old, new = (groups.filter(F.col("_new") == x).drop("_new") for x in (False, True))
-    snapshot = Snapshot.build(old)
-    found = snapshot.join(new)
-    # Each digest has at most three rows here: the snapshot's, the batch's, and what the join found of the snapshot.
-    both = old.select("digest", "keep_id", "n", F.lit(1).alias("side")).unionByName(new.select("digest", "keep_id", "n", F.lit(2).alias("side"))).unionByName(found.withColumn("side", F.lit(3)))
-    of = lambda f, c, *sides: f(F.when(F.col("side").isin(*sides), F.col(c)))
-    joined = both.groupBy("digest").agg(
-        of(F.count, "n", 1).alias("old"),
-        of(F.count, "n", 2).alias("new"),
-        of(F.count, "n", 3).alias("found"),
-        of(F.max, "keep_id", 1, 2).alias("keep_id"),
-        of(F.sum, "n", 1, 2).alias("group_size"),
+    old_docs, new_docs = (batched.filter(F.col("_new") == x).select("doc_id", "text") for x in (False, True))
+    snapshot = Snapshot.build(old_docs, old)
+    found = snapshot.join(new_docs, new)
+    theirs = small(found.withColumnsRenamed({"keep_id": "their_id", "n": "their_n"}))
+    # What the batch learns: its own groups, and of those that the join found the snapshot's part too.
+    keep, size = F.greatest("keep_id", "their_id"), F.col("n") + F.coalesce("their_n", F.lit(0))
+    learnt = new.join(theirs, "digest", "left").withColumns({"keep": keep, "size": size, "met": F.col("their_n").isNotNull()})
+    learnt = scratch.save(learnt.select("digest", "n", "keep", "size", "met"), "learnt")
+    # Only groups that were met change in the snapshot.
+    update = learnt.filter("met").select("digest", F.col("keep").alias("new_keep"), F.col("size").alias("new_size"))
+    update = scratch.save(update, "update")
+    met = small(update)
+    stays = old.filter("n > 1").join(met, "digest", "left_anti").select("digest", "n", F.col("keep_id").alias("keep"), F.col("n").alias("size"))
+    changed = old.join(met, "digest").select("digest", "n", F.col("new_keep").alias("keep"), F.col("new_size").alias("size"))
+    side = lambda df, name: df.select(F.concat(F.lit(name), "digest").alias("_side"), F.col("n").alias("_rows"), "keep", "size")
+    table = side(learnt.filter("size > 1"), "new").unionByName(side(stays, "old")).unionByName(side(changed, "old"))
+    table = scratch.save(table, "dup-groups")
+    scratch.drop(groups, snapshot.filters, found, learnt, update)
+    row = F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", *carry)))).alias("_row")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.select(row, digest.alias("text_sha256"), F.concat(F.when(batch, "new").otherwise("old"), digest).alias("_side"))
+    out = lookup(rows, table, "_side", "_rows")
+    alone = F.col("size").isNull()
+    return out.select(
+        *(F.col(f"_row.`{c}`") for c in carry),
+        F.when(alone, F.col("_row.doc_id")).otherwise(F.col("keep")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        F.when(alone, True).otherwise(F.col("_row.doc_id").eqNullSafe(F.col("keep"))).alias("kept"),
+        "text_sha256",
     )
-    clash = F.raise_error(F.lit("two texts share a digest")).cast("long")
-    bad = (F.col("old") > 1) | (F.col("new") > 1) | ((F.col("old") + F.col("new") == 2) & (F.col("found") != 1))
-    info = scratch.save(joined.select("digest", "keep_id", F.when(bad, clash).otherwise(F.col("group_size")).alias("group_size")).filter("group_size > 1"), "dup-groups")
-    scratch.drop(groups, snapshot.filters, found)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", *carry)))).alias("_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return labelled(rows, info).select(*(F.col(f"_row.`{c}`") for c in carry), F.when(F.col("group_size").isNull(), F.col("_row.doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("group_size").isNull(), True).otherwise(F.col("_row.doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 
 
 def dedupe(docs: DataFrame, is_new: Column) -> DataFrame:
     """The rows of docs that stay, with docs' columns."""
     held = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_row", "doc_id", "text")
     return labels(held, is_new, ("_row",)).filter("kept").select("_row.*")
-
-
-def labelled(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """rows with keep_id and group_size of their digest, or null. info: a saved table of groups of two rows and more.
-
-    Rows of hot groups meet a broadcast table of fewer than HOT_SHARE rows, so no task gets a hot group's rows.
-    """
-    total = info.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    hot = info.filter(F.col("group_size") > total / HOT_SHARE)
-    rest = info.filter(F.col("group_size") <= total / HOT_SHARE)
-    with_hot = rows.join(F.broadcast(hot.select(F.col("digest").alias("text_sha256"), F.col("keep_id").alias("_k"), F.col("group_size").alias("_n"))), "text_sha256", "left")
-    # A hot group's row is already answered and gets a key of its own, so it is dealt out evenly.
-    key = F.when(F.col("_n").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.col("_row.doc_id").cast("string")))
-    out = with_hot.withColumn("_key", key).join(rest.withColumnRenamed("digest", "_key"), "_key", "left")
-    return out.select("_row", "text_sha256", F.coalesce("_k", "keep_id").alias("keep_id"), F.coalesce("_n", "group_size").alias("group_size"))

@@ -18,8 +18,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     values = [c for c in table.columns if c not in (key, weight)]
     hot = table.filter(F.col(weight) > total / HOT_SHARE).select(F.col(key), *(F.col(c).alias(f"_hot_{c}") for c in values), F.lit(True).alias("_hot"))
-    rest = table.filter(F.col(weight) <= total / HOT_SHARE).select(F.col(key).cast("string").alias("_key"), *(F.col(c).alias(f"_rest_{c}") for c in values))
+    rest = table.filter(F.col(weight) <= total / HOT_SHARE).select(F.col(key).cast("string").alias("_lookup"), *(F.col(c).alias(f"_rest_{c}") for c in values))
     met = rows.join(F.broadcast(hot), key, "left")
     own = F.concat(F.lit("\x00"), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)).cast("string"))
-    met = met.withColumn("_key", F.when(F.col("_hot") | F.col(key).isNull(), own).otherwise(F.col(key).cast("string"))).join(rest, "_key", "left")
+    met = met.withColumn("_lookup", F.when(F.col("_hot") | F.col(key).isNull(), own).otherwise(F.col(key).cast("string"))).join(rest, "_lookup", "left")
     return met.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in values))

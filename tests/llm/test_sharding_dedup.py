@@ -87,8 +87,34 @@ def test_a_filter_screens_the_batch(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "FILTER_KEYS", 100)
     from netquarry.llm import scratch
 
-    make = lambda a, b: scratch.save(exact_dedup.grouped(spark.range(a, b).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))), "g")
-    old, new = make(0, 2000), make(1000, 6000)
-    snapshot = exact_dedup.Snapshot.build(old)
+    docs = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    make = lambda df: scratch.save(exact_dedup.grouped(df.withColumn("_new", F.lit(True))).drop("_new"), "g")
+    new = make(docs(1000, 6000))
+    snapshot = exact_dedup.Snapshot.build(docs(0, 2000), make(docs(0, 2000)))
     maybe = snapshot.screen(new).count()
-    assert snapshot.buckets == 20 and 1000 <= maybe < 1100 and snapshot.join(new).count() == 1000
+    assert snapshot.buckets == 20 and 1000 <= maybe < 1100
+    assert sorted(r["keep_id"] for r in snapshot.join(docs(1000, 6000), new).collect()) == list(range(1000, 2000))
+
+
+def test_labels_come_from_the_join(spark, monkeypatch):
+    """What the join returns decides the labels of groups that both batches have, and a text is met by its bytes."""
+    rows = [(k, f"text {k % 40}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = exact_dedup.Snapshot.join
+    new = F.col("doc_id") >= 50
+    right = {r["doc_id"]: r for r in exact_dedup.labels(docs, new).collect()}
+    assert right[0]["keep_id"] == 80 and right[0]["group_size"] == 3
+    changed = lambda self, docs, batch: spark.createDataFrame(join(self, docs, batch).withColumns({"keep_id": F.lit(900), "n": F.lit(7)}).collect(), "digest string, keep_id long, n long")
+    monkeypatch.setattr(exact_dedup.Snapshot, "join", lambda self, docs, batch: exact_dedup_saved(changed(self, docs, batch)))
+    wrong = {r["doc_id"]: r for r in exact_dedup.labels(docs, new).collect()}
+    assert wrong[0]["keep_id"] == 900 and wrong[0]["group_size"] == 8
+    monkeypatch.setattr(exact_dedup.Snapshot, "join", join)
+    monkeypatch.setattr(exact_dedup, "texts_of", lambda docs, digests: digests.select("digest", F.col("keep_id").cast("string").alias("text")))
+    apart = {r["doc_id"]: r["group_size"] for r in exact_dedup.labels(docs, new).collect()}
+    assert apart[0] == 2 and apart[80] == 1
+
+
+def exact_dedup_saved(df):
+    from netquarry.llm import scratch
+
+    return scratch.save(df, "changed")
