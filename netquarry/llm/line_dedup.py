@@ -1,9 +1,13 @@
 """Line dedup by a log-template tree.
 
 A line's words with a digit are variable fields and become one wildcard. A leaf of the tree is a number of words and the
-first DEPTH words, at any size of leaf. In a leaf a line joins the template with which it shares most places, SIMILAR of
-all at least, and places that differ become variable. A template that occurs in two documents or more is recurring: its
-first place in order of doc_id stays, its others are dropped.
+first DEPTH words, at any size of leaf. In a leaf lines are taken in order of their hash: a line joins the first template
+whose first line has the same word at SIMILAR of all places at least, or begins a template of its own. So every line is
+held against one real line, not against what earlier joins have left of it. A template that occurs in two documents or
+more is recurring: its first place in order of doc_id stays, its others are dropped.
+
+A leaf of more than HEAD lines is settled in rounds with the same result: the first lines of the leaf, a bounded number,
+find their templates in every task that has a part of the leaf; the part's lines join these or go to the next round.
 
 Lines under MIN_WORDS words, and lines whose words all but MIN_FIXED are variable, are weak: they recur by chance too. They
 join only lines equal to them with the variable words masked, or verbatim if all are variable, and are recurring when
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .exact_dedup import HOT_SHARE, small
+from .lookup import lookup
 from .quality_rules import let
 from .tokens import slices
 from .words import Words, mix
@@ -31,8 +36,11 @@ MIN_FIXED = 4
 WEAK_DOCS, WEAK_SHARE = 10, 0.01
 DEPTH = 3
 #: Templates in a leaf from which on a line is compared only with those that share a block of places; the result is the same.
-LEAF_LINES = 64
-SIMILAR = 0.8
+COMPARED = 64
+#: Lines of a leaf that are settled first, at most in a round, and that a task has besides; the result is the same.
+HEAD, MAX_HEAD, PART_LINES = 512, 1 << 16, 4096
+#: Places of all that must be equal, in tenths.
+SIMILAR = 8
 WILD = np.uint64(0x57494C44)
 
 
@@ -66,78 +74,142 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 class Leaf:
-    """The templates of one leaf, of lines of n words."""
+    """The templates of one leaf, of lines of n words, each by its first line."""
 
     def __init__(self, n: int):
-        differ = next(k for k in range(n, -1, -1) if (n - k) / n >= SIMILAR)
-        # A line and a template that it joins differ in so many places at most, so of one block more one is equal in both.
-        self.blocks = np.array_split(np.arange(DEPTH, n), differ + 1)
-        self.words, self.fixed = np.empty((1, n), np.uint64), np.empty((1, n), bool)
-        self.size, self.index = 0, {}
-
-    def keys(self, words: np.ndarray) -> list[int]:
-        return [hash((j, words[block].tobytes())) for j, block in enumerate(self.blocks)]
-
-    def enter(self, k: int) -> None:
-        for key in self.keys(self.words[k]):
-            self.index.setdefault(key, []).append(k)
-
-    def grow(self, words: np.ndarray) -> int:
-        """Number of the template that a line joins, a new one if none is similar enough."""
-        indexed = self.size > LEAF_LINES
-        if indexed and not self.index:
-            for k in range(self.size):
-                self.enter(k)
-        near = np.array(sorted({k for key in self.keys(words) for k in self.index.get(key, ())}), np.int64) if indexed else np.arange(self.size)
-        if len(near):
-            at = near if indexed else slice(0, self.size)
-            alike = (self.words[at] == words) & self.fixed[at]
-            share = alike.sum(axis=1) / len(words)
-            best = int(share.argmax())
-            if share[best] >= SIMILAR:
-                self.fixed[near[best]] = alike[best]
-                return int(near[best])
-        if self.size == len(self.words):
-            self.words, self.fixed = (np.concatenate([x, np.empty_like(x)]) for x in (self.words, self.fixed))
-        self.words[self.size], self.fixed[self.size] = words, True
-        self.size += 1
-        if indexed:
-            self.enter(self.size - 1)
-        return self.size - 1
-
-
-def merged(shared: DataFrame, docs: DataFrame) -> DataFrame:
-    """line and template (the first line of its template) of lines that share a template with another. shared: leaf, line, first (place) of leaves with two lines or more."""
+        self.needed = -(-SIMILAR * n // 10)
+        # Lines that are alike differ in n - needed places at most, so of one block more one is equal in both.
+        self.blocks = np.array_split(np.arange(DEPTH, n), n - self.needed + 1)
+        self.firsts, self.names = np.empty((1, n), np.uint64), []
+        self.index, self.entered = {}, 0
+
+    def keys(self, words: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(j, words[block].tobytes()) for j, block in enumerate(self.blocks)]
+
+    def find(self, words: np.ndarray) -> int | None:
+        """Name of the first template that a line is alike, if any."""
+        size = len(self.names)
+        if size <= COMPARED:
+            near = np.arange(size)
+        else:
+            self._enter()
+            near = np.array(sorted({k for key in self.keys(words) for k in self.index.get(key, ())}), np.int64)
+        alike = near[(self.firsts[near] == words).sum(axis=1) >= self.needed]
+        return self.names[alike[0]] if len(alike) else None
+
+    def _enter(self) -> None:
+        """All templates into the index of blocks."""
+        for k in range(self.entered, len(self.names)):
+            for key in self.keys(self.firsts[k]):
+                self.index.setdefault(key, []).append(k)
+        self.entered = len(self.names)
+
+    def join(self, name: int, words: np.ndarray) -> int:
+        """Name of the template that a line joins, its own if it begins one."""
+        known = self.find(words)
+        if known is not None:
+            return known
+        if len(self.names) == len(self.firsts):
+            self.firsts = np.concatenate([self.firsts, np.empty_like(self.firsts)])
+        self.firsts[len(self.names)] = words
+        self.names.append(name)
+        return name
+
+
+def masked(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The words of each line, those with a digit as the wildcard."""
+    w = Words(texts, lines=True)
+    words = np.where(w.numeric, WILD, w.hashes)
+    for a, b in zip(w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True):
+        yield words[a:b]
+
+
+def taken(shared: DataFrame, docs: DataFrame) -> DataFrame:
+    """leaf, line and text of shared's lines (leaf, line, first: the place where it stands first)."""
+    # One document's lines make an array of its own size.
+    wanted = shared.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"))
+    wanted = wanted.agg(F.collect_list(F.struct("leaf", "line", "first.pos")).alias("_wanted"))
+    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    at = lambda lines, x: F.struct(x["leaf"].alias("leaf"), x["line"].alias("line"), F.get(lines, x["pos"]).alias("text"))
+    every = let(F.split("text", "\n"), lambda lines: F.transform("_wanted", lambda x: at(lines, x)))
+    return held.select(F.explode(every).alias("x")).select("x.*")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """line and template of rows (leaf, line, text) that join a line before them, in leaves of at most HEAD lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, last, names, tree = None, None, [], None
+        leaf, last, tree = None, None, None
         for batch in batches:
             out: tuple[list[int], list[int]] = ([], [])
             leaves, lines = batch["leaf"].to_pylist(), batch["line"].to_pylist()
             for a, b in slices(batch["text"]):
-                w = Words(batch["text"].slice(a, b - a), lines=True)
-                words = np.where(w.numeric, WILD, w.hashes)
-                for i in range(a, b):
+                for i, words in enumerate(masked(batch["text"].slice(a, b - a)), a):
                     if (leaves[i], lines[i]) == (leaf, last):
                         continue  # of an equal row
-                    own = words[w.rows[i - a] : w.rows[i - a + 1]]
                     if leaves[i] != leaf:
-                        leaf, names, tree = leaves[i], [], Leaf(len(own))
+                        leaf, tree = leaves[i], Leaf(len(words))
                     last = lines[i]
-                    k = tree.grow(own)
-                    if k == len(names):
-                        names.append(last)
-                    else:
+                    name = tree.join(last, words)
+                    if name != last:
                         out[0].append(last)
-                        out[1].append(names[k])
+                        out[1].append(name)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["line", "template"])
 
-    # One document's lines make an array of its own size.
-    wanted = shared.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")).agg(F.collect_list(F.struct("leaf", "line", "first.pos")).alias("_wanted"))
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    taken = let(F.split("text", "\n"), lambda lines: F.transform("_wanted", lambda x: F.struct(x["leaf"].alias("leaf"), x["line"].alias("line"), F.get(lines, x["pos"]).alias("text"))))
-    rows = held.select(F.explode(taken).alias("x")).select("x.*")
-    return rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(scratch.trimmed(run), "line long, template long")
+    ordered = rows.repartition("leaf").sortWithinPartitions("leaf", "line")
+    return ordered.mapInArrow(scratch.trimmed(run), "line long, template long")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same for leaves of any size, whose lines are dealt to many tasks."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [w.tobytes() for a, b in slices(batch["text"]) for w in masked(batch["text"].slice(a, b - a))]
+            columns = [batch["leaf"], batch["line"], pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["leaf", "line", "words"])
+
+    def settle(part: pa.Table, head: pa.Table) -> pa.Table:
+        head = head.sort_by("name")
+        firsts = [np.frombuffer(x, np.uint64) for x in head["first"].to_pylist()]
+        tree = Leaf(len(firsts[0]))
+        own = {name: tree.join(name, words) for name, words in zip(head["name"].to_pylist(), firsts, strict=True)}
+        lines, words = part["line"].to_pylist(), part["words"].to_pylist()
+        found = [own[x] if x in own else tree.find(np.frombuffer(w, np.uint64)) for x, w in zip(lines, words, strict=True)]
+        left = [w if t is None else None for t, w in zip(found, words, strict=True)]
+        return pa.table({"leaf": part["leaf"], "line": part["line"], "template": pa.array(found, pa.int64()), "words": pa.array(left, pa.binary())})
+
+    left = scratch.save(rows.mapInArrow(scratch.trimmed(hashes), "leaf long, line long, words binary").dropDuplicates(["leaf", "line"]), "crowded")
+    head, rounds, unused = HEAD, [], [left]
+    while True:
+        counts = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"))
+        # Hashes lie evenly, so about head lines of a leaf are below this bound.
+        low = F.col("low").cast("double")
+        bound = F.greatest("low", (low + (2.0**63 - low) * head / F.col("n")).cast("long"))
+        bound = F.when(F.col("n") > head, bound).otherwise(F.lit((1 << 63) - 1))
+        parts = F.ceil(F.col("n") / max(PART_LINES, 4 * head))
+        counts = scratch.save(counts.select("leaf", "n", bound.alias("bound"), parts.alias("parts")), "crowded-leaves")
+        unused.append(counts)
+        if counts.isEmpty():
+            break
+        dealt = lookup(left, counts, "leaf", "n")
+        mine = dealt.withColumn("part", F.pmod(F.xxhash64("line"), "parts")).select("leaf", "part", "line", "words")
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        first = dealt.filter(F.col("line") <= F.col("bound"))
+        first = first.select(F.col("leaf").alias("of_leaf"), copies.alias("of_part"), F.col("line").alias("name"), F.col("words").alias("first"))
+        both = mine.groupBy("leaf", "part").cogroup(first.groupBy("of_leaf", "of_part"))
+        done = both.applyInArrow(settle, "leaf long, line long, template long, words binary")
+        done = scratch.save(done, "crowded")
+        unused.append(done)
+        rounds.append(done.filter(F.col("template") != F.col("line")).select("line", "template"))
+        left = done.filter("template is null").select("leaf", "line", "words")
+        head = min(4 * head, MAX_HEAD)
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    out = scratch.save(every, "settled")
+    scratch.drop(*unused)
+    return out
 
 
 def frequent(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -157,16 +229,21 @@ def drops(docs: DataFrame) -> DataFrame:
     distinct = lines.groupBy("leaf", "line", "weak").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count(F.lit(1)).alias("n"))
     distinct = scratch.save(distinct, "distinct-lines")
     leaves = distinct.filter("weak < 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    shared = distinct.filter("weak < 0").select("leaf", "line", "first").join(leaves.select("leaf"), "leaf", "left_semi")
-    same = scratch.save(merged(shared, docs), "templates")
+    leaves = scratch.save(leaves.withColumn("in_leaf", F.col("lines")), "leaves")
+    shared = lookup(distinct.filter("weak < 0").select("leaf", "line", "first"), leaves, "leaf", "lines")
+    same = scratch.save(merged(taken(shared.filter(F.col("in_leaf").between(2, HEAD)), docs)), "templates")
+    crowded = []
+    if not leaves.filter(F.col("in_leaf") > HEAD).isEmpty():
+        crowded.append(settled(taken(shared.filter(F.col("in_leaf") > HEAD), docs)))
     # The first line of a template stands for itself.
     often = scratch.save(frequent(lines, distinct), "frequent")
     judged = distinct.filter("weak < 0").unionByName(distinct.filter("weak >= 0").join(small(often), ["line", "weak"], "left_semi").select(*distinct.columns))
-    named = judged.select("line", "first", "last", "n").join(same, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    joined = same.unionByName(crowded[0]) if crowded else same
+    named = judged.select("line", "first", "last", "n").join(joined, "line", "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     recurring = recurring.filter(~(F.col("last.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("last.th") == F.col("first.th"))))
     of_line = scratch.save(named.select("line", "template", F.col("n").alias("line_n")).join(recurring.select("template", "first"), "template").select("line", "line_n", "first"), "recurring")
-    scratch.drop(distinct, same, often)
+    scratch.drop(distinct, leaves, same, often, *crowded)
     total = of_line.agg(F.coalesce(F.sum("line_n"), F.lit(0))).first()[0]
     hot, rest = (of_line.filter(x).select("line", "first") for x in (F.col("line_n") > total / HOT_SHARE, F.col("line_n") <= total / HOT_SHARE))
     slim = lines.select("doc_id", "th", "pos", "line")
@@ -174,7 +251,7 @@ def drops(docs: DataFrame) -> DataFrame:
     hits = hit.unionByName(slim.join(F.broadcast(hot), "line", "left_anti").join(rest, "line"))
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.pos") == F.col("pos"))
     # One document's lines make an array of its own size.
-    out = scratch.save(hits.filter(~stays).groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("pos")).alias("drop")), "drops")
+    out = scratch.save(hits.filter(~stays).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")), "drops")
     scratch.drop(lines, of_line)
     return out
 
@@ -183,8 +260,9 @@ def dedupe(docs: DataFrame, drop_empty: bool = True) -> DataFrame:
     """docs (doc_id, text and any more) without the lines of recurring templates but the first, with n_lines and n_dropped.
 
     Rows equal in doc_id and text count as one document and are treated alike. A null text has no line and stays null;
-    blank lines stay. A document whose lines with words have all been dropped is left out, unless drop_empty is False. An
-    empty table gives no row.
+    blank lines stay. A document whose lines with words have all been dropped is left out, unless drop_empty is False. Of
+    places that tie by doc_id the one of the least text hash comes first, then that of the least line number. Columns of
+    docs named n_lines or n_dropped are replaced; others keep their values. An empty table gives no row.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
