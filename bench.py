@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from netquarry import shared
 from netquarry.operators import index as ix
 from netquarry.operators import search
 from netquarry.plans.queries import QUERIES
@@ -24,7 +25,8 @@ from netquarry.sources import store, terms
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["ipv4_index_documents", "synth_index_all", "index_records_text", "combined_index_multi_source", "search_terms_exact", "search_quick_counts", "search_retrieve_lines", "template_match", "top_talkers", "cidr_search"]
+HEADLINE = """ipv4_index_documents synth_index_all index_records_text combined_index_multi_source search_terms_exact
+    search_quick_counts search_retrieve_lines template_match top_talkers cidr_search""".split()
 #: Copies of the events in the log that is indexed and searched as a file.
 COPIES = int(os.environ.get("BENCH_LOG_COPIES", "20"))
 
@@ -61,17 +63,23 @@ def main() -> None:
 
     events.select(F.concat(F.lit("Jan 01 00:00:00 host daemon: "), F.expr(SYNTHETIC_TEXT)).alias("value")).write.text(f"{place}/log")
     size = sum(p.stat().st_size for p in Path(place, "log").glob("part-*")) / 1e6
-    lines = src.read_lines(spark, f"{place}/log")
+    # The splits are counted once, by the first of the three that read the log.
+    began = time.perf_counter()
+    lines = src.read_lines(spark, f"{place}/log", shared.save(src.split_table(spark, f"{place}/log"), "splits"))
+    splits = time.perf_counter() - began
     queries["log_count_index"] = timed(lambda: drain(ix.counts(ix.occurrences(lines))))
     queries["log_index_write"] = timed(lambda: store.write_parquet(ix.postings(ix.occurrences(lines)), f"{place}/index"))
     index = store.read_parquet(spark, f"{place}/index")
+    queries["log_index_write"] = round(queries["log_index_write"] + splits, 3)
     wanted = terms.argument_terms(spark, "10.1.2.3,2001:db8::1f")
     queries["log_quick_search"] = timed(lambda: search.quick(index, wanted).collect())
     queries["log_retrieve"] = timed(lambda: drain(search.retrieve(lines, search.hits(index, wanted))))
     n = spark.read.text(f"{place}/log").count()
     spark.stop()
     shutil.rmtree(place, ignore_errors=True)
-    out = {"metric": "total_seconds", "value": round(sum(queries.values()), 3), "unit": "sec", "queries": queries, "sf": Path(SF_DIR).name.removeprefix("sf"), "log_mb": round(size, 1), "log_lines": n, "index_lines_per_min": round(60 * n / queries["log_index_write"]), "index_mb_per_sec": round(size / queries["log_index_write"], 1)}
+    out = {"metric": "total_seconds", "value": round(sum(queries.values()), 3), "unit": "sec", "queries": queries}
+    out |= {"sf": Path(SF_DIR).name.removeprefix("sf"), "log_mb": round(size, 1), "log_lines": n}
+    out |= {"index_lines_per_min": round(60 * n / queries["log_index_write"]), "index_mb_per_sec": round(size / queries["log_index_write"], 1)}
     print(json.dumps(out))
 
 

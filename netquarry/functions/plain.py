@@ -1,4 +1,7 @@
-"""The extraction rules in plain Python: a table function for SQL users, and what tests hold the Column form against."""
+"""The extraction rules in plain Python: a table function for SQL users, and what tests hold the Column form against.
+
+Its patterns and limits are its own, so that a mistake in those of the Column form shows.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,9 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from .addresses import IPV6_FULL, IPV6_SHORT, MAC, MAX_ADDRESSES, MAX_LINE_BYTES
+HEX = "0123456789abcdefABCDEF"
+RUN = re.compile("[0-9A-Fa-f:-]+")
+TAIL = re.compile(r"[0-9]{0,2}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Fa-f:.-])")
 
 
 def _quad(text: str) -> str | None:
@@ -18,26 +23,70 @@ def _quad(text: str) -> str | None:
     return ".".join(str(int(p)) for p in parts)
 
 
-def extract(text: str | None, max_line_bytes: int | None = MAX_LINE_BYTES) -> list[tuple[str, str]]:
-    """Kind and address of each address of a line, in order of fields, by the "ref" dialect."""
-    if text is None or (max_line_bytes is not None and len(text.encode()) > max_line_bytes):
+def _mac(run: str) -> str | None:
+    pairs, marks = run[:17:3] + run[1:17:3], set(run[2:17:3])
+    good = len(run) >= 17 and all(c in HEX for c in pairs) and marks in ({":"}, {"-"})
+    return run[:17].lower().replace("-", ":") if good else None
+
+
+def _ipv6(s: str, fewest: int = 0) -> bool:
+    """Whether s has eight groups, or fewer around one pair of colons; a single colon may follow the last group."""
+    short = s.count("::") == 1 or ":::" in s and s.count("::") == s.count(":::")
+    if "::::" in s or not short and "::" in s:
+        return False
+    left, mark, right = s.partition("::")
+    third = mark and right.startswith(":")
+    if third:
+        if not left:
+            return False
+        right = right[1:]
+    right = right.removesuffix(":") if right else right
+    groups = (left.split(":") if left else []) + (right.split(":") if right else [])
+    if not mark:
+        groups = s.removesuffix(":").split(":")
+        if len(groups) != 8:
+            return False
+    if any(not 1 <= len(g) <= 4 for g in groups):
+        return False
+    return fewest <= len(groups) and len(groups) + bool(third) <= 8
+
+
+def extract(text: str | None, dialect: str = "ref", max_line_bytes: int | None = -1, max_addresses: int | None = -1) -> list[tuple[str, str]]:
+    """Kind and address of each address of a line, in order of fields."""
+    ref = dialect == "ref"
+    most_bytes = (8191 if ref else None) if max_line_bytes == -1 else max_line_bytes
+    most = (256 if ref else None) if max_addresses == -1 else max_addresses
+    if text is None or (most_bytes is not None and len(text.encode()) > most_bytes):
         return []
     out: list[tuple[str, str]] = []
     for run in re.findall("[0-9.]+", text):
-        quad = _quad(run[:15])
+        quad = _quad(run[:15]) if ref else _quad(run.strip("."))
         if quad:
-            out += [("ipv4", quad)] * (1 + run[15:].count("."))
-    for run in re.findall("[0-9A-Fa-f:-]+", text):
+            out += [("ipv4", quad)] * (1 + run[15:].count(".") * ref)
+    at = 0
+    while m := RUN.search(text, at):
+        run, at = m.group(), m.end()
         if ":" not in run and "-" not in run:
             continue
-        if re.match(MAC, run):
-            out.append(("mac", run[:17].lower().replace("-", ":")))
+        # A run whose last group goes on as a quad.
+        last = re.search("[0-9A-Fa-f:]*:[0-9]{1,3}$", run)
+        tail = TAIL.match(text, at) if last and last.start() == 0 else None
+        if tail:
+            groups, quad = run[: run.rindex(":") + 1], run[run.rindex(":") + 1 :] + tail.group()
+            enough = not ref or len(re.findall("[0-9A-Fa-f]+", groups)) >= 6
+            at = tail.end()
+            if _quad(quad) and enough and _ipv6(groups + "0:0", 0 if ref else 2):
+                out.append(("ipv6", groups + quad))
+                continue
+        if mac := _mac(run):
+            out.append(("mac", mac))
             continue
         s = run.split("-")[0][:39]
-        short = re.match(IPV6_SHORT, s) and len(re.findall("[0-9A-Fa-f]+", s)) + (":::" in s) <= 8
-        if re.match(IPV6_FULL, s) or short:
+        if not ref and re.search("[^:]:$", s):
+            s = s[:-1]
+        if _ipv6(s, 0 if ref else 2):
             out.append(("ipv6", s))
-    return out[:MAX_ADDRESSES]
+    return out[:most]
 
 
 @udtf(returnType="kind string, address string, field int")

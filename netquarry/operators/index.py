@@ -4,50 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.addresses import addresses
+from ..functions.addresses import addresses, found, kind_of
 
 #: Lines that a bucket of postings spans. An address in every line has this many places in a row, not all of them.
 BUCKET_LINES = 1 << 20
-
-
-def occurrences(lines: DataFrame, dialect: str = "ref", kinds: Sequence[str] | None = None, max_line_bytes: int | None = -1) -> DataFrame:
-    """file, line_no, field, kind and address of every address in lines (file, line_no, text)."""
-    found = addresses("text", dialect, kinds, max_line_bytes)
+#: Lines that a text record spans; an address in more has further records.
+RECORD_LINES = 1 << 24
+
+
+def occurrences(
+    lines: DataFrame,
+    dialect: str = "ref",
+    kinds: Sequence[str] | None = None,
+    max_line_bytes: int | None = -1,
+    max_addresses: int | None = -1,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """file, line_no, field, kind and address of every address in lines (file, line_no, text), with the columns in keep."""
+    columns = ["file", "line_no", *keep]
+    wanted = set(kinds or ())
     # The outer form, because the optimizer would put a filter on the array, and so all of the extraction, before the other.
-    rows = lines.select("file", "line_no", F.posexplode_outer(found).alias("pos", "x")).filter(F.col("x").isNotNull())
-    rows = rows.select("file", "line_no", (F.col("pos") + 1).alias("field"), "x.kind", "x.address")
-    return rows.filter(kind_filter(*kinds)) if kinds else rows
-
-
-def postings(found: DataFrame, per_file: bool = True, bucket_lines: int = BUCKET_LINES) -> DataFrame:
+    if wanted and wanted != {"ipv4"}:
+        # Fields count all addresses; those of other kinds go before they become rows.
+        some = addresses("text", dialect, kinds, max_line_bytes, max_addresses)
+        rows = lines.select(*columns, F.explode_outer(some).alias("x")).filter(F.col("x").isNotNull())
+        return rows.select("file", "line_no", "x.field", "x.kind", "x.address", *keep)
+    every = found("text", dialect, kinds, max_line_bytes, max_addresses)
+    rows = lines.select(*columns, F.posexplode_outer(every).alias("pos", "address")).filter(F.col("address").isNotNull())
+    kind = F.lit("ipv4") if wanted else kind_of(F.col("address"))
+    return rows.select("file", "line_no", (F.col("pos") + 1).alias("field"), kind.alias("kind"), "address", *keep)
+
+
+def postings(occ: DataFrame, per_file: bool = True, bucket_lines: int = BUCKET_LINES) -> DataFrame:
     """[file,] address, kind, bucket, n and sorted locations of occurrences, a row for each bucket of lines."""
-    keys = ["file"] * per_file + ["address", "kind"]
+    keys = ["file"] * per_file + ["address"]
     bucket = F.floor(F.col("line_no") / bucket_lines).cast("long").alias("bucket")
     place = F.struct(F.col("line_no").alias("line"), F.col("field").alias("field"))
-    return found.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(place)).alias("locations"))
+    out = occ.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(place)).alias("locations"))
+    return out.select(*keys, kind_of(F.col("address")).alias("kind"), "bucket", "n", "locations")
 
 
-def build_index(found: DataFrame, per_file: bool = True) -> DataFrame:
-    """[file,] address, kind, n and locations of occurrences, a row for each address.
+def build_index(occ: DataFrame, per_file: bool = True, record_lines: int = RECORD_LINES) -> DataFrame:
+    """[file,] address, kind, part, n, total and locations of occurrences: the records of the text form.
 
-    Counts are summed and places gathered by bucket first. In combined mode line numbers of several files meet, as in the
-    text form; postings keep the file.
+    An address has a record for each record_lines lines that it occurs in, so that no row grows with the log; n counts
+    the record's places and total all of the address. In combined mode line numbers of several files meet, as in the text
+    form; postings keep the file.
     """
-    keys = ["file"] * per_file + ["address", "kind"]
-    whole = postings(found, per_file).groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bucket", "locations"))).alias("_b"))
-    return whole.withColumn("locations", F.flatten(F.transform("_b", lambda x: x["locations"]))).drop("_b")
+    keys = ["file"] * per_file + ["address"]
+    parts = postings(occ, per_file, record_lines).withColumnRenamed("bucket", "part")
+    return parts.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def counts(found: DataFrame, *keys: str) -> DataFrame:
+def counts(occ: DataFrame, *keys: str) -> DataFrame:
     """n of each address, without its places: partial sums before the shuffle, one number for each address after it."""
-    return found.groupBy(*(keys or ("address", "kind"))).agg(F.count(F.lit(1)).alias("n"))
+    keys = keys or ("address", "kind")
+    if "address" not in keys or "kind" not in keys:
+        return occ.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # An address tells its kind, so rows are grouped without it.
+    out = occ.groupBy(*(k for k in keys if k != "kind")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(*(kind_of(F.col("address")).alias("kind") if k == "kind" else k for k in keys), "n")
 
 
 def by_count(index: DataFrame) -> DataFrame:
-    """The order of the text form: largest count first, then the bytes of the address."""
+    """The order of the text form: largest count first, then the bytes of the address, then the lines."""
+    if "total" in index.columns:
+        return index.orderBy(F.desc("total"), "address", "part")
     return index.orderBy(F.desc("n"), "address")
 
 

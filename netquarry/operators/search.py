@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
+from .index import occurrences
+
 #: Rows up to which terms or hits are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows."""
+    """df, a saved table or rows at hand, with a broadcast hint if it has at most BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def wanted(terms: DataFrame) -> DataFrame:
+    """address: the distinct terms, which are read from where they are and counted, not what they are looked for in."""
+    return small(terms.select(F.col("term").alias("address")).distinct())
+
+
 def lookup(index: DataFrame, terms: DataFrame) -> DataFrame:
     """Records of index whose address is a term: whole addresses, letter case included."""
-    return index.join(small(terms.select(F.col("term").alias("address")).distinct()), "address", "left_semi")
+    return index.join(wanted(terms), "address", "left_semi")
 
 
 def quick(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and occurrences in each file, without reading any line."""
-    return lookup(index, terms).select(*("file" for _ in range("file" in index.columns)), F.col("address").alias("term"), F.col("n").alias("occurrences"))
+    """term and occurrences in each file, without reading any line. index: of one row an address, or in buckets."""
+    keys = ["file"] * ("file" in index.columns) + [F.col("address").alias("term")]
+    return lookup(index, terms).groupBy(*keys).agg(F.sum("n").alias("occurrences"))
 
 
 def missing(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -31,13 +40,22 @@ def missing(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 def hits(index: DataFrame, terms: DataFrame) -> DataFrame:
     """file, term, line and field of every place of the terms. index: per file, whole or in buckets."""
-    found = lookup(index, terms)
-    return found.select("file", F.col("address").alias("term"), F.explode("locations").alias("x")).select("file", "term", F.col("x.line").alias("line"), F.col("x.field").alias("field"))
+    found = lookup(index, terms).select("file", F.col("address").alias("term"), F.explode("locations").alias("x"))
+    return found.select("file", "term", "x.line", "x.field")
 
 
 def retrieve(lines: DataFrame, found: DataFrame, distinct: bool = False) -> DataFrame:
-    """The lines that hits point at: once for each hit, or once each if distinct."""
+    """The lines that hits point at: once for each hit, or once each if distinct.
+
+    The hits are looked up once, into the shared folder; their number there tells how they are joined.
+    """
     places = found.select("file", F.col("line").alias("line_no"), "term", "field")
     if distinct:
         places = places.select("file", "line_no").distinct()
-    return lines.join(small(places), ["file", "line_no"])
+    return lines.join(small(shared.save(places, "hits")), ["file", "line_no"])
+
+
+def scan(lines: DataFrame, terms: DataFrame, dialect: str = "ref") -> DataFrame:
+    """file, line_no, text, term and field of every place of the terms in lines that have no index: one pass over them."""
+    found = occurrences(lines, dialect, keep=["text"]).join(wanted(terms), "address", "left_semi")
+    return found.select("file", "line_no", "text", F.col("address").alias("term"), "field")

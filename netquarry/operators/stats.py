@@ -5,33 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.addresses import CODES, addresses
+from ..functions.addresses import CODES, found, kind_of
+from .index import counts
 
 
-def count_of(found: Column, kind: str) -> Column:
+def count_of(addresses: Column, kind: str) -> Column:
     """How many of a line's addresses are of a kind."""
-    return F.size(F.filter(found, lambda x: x["kind"] == kind))
+    return F.size(F.filter(addresses, lambda x: kind_of(x) == kind))
 
 
 def kinds_per_line(lines: DataFrame, dialect: str = "ref") -> DataFrame:
     """lines with n_addresses and the number of addresses of each kind."""
-    found = lines.withColumn("_found", addresses("text", dialect))
-    return found.withColumns({"n_addresses": F.size("_found"), **{f"n_{k}": count_of(F.col("_found"), k) for k in CODES}}).drop("_found")
+    every = lines.withColumn("_found", found("text", dialect))
+    numbers = {f"n_{k}": count_of(F.col("_found"), k) for k in CODES}
+    return every.withColumns({"n_addresses": F.size("_found"), **numbers}).drop("_found")
 
 
-def count_by_kind(found: DataFrame) -> DataFrame:
+def count_by_kind(occ: DataFrame) -> DataFrame:
     """kind, occurrences and distinct addresses. The addresses are made distinct before they are counted by kind."""
-    return found.groupBy("kind", "address").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("addresses"))
+    return counts(occ).groupBy("kind").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("addresses"))
 
 
-def distinct_addresses(found: DataFrame, approximate: bool = False) -> DataFrame:
+def distinct_addresses(occ: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: the number of distinct addresses, exact or by a sketch of fixed size."""
     if approximate:
-        return found.agg(F.approx_count_distinct("address").alias("addresses"))
-    return found.select("address").distinct().agg(F.count(F.lit(1)).alias("addresses"))
+        return occ.agg(F.approx_count_distinct("address").alias("addresses"))
+    return occ.select("address").distinct().agg(F.count(F.lit(1)).alias("addresses"))
 
 
 def line_lengths(lines: DataFrame, *keys: str) -> DataFrame:
     """Lines and the least, greatest and mean number of bytes in one."""
     size = F.octet_length("text")
-    return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"), F.min(size).alias("min_bytes"), F.max(size).alias("max_bytes"), F.sum(size.cast("long")).alias("bytes"), F.avg(size).alias("avg_bytes"))
+    return lines.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.min(size).alias("min_bytes"),
+        F.max(size).alias("max_bytes"),
+        F.sum(size.cast("long")).alias("bytes"),
+        F.avg(size).alias("avg_bytes"),
+    )

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.addresses import addresses, template
+from ..functions.addresses import found, template
 from .search import small
 
 
 def with_template(lines: DataFrame, dialect: str = "ref") -> DataFrame:
-    return lines.withColumn("template", template(addresses("text", dialect)))
+    return lines.withColumn("template", template(found("text", dialect)))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

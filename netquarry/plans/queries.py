@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import netmath
-from ..functions.addresses import addresses
+from .. import shared
+from ..functions.addresses import found
 from ..operators import index as ix
 from ..operators import search, stats, templates
 from ..sources import lines as src
@@ -120,12 +119,105 @@ def search_quick_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.quick(index, terms.argument_terms(spark, TERMS))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the synthetic log in storage."""
+    place = shared.new_path(spark, "index")
+    store.write_parquet(_per_file(spark, sf_dir), place)
+    return store.read_parquet(spark, place)
+
+
 def search_retrieve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.retrieve(synthetic(spark, sf_dir), search_terms_exact(spark, sf_dir))
+    return search.retrieve(synthetic(spark, sf_dir), search.hits(_stored(spark, sf_dir), terms.argument_terms(spark, TERMS)))
 
 
 def search_retrieve_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.retrieve(synthetic(spark, sf_dir), search_terms_exact(spark, sf_dir), distinct=True)
+    wanted = terms.argument_terms(spark, TERMS)
+    return search.retrieve(synthetic(spark, sf_dir), search.hits(_stored(spark, sf_dir), wanted), distinct=True)
+
+
+def search_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as search_retrieve_lines in one pass, when there is no index."""
+    return search.scan(synthetic(spark, sf_dir), terms.argument_terms(spark, TERMS))
+
+
+def _log_file(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
+    """The synthetic log as a text file, read again with the numbers of its lines."""
+    place = shared.new_path(spark, "log")
+    ordered = synthetic(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
+    ordered.select("text").write.options(lineSep="\n", **options).text(place)
+    return src.read_lines(spark, place).withColumn("file", F.lit("synthetic.log"))
+
+
+def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a text file."""
+    return _index(ix.occurrences(_log_file(spark, sf_dir)), "file").select("file", "record")
+
+
+def file_index_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a compressed file, which can't be split."""
+    return _index(ix.occurrences(_log_file(spark, sf_dir, compression="gzip")), "file").select("file", "record")
+
+
+def file_terms_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by a file of terms, some of them twice, in a stored index, and the lines of a text file that it finds."""
+    place = shared.new_path(spark, "terms")
+    listed = table(spark, sf_dir, "events").select(F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") * 3))).alias("value"))
+    listed.unionByName(spark.createDataFrame([("",), ("10.1.2.3",)], "value string")).write.text(place, lineSep="\n")
+    found_ = search.hits(_stored(spark, sf_dir), terms.file_terms(spark, place))
+    return search.retrieve(_log_file(spark, sf_dir), found_)
+
+
+def text_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in an index that was written as one text file."""
+    place = shared.new_path(spark, "index-text")
+    store.write_text_file(ix.build_index(ix.occurrences(synthetic(spark, sf_dir))), place)
+    return search.quick(store.read_text(spark, place), terms.argument_terms(spark, TERMS))
+
+
+ODD_TEXT = """concat('from 10.1.2.', user_id % 300, '. via ::ffff:192.0.2.', event_id % 260, ' and 64:ff9b::198.51.100.', user_id % 7, ', 1:2:3:4:5:6:203.0.113.',
+    event_id % 9, '; 0', event_id % 9, '.1.1.1 fe80::', lower(hex(user_id)), ': 192.168.100.1', event_id % 300, ' std::string :: 12:34:56 a1-b2-c3-d4-e5-',
+    lpad(hex(event_id % 256), 2, '0'), '-99 ab::1.2.3.4:5')"""
+
+
+def odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of forms that the dialects take differently."""
+    events = src.spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
+    return events.select(F.lit("odd.log").alias("file"), (F.col("event_id") + 1).alias("line_no"), F.expr(ODD_TEXT).alias("text"))
+
+
+def odd_forms(dialect: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: ix.occurrences(odd(spark, sf_dir), dialect)
+
+
+def strict_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(ix.occurrences(text_lines(spark, sf_dir, "documents", "text", "doc_id"), "strict"))
+
+
+def hardware_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAC and IPv6 addresses only, with the fields that they have among all."""
+    return ix.occurrences(odd(spark, sf_dir), kinds=["mac", "ipv6"])
+
+
+def ipv6_network_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir), kinds=["ipv6"]))
+    return index.filter(netmath.in_network(F.col("address"), "2001:db8::/120"))
+
+
+def ipv6_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 addresses with their 32 hex digits, in order of their numbers."""
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir), kinds=["ipv6"]))
+    return index.select("address", "n", netmath.ipv6_hex(F.col("address")).alias("digits")).orderBy("digits")
+
+
+def stream_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of a log that arrives as files of a stream."""
+    place = shared.new_path(spark, "stream-places")
+    ordered = synthetic(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
+    ordered.select("text").write.text(f"{place}/in", lineSep="\n")
+    run = live.write_postings(live.read_stream(spark, f"{place}/in"), f"{place}/out", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.parquet(f"{place}/out").select("address", "kind", F.explode("locations").alias("x"))
+    return rows.select("address", "kind", "x.line", "x.field")
 
 
 def search_terms_file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,16 +246,21 @@ def normalize_mac_dash_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_line_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one line: those over the limit give nothing, with the limit off they do."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.size(addresses("text")).alias("n_limited"), F.size(addresses("text", max_line_bytes=None)).alias("n_whole"))
+    n = {"n_limited": F.size(found("text")), "n_whole": F.size(found("text", max_line_bytes=None))}
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), *(c.alias(k) for k, c in n.items()))
     return d.filter((F.col("bytes") > 8191) | (F.col("n_whole") > 0))
 
 
 def max_addresses_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events of a type in one line, which has far more than the 256 addresses that a line can give."""
+    """A thousand events of a type in a line, more than the 256 addresses that a line can give."""
     quad = F.expr("concat('10.', user_id % 200, '.', event_id % 250, '.', event_id % 16)")
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", quad.alias("q")))).alias("e"))
+    part = F.floor(F.col("event_id") / 5000).alias("part")
+    events = table(spark, sf_dir, "events").groupBy("event_type", part)
+    rows = events.agg(F.array_sort(F.collect_list(F.struct("event_id", quad.alias("q")))).alias("e"))
     line = F.array_join(F.transform("e", lambda x: x["q"]), " ")
-    return rows.select("event_type", addresses(line, max_line_bytes=None).alias("a")).select("event_type", F.size("a").alias("n"), F.get("a", F.lit(0))["address"].alias("first"), F.element_at("a", -1)["address"].alias("last"))
+    capped, whole = found(line, max_line_bytes=None), found(line, dialect="strict")
+    rows = rows.select("event_type", "part", capped.alias("a"), F.size(whole).alias("n_strict"))
+    return rows.select("event_type", "part", F.size("a").alias("n"), "n_strict", F.get("a", F.lit(0)).alias("first"), F.element_at("a", -1).alias("last"))
 
 
 def top_talkers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +290,9 @@ def mac_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_index_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the synthetic log read as a stream, all that there is now."""
+    place = shared.new_path(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    place = f"{root}/netquarry-stream-{uuid.uuid4().hex}"
     out = live.live_counts(events.select(F.expr(SYNTHETIC_TEXT).alias("text")))
     write = out.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{place}/state")
     run = write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/counts")).start()
@@ -225,6 +321,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_quick_counts": search_quick_counts,
     "search_retrieve_lines": search_retrieve_lines,
     "search_retrieve_distinct": search_retrieve_distinct,
+    "search_without_index": search_without_index,
+    "file_index": file_index,
+    "file_index_gzip": file_index_gzip,
+    "file_terms_search": file_terms_search,
+    "text_index_search": text_index_search,
+    "odd_forms_ref": odd_forms("ref"),
+    "odd_forms_strict": odd_forms("strict"),
+    "strict_index_documents": strict_index_documents,
+    "hardware_only": hardware_only,
+    "ipv6_network_search": ipv6_network_search,
+    "ipv6_order": ipv6_order,
+    "stream_places": stream_places,
     "search_terms_file_dedup": search_terms_file_dedup,
     "search_missing_terms": search_missing_terms,
     "normalize_ipv4_leading_zero": normalize_ipv4_leading_zero,
@@ -245,6 +353,12 @@ _DOCS = oracle.lines("documents", "text", "doc_id")
 _TERMS = f"(SELECT DISTINCT unnest(string_split('{TERMS}', ',')) AS term)"
 _HITS = f"(SELECT file, address AS term, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o WHERE address IN (SELECT term FROM {_TERMS} AS t))"
 _COUNTS = "SELECT address, kind, count(*) AS n FROM {} AS o GROUP BY ALL"
+_ODD = f"(SELECT 'odd.log' AS file, event_id + 1 AS line_no, {ODD_TEXT} AS text FROM events)"
+_PLACE = "file, line_no, CAST(field AS INTEGER) AS field, kind, address"
+_IPV6 = oracle.occurrences(_LOG, "'ipv6'")
+_V6_DIGITS = "concat('20010db8', repeat('0', 20), lpad(split_part(address, '::', 2), 4, '0'))"
+_FOUND_LINES = "SELECT l.file, l.line_no, l.text, h.term, h.field FROM {} AS l JOIN {} AS h ON l.file = h.file AND l.line_no = h.line"
+_FILE_TERMS = "(SELECT concat('2001:db8::', lower(hex(user_id * 3))) AS term FROM events UNION SELECT '10.1.2.3')"
 _IPV4 = oracle.occurrences(_LOG, "'ipv4'")
 _NUMBER = "list_reduce(list_transform(string_split(address, '.'), lambda o: CAST(o AS BIGINT)), lambda a, b: a * 256 + b)"
 _TEMPLATE = f"(SELECT file, line_no, array_to_string(list_transform({oracle.found('text')}, lambda x: '%' || x.code), '') AS template FROM (SELECT * FROM {_LOG} UNION ALL SELECT * FROM {_DOCS}) AS l)"
@@ -278,14 +392,30 @@ ORACLES: dict[str, str] = {
     "search_quick_counts": f"SELECT file, term, count(*) AS occurrences FROM {_HITS} AS h GROUP BY file, term",
     "search_retrieve_lines": f"SELECT l.file, l.line_no, l.text, h.term, h.field FROM {_LOG} AS l JOIN {_HITS} AS h ON l.file = h.file AND l.line_no = h.line",
     "search_retrieve_distinct": f"SELECT l.file, l.line_no, l.text FROM {_LOG} AS l WHERE l.line_no IN (SELECT line FROM {_HITS} AS h)",
+    "search_without_index": _FOUND_LINES.format(_LOG, _HITS),
+    "file_index": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
+    "file_index_gzip": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
+    "file_terms_search": _FOUND_LINES.format(
+        _LOG, f"(SELECT file, address AS term, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o WHERE address IN (SELECT term FROM {_FILE_TERMS} AS t))"
+    ),
+    "text_index_search": f"SELECT term, CAST(count(*) AS BIGINT) AS occurrences FROM {_HITS} AS h GROUP BY term",
+    "odd_forms_ref": f"SELECT {_PLACE} FROM {oracle.occurrences(_ODD)} AS o",
+    "odd_forms_strict": f"SELECT {_PLACE} FROM {oracle.occurrences(_ODD, limit=None, dialect='strict', most=None)} AS o",
+    "strict_index_documents": oracle.index(oracle.occurrences(_DOCS, limit=None, dialect="strict", most=None)),
+    "hardware_only": f"SELECT {_PLACE} FROM {oracle.occurrences(_ODD)} AS o WHERE kind <> 'ipv4'",
+    "ipv6_network_search": f"SELECT * FROM ({_COUNTS.format(_IPV6)}) WHERE length(split_part(address, '::', 2)) <= 2",
+    "ipv6_order": f"SELECT address, n, {_V6_DIGITS} AS digits FROM ({_COUNTS.format(_IPV6)})",
+    "stream_places": f"SELECT address, kind, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o",
     "search_terms_file_dedup": f"SELECT file, address AS term, count(*) AS occurrences FROM {_OCC} AS o WHERE address IN (SELECT concat('2001:db8::', lower(hex(user_id * 3))) FROM events) GROUP BY file, address",
     "search_missing_terms": f"SELECT term FROM {_TERMS} AS t WHERE term NOT IN (SELECT address FROM {_OCC} AS o)",
     "normalize_ipv4_leading_zero": _COUNTS.format(_events_log("zeros.log", "concat('at 010.', lpad(CAST(user_id % 4 AS VARCHAR), 3, '0'), '.', lpad(CAST(event_id % 16 AS VARCHAR), 2, '0'), '.00', event_id % 8, ' end')")),
     "normalize_mac_dash_upper": _COUNTS.format(_events_log("dash.log", "concat('hw 0A-', lpad(hex(user_id % 256), 2, '0'), '-AA-BB-CC-', lpad(hex(event_id % 256), 2, '0'), ' up')")),
     "long_line_cutoff": f"""SELECT * FROM (SELECT doc_id, CAST(strlen(text) AS INTEGER) AS bytes, CAST(len({oracle.found('text')}) AS INTEGER) AS n_limited, CAST(len({oracle.found('text', None)}) AS INTEGER) AS n_whole FROM documents)
         WHERE bytes > 8191 OR n_whole > 0""",
-    "max_addresses_cap": f"""SELECT event_type, CAST(len(a) AS INTEGER) AS n, a[1].address AS first, a[len(a)].address AS last FROM (SELECT event_type, {oracle.found('text', None)} AS a FROM
-        (SELECT event_type, string_agg(concat('10.', user_id % 200, '.', event_id % 250, '.', event_id % 16), ' ' ORDER BY event_id) AS text FROM events GROUP BY event_type))""",
+    "max_addresses_cap": f"""SELECT event_type, part, CAST(len(a) AS INTEGER) AS n, CAST(len({oracle.found('text', None, 'strict', None)}) AS INTEGER) AS n_strict,
+        a[1].address AS first, a[len(a)].address AS last FROM (SELECT event_type, part, text, {oracle.found('text', None)} AS a FROM
+        (SELECT event_type, event_id // 5000 AS part, string_agg(concat('10.', user_id % 200, '.', event_id % 250, '.', event_id % 16), ' ' ORDER BY event_id) AS text
+        FROM events GROUP BY ALL))""",
     "top_talkers": f"{_COUNTS.format(_OCC)} ORDER BY n DESC, address LIMIT 10",
     "cidr_search": f"SELECT * FROM ({_COUNTS.format(_IPV4)}) WHERE {_NUMBER} BETWEEN {(10 << 24) + (2 << 16)} AND {(10 << 24) + (4 << 16) - 1}",
     "range_search": f"SELECT * FROM ({_COUNTS.format(_IPV4)}) WHERE {_NUMBER} BETWEEN {(10 << 24) + (1 << 16) + (3 << 8)} AND {(192 << 24) + (168 << 16) + (1 << 8) + 4}",

@@ -5,40 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+from ..operators.index import by_count
+
 LOCATIONS = "array<struct<line:bigint,field:int>>"
+#: Addresses that the Bloom filter of a row group is made for.
+FILTER_ADDRESSES = 100_000
 
 
 def format_records(index: DataFrame) -> DataFrame:
     """index with record, its text form."""
-    places = F.transform("locations", lambda x: F.concat_ws(":", x["line"].cast("string"), x["field"].cast("string")))
-    return index.withColumn("record", F.concat_ws(",", "address", F.col("n").cast("string"), F.array_join(places, ",")))
+    place = lambda x: F.concat_ws(":", x["line"].cast("string"), x["field"].cast("string"))
+    places = F.array_join(F.transform("locations", place), ",")
+    return index.withColumn("record", F.concat_ws(",", "address", F.col("n").cast("string"), places))
 
 
 def parse_records(records: DataFrame, column: str = "value") -> DataFrame:
     """address, n and locations of text records. A location without a field, as older files have, gets field 0."""
-    parts = F.split(column, ",")
-    place = lambda x: F.struct(F.get(F.split(x, ":"), F.lit(0)).try_cast("bigint").alias("line"), F.coalesce(F.get(F.split(x, ":"), F.lit(1)).try_cast("int"), F.lit(0)).alias("field"))
-    return records.withColumn("_parts", parts).filter(F.size("_parts") >= 2).select(
+    line = lambda x: F.get(F.split(x, ":"), F.lit(0)).try_cast("bigint")
+    field = lambda x: F.coalesce(F.get(F.split(x, ":"), F.lit(1)).try_cast("int"), F.lit(0))
+    places = F.filter(F.slice("_parts", 3, F.greatest(F.size("_parts") - 2, F.lit(0))), lambda x: x != "")
+    parsed = F.transform(places, lambda x: F.struct(line(x).alias("line"), field(x).alias("field"))).cast(LOCATIONS)
+    held = records.withColumn("_parts", F.split(column, ",")).filter(F.size("_parts") >= 2)
+    return held.select(
         *(c for c in records.columns if c != column),
         F.get("_parts", F.lit(0)).alias("address"),
         F.get("_parts", F.lit(1)).try_cast("bigint").alias("n"),
-        F.transform(F.filter(F.slice("_parts", 3, F.greatest(F.size("_parts") - 2, F.lit(0))), lambda x: x != ""), place).cast(LOCATIONS).alias("locations"),
+        parsed.alias("locations"),
     )
 
 
 def write_text(index: DataFrame, path: str, mode: str = "error") -> None:
-    """Write records in order of count, largest first, then address."""
-    format_records(index).orderBy(F.desc("n"), "address").select("record").write.mode(mode).text(path, lineSep="\n")
+    """Write records in order of count, largest first, then address, as a folder of text files."""
+    by_count(format_records(index)).select("record").write.mode(mode).text(path, lineSep="\n")
+
+
+def write_text_file(index: DataFrame, path: str) -> None:
+    """The same as one file."""
+    shared.write_one_file(by_count(format_records(index)).select("record"), path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """address, n and locations of a text index."""
+    """address, n and locations of a text index, a row for each record; an address with very many places has several."""
     return parse_records(spark.read.option("lineSep", "\n").text(path))
 
 
 def write_parquet(index: DataFrame, path: str, mode: str = "error") -> None:
-    """Write an index or its buckets in ranges of addresses, sorted, so that a lookup reads the row groups that can hold its terms."""
-    index.repartitionByRange("address").sortWithinPartitions("address").write.mode(mode).parquet(path)
+    """Write an index or its buckets where its aggregate has left them, sorted, with a Bloom filter of addresses for each
+    row group, so that a lookup reads the row groups that hold its terms and building it moves places once."""
+    sorted_ = index.sortWithinPartitions("address")
+    options = {"parquet.bloom.filter.enabled#address": "true", "parquet.bloom.filter.expected.ndv#address": str(FILTER_ADDRESSES)}
+    sorted_.write.mode(mode).options(**options).parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

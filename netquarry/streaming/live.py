@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..functions.addresses import addresses, with_fields
+from ..functions.addresses import addresses
+from ..operators import index as ix
+from ..sources import lines as src
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +20,8 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def live_occurrences(lines: DataFrame, dialect: str = "ref", *keep: str) -> DataFrame:
     """kind, address and field of each address in a stream of lines, with the columns in keep."""
-    return lines.select(*keep, F.explode_outer(with_fields(addresses("text", dialect))).alias("x")).filter(F.col("x").isNotNull()).select(*keep, "x.kind", "x.address", "x.field")
+    rows = lines.select(*keep, F.explode_outer(addresses("text", dialect)).alias("x")).filter(F.col("x").isNotNull())
+    return rows.select(*keep, "x.kind", "x.address", "x.field")
 
 
 def live_counts(lines: DataFrame, dialect: str = "ref") -> DataFrame:
@@ -32,6 +35,24 @@ def windowed_counts(lines: DataFrame, time: str, late: str, width: str, dialect:
     return found.groupBy(F.window(time, width), "address", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "address", "kind", "n")
 
 
+def write_postings(stream: DataFrame, path: str, checkpoint: str, dialect: str = "ref", files: int = 1000):
+    """A writer, to be started, of the postings of files that arrive in a stream of read_stream, with their line numbers.
+
+    Each step takes the files that are new, numbers their lines as read_lines does and writes one folder of path. A step
+    that runs again writes the same folder again. files: new files in a step, the most that read_stream hands over.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        names = [r["file"] for r in batch.select("file").distinct().limit(files + 1).collect()]
+        if len(names) > files:
+            raise ValueError(f"more than {files} files in a step; set maxFilesPerTrigger")
+        if names:
+            lines = src.read_lines(batch.sparkSession, names)
+            ix.postings(ix.occurrences(lines, dialect)).write.mode("overwrite").parquet(f"{path}/step={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
 class Throughput(StreamingQueryListener):
     """Logs the lines that each step of a stream has read, and lines a minute. Register it with spark.streams.addListener."""
 

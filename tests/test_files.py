@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from netquarry import cli
+from netquarry import cli, shared
 from netquarry.operators import index as ix
 from netquarry.operators import search
 from netquarry.paths import is_safe
@@ -85,9 +85,9 @@ def test_text_and_parquet_round_trip(spark, tmp_path, log):
 
 
 def test_old_records(spark):
-    df = spark.createDataFrame([("A,2,7,9",), ("192.168.1.100,5,1001:2,2045:1,3012:2,4001:1,5500:3",)], "value string")
+    df = spark.createDataFrame([("A,2,7,9",), ("198.51.100.9,4,12:1,12:3,70:2,901:1",)], "value string")
     rows = [(r["address"], r["n"], [tuple(x) for x in r["locations"]]) for r in store.parse_records(df).collect()]
-    assert rows == [("A", 2, [(7, 0), (9, 0)]), ("192.168.1.100", 5, [(1001, 2), (2045, 1), (3012, 2), (4001, 1), (5500, 3)])]
+    assert rows == [("A", 2, [(7, 0), (9, 0)]), ("198.51.100.9", 4, [(12, 1), (12, 3), (70, 2), (901, 1)])]
 
 
 def test_search(spark, log):
@@ -115,11 +115,21 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["index", a]) == 0
     assert capsys.readouterr().out.split() == ["10.0.0.1,2,1:1,3:1", "10.0.0.2,1,2:1"]
     assert cli.main(["index", "-w", a]) == 0
+    assert (tmp_path / "a.log.lpi").read_text() == "10.0.0.1,2,1:1,3:1\n10.0.0.2,1,2:1\n"
     store.write_text(ix.build_index(ix.occurrences(src.read_lines(spark, b))), str(tmp_path / "b.log.lpi"))
     capsys.readouterr()
     assert cli.main(["search", "10.0.0.1", a, b]) == 0
     out = capsys.readouterr()
     assert out.out == "x 10.0.0.1\nz 10.0.0.1\nq 10.0.0.1\n" and "MATCH [10.0.0.1] with 2 lines" in out.err
+    assert cli.main(["index", "-p", a]) == 0 and (tmp_path / "a.log.lpi.parquet").is_dir()
+    (tmp_path / "a.log.lpi").unlink()
+    capsys.readouterr()
+    write(tmp_path / "terms", b"10.0.0.2\n10.0.0.1\n")
+    assert cli.main(["search", "-f", str(tmp_path / "terms"), "-w", str(tmp_path / "out"), a]) == 1  # nothing is there yet
+    monkeypatch.setattr(cli, "is_safe", lambda path, refused: True)
+    assert cli.main(["search", "-f", str(tmp_path / "terms"), "-w", str(tmp_path / "out"), a]) == 0
+    assert (tmp_path / "out").read_text() == "x 10.0.0.1\ny 10.0.0.2\nz 10.0.0.1\n"
+    assert "MATCH [10.0.0.1] with 2 lines" in capsys.readouterr().err
     assert cli.main(["search", "-q", "10.0.0.2", a]) == 0
     assert capsys.readouterr().out == ""
     assert cli.main(["search", "10.0.0.2", str(tmp_path / "none.log")]) == 1
@@ -128,8 +138,48 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
 
 
 def test_standard_input(spark):
-    rows = src.stream_lines(spark, ["a 10.0.0.1\n", "b"]).collect()
-    assert [tuple(r) for r in rows] == [("-", 1, "a 10.0.0.1"), ("-", 2, "b")]
+    rows = src.stream_lines(spark, iter(["a 10.0.0.1\n", "b", "c\n"]), chunk=2).collect()
+    assert sorted(tuple(r) for r in rows) == [("-", 1, "a 10.0.0.1"), ("-", 2, "b"), ("-", 3, "c")]
+    assert src.stream_lines(spark, iter([])).count() == 0
+
+
+def test_saved_splits_and_sizes(spark, tmp_path):
+    a = write(tmp_path / "a.log", b"x\ny\n")
+    b = write(tmp_path / "b.log", b"x\ny 10.0.0.1\nz\n")
+    splits = shared.save(src.split_table(spark, [a, b]), "splits")
+    lines = src.read_lines(spark, [a, b], splits)
+    assert sorted(r["line_no"] for r in lines.collect()) == [1, 1, 2, 2, 3]
+    with pytest.raises(Exception, match="other splits"):
+        src.read_lines(spark, [write(tmp_path / "c.log", b"x\n")], splits).collect()
+    assert sorted(r["bytes"] for r in src.file_sizes(spark, [a, b]).collect()) == [4, 15]
+
+
+def test_an_unsplittable_file_is_dealt_out(spark, tmp_path):
+    lines = src.read_lines(spark, write(tmp_path / "a.log.gz", b"".join(b"x %d\n" % k for k in range(5000))))
+    sizes = [len(p) for p in lines.rdd.glom().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and min(sizes) > 500
+    assert sorted(r["line_no"] for r in lines.collect()) == list(range(1, 5001))
+
+
+def test_an_address_of_many_lines_has_several_records(spark):
+    rows = [("f", k, "10.0.0.1" + " 10.0.0.2" * (k == 5)) for k in range(1, 3001)]
+    found = ix.occurrences(spark.createDataFrame(rows, "file string, line_no long, text string"))
+    index = ix.by_count(store.format_records(ix.build_index(found, record_lines=1000))).collect()
+    assert [(r["address"], r["n"], r["total"]) for r in index] == [("10.0.0.1", n, 3000) for n in (999, 1000, 1000, 1)] + [("10.0.0.2", 1, 1)]
+    again = store.parse_records(spark.createDataFrame([(r["record"],) for r in index], "value string"))
+    assert [r["occurrences"] for r in search.quick(again, terms.argument_terms(spark, "10.0.0.1")).collect()] == [3000]
+
+
+def test_building_a_search_reads_no_line(spark, tmp_path, log):
+    """Nothing but the stored index is read before the result is asked for, and a scan without an index extracts once."""
+    store.write_parquet(ix.postings(log[1]), str(tmp_path / "i.parquet"))
+    lines = src.read_lines(spark, log[0])
+    wanted = terms.argument_terms(spark, "10.0.0.1")
+    plan = search.scan(lines, wanted)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("posexplode") == 1
+    assert sorted((r["line_no"], r["field"]) for r in plan.collect()) == [(1, 1), (2, 1), (2, 2)]
+    found = search.retrieve(lines, search.hits(store.read_parquet(spark, str(tmp_path / "i.parquet")), wanted))
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 3
 
 
 def test_paths(tmp_path):

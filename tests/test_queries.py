@@ -23,6 +23,21 @@ def duck(sf):
     return con
 
 
+def test_places_of_a_stream(spark, tmp_path):
+    """Files that come later get their own numbers; a step writes its own folder."""
+    (tmp_path / "in").mkdir()
+    for k, text in enumerate(("x\ny 10.0.0.1\n", "10.0.0.1 10.0.0.2\n")):
+        (tmp_path / "in" / f"{k}.log").write_text(text)
+        stream = live.read_stream(spark, str(tmp_path / "in"))
+        live.write_postings(stream, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["file"][-5:], r["address"], [tuple(x) for x in r["locations"]]) for r in rows) == [
+        ("0.log", "10.0.0.1", [(2, 1)]),
+        ("1.log", "10.0.0.1", [(1, 1)]),
+        ("1.log", "10.0.0.2", [(1, 2)]),
+    ]
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
