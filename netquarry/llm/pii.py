@@ -5,8 +5,9 @@ three numbers, a card's issuer (six digits), a phone number without its last fou
 and their estimate is that of what they share. A term t of the documents with an entity e has pointwise mutual information
 log(p(t,e) / (p(t) p(e))); the entity's own information is -log p(e). Their ratio is 1 when t says as much as e itself.
 Terms at REMOVE or more are removed and those at GENERALISE or more are generalised, in the documents that hold e.
-Probabilities are shares of documents, whole texts but for emails. Of documents in which the CONTEXT characters on either
-side of e are equal, as in copies, one counts; a term needs MIN_CONTEXTS of those that count. All of it is SQL.
+Probabilities are shares of different texts, so a copy counts once on every side. A pair of entity and term also needs
+MIN_CONTEXTS different surroundings (the CONTEXT characters on either side of e), so that near copies of one passage are
+no evidence for its words. Terms are whole words of whole texts, emails left out. All of it is SQL.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .lookup import lookup
 
 #: Base patterns, in the order of the kinds. The quantifiers don't give back, and an email or ip starts where its run of
 #: characters does or where the match before ended; both change no match, and keep long runs from being tried at each place.
@@ -26,8 +28,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 60
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.75, 0.9
-#: Rows up to which term lists are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 SPAN = "struct<k:int,s:bigint,e:bigint,v:string,c:string>"
 
 
@@ -118,37 +120,67 @@ def terms_in(context: Column) -> Column:
 
 
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, ratio of every term that exceeds GENERALISE. found: a saved table of _key and _base, the spans.
+    """entity, n and terms (term and ratio) of every entity with terms that exceed GENERALISE. found: a saved table of _key and _base, the spans.
 
-    The counts cover all documents. A term's document count is taken only for terms that pass MIN_CONTEXTS.
+    The counts cover all documents; n is the number of spans' documents with the entity.
     """
-    n_docs = found.select(F.count(F.lit(1))).first()[0]
-    spans = found.filter(F.size("_base") > 0).select("_key", F.explode("_base").alias("x"))
-    seen = spans.select("_key", F.explode(entities_of(F.col("x"))).alias("entity"), F.col("x.c").alias("context"))
-    holders = scratch.save(seen.groupBy("entity", "context").agg(F.min("_key").alias("_key")).select("entity", "_key").distinct(), "holders")
-    of_entity = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= MIN_CONTEXTS)
-    # One document's entities make an array of its own size.
-    of_doc = scratch.save(holders.join(of_entity, "entity").groupBy("_key").agg(F.collect_list(F.struct("entity", "n_e")).alias("_of")), "rated-docs")
     text = F.coalesce("text", F.lit(""))
-    held = docs.select(F.struct(F.col("doc_id"), F.xxhash64(text)).alias("_key"), text.alias("_text")).join(small(of_doc), "_key").dropDuplicates(["_key"])
-    pairs = held.select("_of", F.explode(terms_in(prose(F.col("_text")))).alias("term")).select(F.explode("_of").alias("x"), "term").select("x.*", "term")
-    counted = scratch.save(pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= MIN_CONTEXTS), "contexts")
+    spans = found.filter(F.size("_base") > 0).select("_key", F.explode("_base").alias("x"))
+    seen = spans.select("_key", F.explode(entities_of(F.col("x"))).alias("entity"), F.xxhash64("x.c").alias("context"))
+    # Of equal texts, one holds the entity. One document's entities make an array of its own size.
+    one = seen.groupBy("entity", F.col("_key.text").alias("th"), "context").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("n"))
+    holders = scratch.save(one, "holders")
+    rated = holders.groupBy("entity").agg(F.count_distinct("th").alias("n_e"), F.count_distinct("context").alias("contexts"), F.sum("n").alias("n"))
+    rated = scratch.save(rated.filter(F.col("contexts") >= MIN_CONTEXTS).drop("contexts"), "rated")
+    if rated.isEmpty():
+        return nothing(found)
+    # A text's row is that of its least key, whatever entity asks for it.
+    of_text = lookup(holders.drop("n"), rated, "entity", "n").filter("n_e is not null")
+    of_text = of_text.groupBy("th").agg(F.min("_key").alias("_key"), F.collect_set(F.struct("entity", "n_e", "context")).alias("_of"))
+    of_text = scratch.save(of_text, "rated-texts")
+    held = docs.select(doc_key(text).alias("_key"), text.alias("_text")).join(small(of_text), "_key").dropDuplicates(["_key"])
+    pairs = held.select("_of", "th", F.explode(terms_in(prose(F.col("_text")))).alias("term")).select(F.explode("_of").alias("x"), "th", "term")
+    pairs = pairs.groupBy("x.entity", "x.n_e", "term").agg(F.count_distinct("th").alias("n_te"), F.count_distinct("x.context").alias("contexts"))
+    counted = scratch.save(pairs.filter(F.col("contexts") >= MIN_CONTEXTS).drop("contexts"), "pairs")
     if counted.isEmpty():
-        return counted.select("entity", "term", F.lit(0.0).alias("ratio"))
+        return nothing(found)
     wanted = small(scratch.save(counted.select("term").distinct(), "terms"))
-    words = docs.select(F.explode(terms_in(prose(text))).alias("term"))
+    # Each different text counts once: all rows but the copies of the first one of each text.
+    texts = docs.select("doc_id", F.xxhash64(text).alias("th"))
+    first = texts.groupBy("th").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    n_texts = first.count()
+    again = scratch.save(first.filter("n > 1").select(F.col("th").alias("_th"), "first"), "copied-texts")
+    one = docs.select("doc_id", text.alias("_text"), F.xxhash64(text).alias("_h")).join(small(again), F.col("_h") == F.col("_th"), "left")
+    one = one.filter(F.col("_th").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
+    words = one.select(F.explode(terms_in(prose(F.col("_text")))).alias("term"))
     # Terms are counted before the join, which is an inner one so that it stays above the count.
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
-    total_ = F.lit(float(max(n_docs, 2)))
+    total_ = F.lit(float(max(n_texts, 2)))
     pmi = F.log(F.col("n_te") * total_ / (F.greatest("n_t", "n_te") * F.col("n_e")))
     own = F.log(total_ / F.col("n_e"))
-    rated = counted.join(of_term, "term").withColumn("ratio", F.when(own > 0, pmi / own).otherwise(F.lit(0.0)))
-    return rated.filter(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio")
+    ratio = F.when(own > 0, pmi / own).otherwise(F.lit(0.0))
+    strong = counted.join(of_term, "term").withColumn("ratio", ratio).filter(F.col("ratio") >= GENERALISE)
+    # An entity in n_e texts has few terms that are as rare as itself: their arrays are short.
+    strong = strong.groupBy("entity").agg(F.collect_list(F.struct("term", "ratio")).alias("terms"))
+    return strong.join(rated.select("entity", "n"), "entity")
+
+
+def nothing(found: DataFrame) -> DataFrame:
+    """No entity with its n and terms."""
+    return found.sparkSession.createDataFrame([], "entity string, terms array<struct<term:string,ratio:double>>, n long")
+
+
+def doc_key(text: Column) -> Column:
+    """What rows equal in doc_id and text share."""
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("text"))
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, a saved table, with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, a saved table, with a broadcast hint if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes as JSON."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def spanned(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -159,13 +191,17 @@ def spanned(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     patterns run once over all texts and their spans are saved; terms are looked for in the documents that they concern.
     """
     text = F.coalesce("text", F.lit(""))
-    key = F.struct(F.col("doc_id"), F.xxhash64(text)).alias("_key")
+    key = doc_key(text).alias("_key")
     found = scratch.save(docs.select(*carry, key, base_spans(text).alias("_base")), "spans")
     rules = scratch.save(disclosures(found, docs), "disclosures")
     if rules.isEmpty():
         return found.withColumn("_spans", F.col("_base")).drop("_key")
-    entities = found.filter(F.size("_base") > 0).select("_key", F.explode(F.array_distinct(F.flatten(F.transform("_base", entities_of)))).alias("entity")).distinct()
-    per_doc = entities.join(rules, "entity").groupBy("_key", "term").agg(F.max("ratio").alias("ratio")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("term", "ratio"))).alias("_terms"))
+    every = F.array_distinct(F.flatten(F.transform("_base", entities_of)))
+    entities = found.filter(F.size("_base") > 0).select("_key", F.explode(every).alias("entity")).distinct()
+    met = lookup(entities, rules, "entity", "n").filter("terms is not null").select("_key", F.explode("terms").alias("t"))
+    # One document's terms make an array of its own size.
+    per_doc = met.groupBy("_key", "t.term").agg(F.max("t.ratio").alias("ratio"))
+    per_doc = per_doc.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("term", "ratio"))).alias("_terms"))
     held = docs.select("doc_id", text.alias("_text"), key).join(small(scratch.save(per_doc, "doc-terms")), "_key")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}])"))
     ratio = lambda v: F.element_at(F.filter("_terms", lambda t: t["term"] == F.lower(v)), 1)["ratio"]
@@ -201,7 +237,12 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with text sanitised; other columns as they are. A null text stays null."""
+    """docs with text sanitised; other columns as they are, whatever their names.
+
+    A null text stays null, one without spans stays as it is, and rows equal in doc_id and text get the same text. Of
+    spans that overlap, the one that starts first gives the kind, at equal starts the first of KINDS. An empty table gives
+    no row.
+    """
     key = (F.col("doc_id").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text", *key)
     # Spans, without texts, of the documents that have any; rows equal in doc_id and text have the same.

@@ -71,7 +71,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = spanned(documents(spark, sf_dir).select("doc_id", "text"))
     counts = {f"n_{k}": count_of(F.col("_base"), i) for i, k in enumerate(KINDS[:4])}
-    return out.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    every = F.size("_spans").cast("long").alias("n_spans")
+    return out.select("doc_id", *(c.alias(k) for k, c in counts.items()), every, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

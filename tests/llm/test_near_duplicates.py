@@ -129,15 +129,6 @@ def test_verbatim_lines_equal_brute_force(documents, rows):
         assert all(any(x == y for y in left) for x in got)  # in order, and none that repeats
 
 
-def test_crowded_leaves_go_deeper(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LEAF_LINES", 5)
-    rows = [(k, f"same start of all kind{k}a kind{k}b kind{k}c kind{k}d kind{k}e line") for k in range(40)]
-    letters = str.maketrans("0123456789", "abcdefghij")
-    rows = [(k, t.translate(letters)) for k, t in rows] + [(100, rows[0][1].translate(letters))]
-    out = lines_left(spark, rows)
-    assert len(out) == 40 and 100 not in out
-
-
 def letters(k):
     return "".join(chr(97 + int(c)) for c in str(k))
 
@@ -170,10 +161,74 @@ def test_lookup_of_templates_equals_comparing_all(monkeypatch, n):
     rows[:, : line_dedup.DEPTH] = 9
     found = []
     for limit in (0, 1 << 40):
-        monkeypatch.setattr(line_dedup, "LEAF_LINES", limit)
+        monkeypatch.setattr(line_dedup, "COMPARED", limit)
         leaf = line_dedup.Leaf(n)
-        found.append([leaf.grow(x) for x in rows])
+        found.append([leaf.join(k, x) for k, x in enumerate(rows)])
     assert found[0] == found[1] and len(set(found[0])) < 600
+    for k, name in enumerate(found[0]):
+        assert (rows[k] == rows[name]).sum() * 10 >= 8 * n
+
+
+def templates(spark, rows):
+    """doc_id -> numbers of the dropped lines, by comparing each line with all templates before it. Only the order of lines is the operator's own."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    order = {(r["doc_id"], r["pos"]): r["line"] for r in line_dedup.lines_of(df).collect()}
+    words = {}
+    for i, text in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            w = cases.words(line)
+            if len(w) >= 5 and sum(not any(c.isdigit() for c in x) for x in w) >= 4:
+                words[i, k] = ["*" if any(c.isdigit() for c in x) else x for x in w]
+    firsts, template = {}, {}
+    for _, place in sorted((order[p], p) for p in words):
+        w = words[place]
+        leaf = firsts.setdefault((len(w), *w[:3]), [])
+        alike = next((f for f in leaf if 10 * sum(x == y for x, y in zip(words[f], w, strict=True)) >= 8 * len(w)), None)
+        if alike is None:
+            leaf.append(place)
+        template[place] = alike or place
+    places = {}
+    for place, name in template.items():
+        places.setdefault(name, []).append(place)
+    out = {}
+    for held in places.values():
+        if len({i for i, _ in held}) > 1:
+            for i, k in sorted(held)[1:]:
+                out.setdefault(i, set()).add(k)
+    return out
+
+
+@pytest.mark.parametrize("head", [1 << 20, 6])
+def test_templates_equal_brute_force(spark, monkeypatch, head, rows):
+    """Also where leaves are settled in many rounds and parts."""
+    for name, value in (("HEAD", head), ("PART_LINES", 5), ("MAX_HEAD", 4 * head)):
+        monkeypatch.setattr(line_dedup, name, value)
+    pick = random.Random(3)
+    vocabulary = [f"w{letters(k)}" for k in range(12)]
+    made = []
+    for k in range(500):
+        base = ["one", "fixed", "opening", *(vocabulary[j % 12] for j in range(pick.choice([2, 3, 7, 11, 17])))]
+        for _ in range(pick.randrange(0, 5)):
+            base[pick.randrange(3, len(base))] = pick.choice([*vocabulary, "4711"])
+        made.append((k, " ".join(base) + f"\nown line of number x{letters(k)} y{letters(k)} z{letters(k)} here"))
+    real = sorted(rows.items())[:120] if head < 100 else sorted(rows.items())
+    for case in (made, real):
+        df = spark.createDataFrame(case, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("th"))
+        weak = {r["line"] for r in line_dedup.lines_of(df).filter("weak >= 0").collect()}
+        of_line = {(r["doc_id"], r["pos"]): r["line"] for r in line_dedup.lines_of(df).collect()}
+        got = {}
+        for r in line_dedup.drops(df).collect():
+            if strong := {k for k in r["drop"] if of_line[r["doc_id"], k] not in weak}:
+                got[r["doc_id"]] = strong
+        assert got == templates(spark, case)
+
+
+def test_neighbours_in_a_leaf_change_nothing(spark):
+    """Two lines that differ at the fourth word, alone and beside many others of their leaf."""
+    pair = [(0, "same old start apple tree grows here now"), (1, "same old start peach tree grows here now")]
+    others = [(10 + k, f"same old start a{letters(k)} b{letters(k)} c{letters(k)} d{letters(k)} e{letters(k)}") for k in range(4200)]
+    assert lines_left(spark, pair) == dict(pair[:1])
+    assert lines_left(spark, pair + others) == dict(pair[:1] + others)
 
 
 def test_lines_of_hard_and_no_rows(hard):
@@ -223,6 +278,65 @@ def test_disclosing_terms(spark):
     assert out[100] == rows[5][1] and out[200] == "a copy of contact Unique Person <EMAIL> here"
 
 
+def test_copies_do_not_hide_a_term(spark):
+    """Copies count once on both sides; words of one passage that only copies hold are no evidence."""
+    far = "plain words here and more of them until the text is long enough to be far away from it"
+    said = [f"{a} write to Zorblax at zq@mail.example for {b} details" for a, b in (("one", "new"), ("two", "old"), ("six", "big"), ("ten", "red"))]
+    rows = list(enumerate(said)) + [(10 + k, said[0]) for k in range(80)]
+    passage = "this peculiar passage by vb@post.example stands in near copies of one text alone"
+    rows += [(200 + k, f"{passage} {'x' * 70} as number {letters(k)}") for k in range(6)]
+    rows += [(300 + k, f"{far} number {letters(k)} at {letters(k)} for passage copies of text") for k in range(60)]
+    out = {r["doc_id"]: r["text"] for r in pii.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Zorblax" not in out[k] and "<EMAIL>" in out[k] for k in (*range(4), *range(10, 90)))
+    assert all("peculiar passage" in out[200 + k] for k in range(6))
+    assert all(out[300 + k] == dict(rows)[300 + k] for k in range(60))
+
+
+def disclosed(rows):
+    """entity -> term -> ratio by brute force over (doc_id, text)."""
+    import math
+    import re
+    from collections import defaultdict
+
+    texts, holds = {t for _, t in rows}, defaultdict(set)
+    for t in texts:
+        for m in cases.EMAIL.finditer(t):
+            around = f"{t[: m.start()][-60:]} {t[m.end() :][:60]}"
+            for e in (f"0:{m.group().lower()}", f"0/{m.group().lower().split('@')[-1]}"):
+                holds[e].add((t, around))
+    terms = {t: set(re.findall(r"[^\W\d_]{3,}", cases.EMAIL.sub(" ", t).lower())) for t in texts}
+    out = defaultdict(dict)
+    for e, held in holds.items():
+        n_e = len({t for t, _ in held})
+        for term in set().union(*(terms[t] for t, _ in held)):
+            mine = [(t, c) for t, c in held if term in terms[t]]
+            if len({c for _, c in mine}) >= pii.MIN_CONTEXTS and n_e < len(texts):
+                n_te, n_t = len({t for t, _ in mine}), sum(term in x for x in terms.values())
+                ratio = math.log(n_te * len(texts) / (n_t * n_e)) / math.log(len(texts) / n_e)
+                if ratio >= pii.GENERALISE:
+                    out[e][term] = round(ratio, 6)
+    return dict(out)
+
+
+def test_ratios_equal_brute_force(spark):
+    pick = random.Random(8)
+    names = [f"name{letters(k)}" for k in range(12)]
+    rows = []
+    for k in range(400):
+        who = pick.randrange(12)
+        words = [pick.choice(["some", "plain", "words", "stand", "here", "also"]) for _ in range(pick.randrange(3, 9))]
+        if pick.random() < 0.5:
+            words.insert(pick.randrange(len(words)), f"u{letters(pick.randrange(3))}@host{letters(who)}.example")
+            words += [names[who]] * (pick.random() < 0.8)
+        rows.append((k, " ".join(words)))
+    rows += [(400 + k, rows[k][1]) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = df.select(pii.doc_key(F.col("text")).alias("_key"), pii.base_spans(F.col("text")).alias("_base"))
+    out = {r["entity"]: {t["term"]: round(t["ratio"], 6) for t in r["terms"]} for r in pii.disclosures(found, df).collect()}
+    want = disclosed(rows)
+    assert out == want and len(want) > 5
+
+
 def test_terms_that_disclose_what_single_entities_share(spark):
     """Each email occurs once; the term is far from it and stays where no email of the domain is."""
     far = "plain words here and more of them until the text is long enough to be far away from it"
