@@ -18,7 +18,7 @@ from . import scratch
 from .lookup import lookup
 from .quality_rules import SPACE, lines_twice, occurrences, words_of
 
-#: Labelled rows that the regression is fitted on, at most: those with the least hash of doc_id.
+#: Labelled rows that the regression is fitted on, at most: those whose hash is below a bound that the count of all sets.
 FIT_ROWS = 20_000
 THRESHOLD = 0.5
 #: Bounds of a prior's strength, in documents.
@@ -78,6 +78,20 @@ def strength(n: float, squares: float, sites: int, spread: float, rate: float) -
     return min(STRONGEST, max(WEAKEST, inside / between - 1)) if between > 1e-12 else STRONGEST
 
 
+def fit_sample(rows: DataFrame) -> list:
+    """x and label of at most FIT_ROWS labelled rows (a saved table of doc_id, x, label): all, or those of the least hashes.
+
+    Rows are counted first and chosen by a bound on their hash, so no task hands over more than belong to the sample.
+    """
+    labelled = rows.filter("label is not null").select("x", "label", F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 32)).alias("_h"))
+    bound, n = float(1 << 32), labelled.count()
+    while n > FIT_ROWS:
+        # Five standard deviations below the bound that gives FIT_ROWS on average.
+        bound *= (FIT_ROWS - 5 * math.sqrt(FIT_ROWS)) / n if FIT_ROWS > 25 else 0.5
+        n = labelled.filter(F.col("_h") < bound).count()
+    return labelled.filter(F.col("_h") < bound).select("x", "label").collect()
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path, p_doc, p_host, p_path, posterior and kept of every row of docs (doc_id, text and what host and path need).
 
@@ -88,7 +102,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     slim = evidence(docs.withColumn("_host", F.coalesce(host.cast("string"), F.lit(""))).withColumn("_path", F.coalesce(path.cast("string"), F.lit(""))).select("doc_id", "text", "_host", "_path"))
     rows = scratch.save(slim.drop("text").join(known, "doc_id", "left"), "evidence")
-    sample = rows.filter("label is not null").select("x", "label").withColumn("_h", F.xxhash64("x", "label")).orderBy("_h").limit(FIT_ROWS).select("x", "label").collect()
+    sample = fit_sample(rows)
     rates = {r["label"] for r in sample}
     if len(rates) == 2:
         p_doc = scored(F.col("x"), fit([(r["x"], r["label"]) for r in sample]))
