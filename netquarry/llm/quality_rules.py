@@ -34,11 +34,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def occurrences(text: Column, chars: str) -> Column:
-    """How many of text's bytes are one of chars (ASCII)."""
-    total = F.lit(0)
-    for c in chars:
-        total = total + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
-    return total.cast("long")
+    """How many of text's bytes are one of chars (ASCII), in one pass over text."""
+    one_of = "[" + "".join(f"\\x{ord(c):02x}" for c in chars) + "]+"
+    return (F.octet_length(text) - F.octet_length(F.regexp_replace(text, one_of, ""))).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -177,9 +175,8 @@ def posteriors(votes: DataFrame, n_rules: int, iterations: int = ITERATIONS) ->
 def judged(df: DataFrame, *without: str) -> DataFrame:
     """df with the features in _f, p_good, base_failed and kept, but for the columns named in without.
 
-    df is read once and what is asked for is written to a scratch table.
-
-    A null or blank text fails the base. Repeated rows each count. An empty table gives no row.
+    df is read once and what is asked for is written to a scratch table. Columns of df with one of these four names, or
+    named _votes, are replaced. A null or blank text fails the base. Repeated rows each count. An empty table gives no row.
     """
     rows = scratch.save(voted(df).drop(*without), "votes")
     found = scratch.save(posteriors(rows.select("_votes"), len(rules(F.col("_f")))), "posteriors")
@@ -189,9 +186,14 @@ def judged(df: DataFrame, *without: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows of df that are kept, with df's columns."""
+    """The rows of df that are kept, with df's columns, whatever their names.
+
+    A null or blank text fails the base and goes. Equal rows are judged alike. An empty table gives no row. Features are
+    taken once: votes and rows, but for those that fail the base, wait in a scratch table for the posteriors.
+    """
     rows = voted(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), "text"))
-    # The votes are taken twice, which spares a copy of all texts.
+    rows = scratch.save(rows.select("_votes", F.when(~base_failed(F.col("_f")), F.col("_row")).alias("_row")), "voted")
     found = scratch.save(posteriors(rows.select("_votes"), len(rules(F.col("_f")))), "posteriors")
-    out = rows.join(F.broadcast(found), "_votes")  # at most 3 ** rules rows
-    return out.filter(~base_failed(F.col("_f")) & (F.col("p_good") >= THRESHOLD)).select("_row.*")
+    good = found.filter(F.col("p_good") >= THRESHOLD).select("_votes")
+    # At most 3 ** rules rows are broadcast.
+    return rows.filter("_row is not null").join(F.broadcast(good), "_votes", "left_semi").select("_row.*")
