@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .token_store import id_width
 from .tokens import encoder, slices
 
-#: Parts that the pieces of one length are ranked in, so that no task ranks a length alone.
-RANK_PARTS = 256
+#: Parts that the pieces of one length are ranked in at least, and pieces that a part has, so that none ranks a length alone.
+RANK_PARTS, RANK_PIECES = 256, 50_000
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: int = 0) -> DataFrame:
@@ -101,14 +102,14 @@ def slots(found: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with rank, gapless from 0 among those of one length.
+def ranked(pieces: DataFrame, most: int) -> DataFrame:
+    """pieces with rank, gapless from 0 among those of one length. most: pieces of the most frequent length.
 
-    The pieces of a length are dealt to RANK_PARTS parts by hash; a part's first rank is the sum of the counts of the
-    parts before it, so a length that a third of all pieces share is ranked by many tasks.
+    The pieces of a length are dealt to parts of about RANK_PIECES by hash; a part's first rank is the sum of the counts
+    of the parts before it, so a length that a third of all pieces share is ranked by many tasks.
     """
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int")
-    pieces = pieces.withColumn("_part", part)
+    parts = max(RANK_PARTS, -(-most // RANK_PIECES))
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = pieces.groupBy("length", "_part").count().withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = Window.partitionBy("length", "_part").orderBy("doc_id", "start", "ids_crc32")
@@ -118,9 +119,13 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: int = 0) -> DataFrame:
     """Pieces of all documents with sequence_id and offset, the place of each in its sequence.
 
-    An empty table gives no row. Rows that share a doc_id are separate documents. The histogram and the slots, which
+    keep_ids: bytes of an id to keep, 2 or 4, and 0 for none; fewer than the vocabulary needs are refused. An empty table
+    gives no row. Rows that share a doc_id are separate documents; pieces that are equal in doc_id, start and ids are
+    ranked in any order. Columns of docs other than doc_id and text are left out. The histogram and the slots, which
     are sent to every task, have a size set by capacity, not by the number of pieces.
     """
+    if keep_ids:
+        id_width(tokenizer, end_id, keep_ids)
     pieces = scratch.save(cut(docs, tokenizer, end_id, capacity, keep_ids), "pieces", texts=True)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = slots(patterns(histogram, capacity))
@@ -137,4 +142,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, kee
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * bool(keep_ids)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * bool(keep_ids) + ", sequence_id long, offset long"
-    return ranked(pieces).select(*columns, "rank").mapInArrow(scratch.trimmed(place), schema)
+    return ranked(pieces, max(histogram.values(), default=0)).select(*columns, "rank").mapInArrow(scratch.trimmed(place), schema)

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """Folder named in spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="netquarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,25 +44,22 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return whole
 
 
-#: Rows of whole texts that go to Python at once.
-TEXT_ROWS = 1000
+#: Rows, and bytes, of whole texts that go to Python at once; a longer text goes alone.
+TEXT_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def save(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """Write df once and return a reader of what was written, with df's schema. texts: df sends whole texts to Python, in small batches."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    if texts:
-        spark.conf.set(key, TEXT_ROWS)
+    before = {key: spark.conf.get(key) for key in TEXT_LIMITS} if texts else {}
+    for key in before:
+        spark.conf.set(key, TEXT_LIMITS[key])
     try:
         df.write.parquet(path)
     finally:
-        if texts and before is None:
-            spark.conf.unset(key)
-        elif texts:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

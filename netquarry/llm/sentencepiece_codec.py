@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding of whole documents: a forward pass over a trie of distinct marked words.
 
-The public model is of the BPE kind, for which the best path by scores is not what the library returns. The forward pass
-is kept and its step exchanged: the encoding of a prefix ends in the only piece whose pair with the last piece of the
-prefix before it is itself encoded as those two pieces. So the state of a prefix is its last piece, and words are sorted
-and walked like a trie, depth first: what two neighbours have in common is not computed again.
+Words are sorted and walked like a trie, depth first: the forward state of each prefix, the score of its best path and
+that path's last piece, is kept, so what two neighbours have in common is not computed again. For a unigram model the step
+is Viterbi's: of all pieces that end here, the one whose score and that of the prefix before it make the best sum.
+
+The public model is of the BPE kind, for which the best path by scores is not what the library returns. There the forward
+pass is kept and its step exchanged: the encoding of a prefix ends in the only piece whose pair with the last piece of the
+prefix before it is itself encoded as those two pieces.
 
 A text is marked (spaces become the mark, one more in front) and cut before every run of marks and between ASCII
 characters that are neighbours in no piece, so that no piece can cross a cut. Characters without a piece become byte pieces.
@@ -25,6 +28,8 @@ from . import scratch
 from .tokens import ChunkEncoder, raw, slices, strings
 
 MARK = "▁"
+#: By how much an unknown character scores below the worst piece. Fixed value of the format.
+UNKNOWN_PENALTY = 10.0
 #: Pairs whose test a worker remembers.
 REMEMBERED_PAIRS = 1_000_000
 
@@ -39,7 +44,11 @@ class Pieces:
         ids = range(model.get_piece_size())
         self.texts = [model.id_to_piece(i) for i in ids]
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
-        self.rank = {self.texts[i]: -model.get_score(i) for i in plain}
+        self.scores = {self.texts[i]: model.get_score(i) for i in plain}
+        self.rank = {p: -score for p, score in self.scores.items()}
+        # The scores of a BPE model are the ranks of its merges; those of a unigram model are logarithms.
+        self.unigram = any(not score.is_integer() for score in self.scores.values())
+        self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.ids = {self.texts[i]: i for i in plain}
         self.bytes = {int(self.texts[i][3:5], 16): i for i in ids if model.is_byte(i)}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.rank) or len(self.bytes) != 256:
@@ -88,7 +97,8 @@ class Pieces:
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each marked word."""
         out: list[list[int]] = [[] for _ in words]
-        states: list[str] = []  # the last piece of each prefix of the word before
+        states: list[tuple[float, str]] = []  # best score and last piece of each prefix of the word before
+        step = self._best if self.unigram else self._last
         before = ""
         for k in sorted(range(len(words)), key=words.__getitem__):
             word = words[k]
@@ -99,11 +109,11 @@ class Pieces:
                 common += 1
             del states[common:]
             for end in range(common + 1, len(word) + 1):
-                states.append(self._last(word, end, states))
+                states.append(step(word, end, states))
             end, parts = len(word), []
             while end:
-                parts.append(states[end - 1])
-                end -= len(states[end - 1])
+                parts.append(states[end - 1][1])
+                end -= len(parts[-1])
             ids = out[k]
             for p in reversed(parts):
                 if p in self.ids:
@@ -113,14 +123,28 @@ class Pieces:
             before = word
         return out
 
-    def _last(self, word: str, end: int, states: list[str]) -> str:
+    def _best(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
+        """Viterbi's step for word[:end]; of equal sums that of the longest piece counts."""
+        before = lambda start: states[start - 1][0] if start else 0.0
+        best = None
+        for n in self.lengths.get(word[max(0, end - 2) : end], ()):
+            piece = word[end - n : end] if n <= end else ""
+            if piece in self.scores:
+                score = before(end - n) + self.scores[piece]
+                if best is None or score > best[0]:
+                    best = score, piece
+        score = before(end - 1) + self.scores.get(word[end - 1], self.unknown)
+        return (score, word[end - 1]) if best is None or score > best[0] else best
+
+    def _last(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
+        """The step for merges by rank, which has no score."""
         for n in self.lengths.get(word[max(0, end - 2) : end], ()):
             if n <= end:
                 start = end - n
                 piece = word[start:end]
-                if piece in self.rank and self.stands(piece) and (not start or self.follows(states[start - 1], piece)):
-                    return piece
-        return word[end - 1]
+                if piece in self.rank and self.stands(piece) and (not start or self.follows(states[start - 1][1], piece)):
+                    return 0.0, piece
+        return 0.0, word[end - 1]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a document's ids."""
@@ -220,7 +244,8 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256 and same (whether decoding gave the text back).
 
-    A null text counts as empty. Encoding and decoding are done in one pass, a slice of documents at a time.
+    A null text counts as empty; rows that share a doc_id are separate documents; an empty table gives no row. Encoding and
+    decoding are done in one pass, a slice of documents at a time, whose result is written to a scratch table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,4 +265,6 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                     same.append(text == back)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].slice(a, b - a), "n_ids": pa.array(np.diff(offsets)), "ids_crc32": pa.array(crc, pa.int64()), "decoded_sha256": sha, "same": same})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scratch.trimmed(run), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = slim.mapInArrow(scratch.trimmed(run), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return scratch.save(out, "round-trip", texts=True)

@@ -24,6 +24,10 @@ MAGIC, VERSION = b"NQTK", 1
 SAMPLE = 64
 #: Ids after which a file is closed: 16 MB with two-byte ids.
 FILE_IDS = 8 << 20
+#: Documents of a file that are handed over at once.
+READ_DOCS = 512
+#: Write tasks whose ids are summed together.
+PARTS_BLOCK = 1024
 _HEAD = struct.Struct("<4sHBBqqqq")  # magic, version, bytes an id, low bits, documents, ids, high bits, samples
 
 
@@ -68,13 +72,30 @@ class EliasFano:
         place = base + (found & -found).bit_length() - 1
         return ((place - k) << self.low_bits) | int(self._low(np.array([k]))[0])
 
-    def decode(self) -> np.ndarray:
-        """All values."""
-        k = np.arange(self.n)
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+    def span(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: the samples around them tell which words hold their set bits."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        skip, after = a % SAMPLE, -(-b // SAMPLE)
+        start = int(self.samples[a // SAMPLE]) >> 3
+        end = (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        at = np.flatnonzero(np.unpackbits(self.high[start:end], bitorder="little")) + 8 * start
+        at = at[np.searchsorted(at, int(self.samples[a // SAMPLE])) + skip :][: b - a]
+        k = np.arange(a, b)
         return ((at - k) << self.low_bits) | self._low(k)
 
 
+def id_width(tokenizer: str, end_id: int, width: int | None = None) -> int:
+    """Bytes of an id for a vocabulary and an end id: the fewest of 2 and 4, or width if it is enough."""
+    from tokenizers import Tokenizer
+
+    largest = max(end_id, max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0))
+    needed = 2 if largest < 1 << 16 else 4
+    if width is not None and (width not in (2, 4) or width < needed):
+        raise ValueError(f"ids up to {largest} need {needed} bytes, not {width}")
+    return width or needed
+
+
 def pack_file(doc_ids: np.ndarray, null_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, width: int) -> bytes:
     """A file's bytes. ends: for each document the ids up to and with its last."""
     ef = EliasFano.encode(ends, len(ids))
@@ -108,14 +129,21 @@ class TokenFile:
         """Ids of the k-th document."""
         return self.ids[self.bounds.select(k - 1) if k else 0 : self.bounds.select(k)]
 
+    def documents(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where documents a to b - 1 begin and end in ids."""
+        ends = self.bounds.span(a, b)
+        return np.concatenate([[self.bounds.select(a - 1) if a else 0], ends[:-1]]).astype(np.int64), ends
+
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode docs (doc_id, text) in ascending doc_id order into files under path; return one row per file.
 
-    A null text has the end id alone; documents of one doc_id follow each other in order of their text; a null doc_id
-    comes first. An empty table writes no file. Files are written under a name of the attempt and then renamed, so a
-    task that runs again leaves the same files.
+    width: bytes of an id, 2 or 4; by default the fewest that the vocabulary needs, and fewer than that are refused.
+    A null text has the end id alone; documents of one doc_id follow each other in order of their text's hash; a null
+    doc_id comes first. An empty table writes no file. Files are written under a name of the attempt and then renamed, so
+    a task that runs again leaves the same files.
     """
+    width = id_width(tokenizer, end_id, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as afs
@@ -150,7 +178,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int =
         if held:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash deals out the rows of a doc_id that very many rows share.
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+    ordered = slim.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     return ordered.mapInArrow(scratch.trimmed(run), "part int, number int, file string, n_docs long, n_ids long")
 
 
@@ -161,14 +191,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 one = TokenFile(content.as_buffer())
-                ends = one.bounds.decode()
-                starts = np.concatenate([[0], ends[:-1]])
-                wide = one.ids.astype("<u4")
-                for a in range(0, len(ends), 512):
-                    z = slice(a, a + 512)
-                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends[z]), [None, pa.py_buffer(np.append(starts[z], ends[z][-1]) * 4), pa.py_buffer(wide)])
+                for a in range(0, len(one.doc_ids), READ_DOCS):
+                    z = slice(a, min(a + READ_DOCS, len(one.doc_ids)))
+                    starts, ends = one.documents(z.start, z.stop)
+                    wide = one.ids[starts[0] : ends[-1]].astype("<u4")
+                    offsets = (np.append(starts, ends[-1]) - starts[0]) * 4
+                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(wide)])
+                    file = pa.array([basename(name.as_py())] * len(ends))
+                    doc_ids = pa.array(one.doc_ids[z], mask=one.null_ids[z])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([basename(name.as_py())] * len(ends[z])), pa.array(one.doc_ids[z], mask=one.null_ids[z]), pa.array(starts[z]), pa.array((ends - starts)[z]), ids.cast(pa.binary())],
+                        [file, doc_ids, pa.array(starts), pa.array(ends - starts), ids.cast(pa.binary())],
                         names=["file", "doc_id", "inside", "n_tokens", "ids"],
                     )
 
@@ -178,8 +210,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def with_start(rows: DataFrame, files: DataFrame) -> DataFrame:
     """rows of read() with start, the ids of all documents before each; files: what write() returned, a row a file."""
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    earlier = lambda of: of.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, of: F.coalesce(F.sum(n).over(earlier(of)), F.lit(0))
+    block = F.floor(F.col("part") / PARTS_BLOCK).alias("block")
+    # Sums of files in a part, of parts in a block and of blocks, of which there are one for PARTS_BLOCK write tasks.
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", block, "n")
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n")).select("block", before("n", Window.orderBy("block")).alias("of_block"))
+    parts = parts.select("part", "block", before("n", Window.partitionBy("block").orderBy("part")).alias("of_part"))
+    inside = before("n_ids", Window.partitionBy("part").orderBy("number"))
+    placed = files.select("part", "file", inside.alias("of_file")).join(parts, "part").join(F.broadcast(blocks), "block")
+    placed = placed.select("file", (F.col("of_block") + F.col("of_part") + F.col("of_file")).alias("before"))
     return rows.join(placed, "file").withColumn("start", F.col("before") + F.col("inside")).drop("file", "before", "inside")
 
 

@@ -1,4 +1,5 @@
 import random
+import struct
 import zlib
 
 import cases
@@ -39,6 +40,41 @@ def test_same_ids_and_texts_as_the_library(library, rows):
     assert [own.pieces.decode(np.array(x)) for x in want[:600]] == back[:600]
 
 
+def field(number, kind, content):
+    """A protobuf field: kind 0 number, 2 bytes, 5 float."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    head = varint(number << 3 | kind)
+    return head + (varint(content) if kind == 0 else struct.pack("<f", content) if kind == 5 else varint(len(content)) + content)
+
+
+def unigram_model(path):
+    """A small model of the unigram kind with byte pieces, written by hand."""
+    pick = random.Random(4)
+    words = {"▁", *"abcdeént", "▁a", "▁the", "the", "ab", "abc", "bcd", "cde", "de", "en", "ent", "tent", "▁ten", "nn", "eé", "▁▁"}
+    words |= {"".join(pick.choice("abcdent") for _ in range(pick.randrange(2, 6))) for _ in range(60)}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{k:02X}>", 0.0, 6) for k in range(256)]
+    pieces += [(w, -2 - 7 * pick.random(), 1) for w in sorted(words)]
+    content = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, s) + field(3, 0, t)) for p, s, t in pieces)
+    content += field(2, 2, field(3, 0, 1) + field(35, 0, 1))  # unigram, byte fallback
+    content += field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+    path.write_bytes(content)
+    return str(path)
+
+
+def test_viterbi_of_a_unigram_model_equals_the_library(tmp_path):
+    path = unigram_model(tmp_path / "unigram.model")
+    model, own = sentencepiece.SentencePieceProcessor(model_file=path), sc.WordEncoder(path)
+    pick = random.Random(9)
+    every = ["".join(pick.choice("abcdeént the x  ") for _ in range(pick.randrange(0, 50))) for _ in range(3000)] + ["", " ", "漢 abc", "\n\n ab"]
+    ids, offsets = own.encode(pa.array(every))
+    assert own.pieces.unigram and not sc.Pieces(MODEL).unigram
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == model.encode(every)
+    assert [x.decode() for x in own.decode_all(ids, offsets)] == every
+    # The pass over sorted words gives each word's own best path.
+    words = sorted({"▁" + w for t in every for w in t.split(" ")})
+    assert own.pieces.encode(words) == [own.pieces.encode([w])[0] for w in words]
+
+
 def test_encode_and_decode_rows(spark, library, hard):
     docs = hard.select("doc_id", "text")
     out = sc.decode(sc.encode(hard, MODEL), MODEL).collect()

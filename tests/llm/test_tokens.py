@@ -42,7 +42,10 @@ def test_forgetting_keeps_results(monkeypatch, rows):
 @pytest.mark.parametrize("values", [[], [0], [7, 7, 7], list(range(200)), [1000 * k * k for k in range(300)]])
 def test_elias_fano(values):
     ef = EliasFano.encode(np.array(values, np.int64), values[-1] if values else 0)
-    assert ef.decode().tolist() == values and [ef.select(k) for k in range(len(values))] == values
+    n = len(values)
+    assert ef.span(0, n).tolist() == values and [ef.select(k) for k in range(n)] == values
+    for a, b in [(0, 1), (1, 5), (60, 70), (63, 64), (64, 128), (100, n), (n, n)]:
+        assert ef.span(min(a, n), min(b, n)).tolist() == values[a:b]
     with pytest.raises(IndexError):
         ef.select(len(values))
 
@@ -79,11 +82,65 @@ def test_files_are_rolled(spark, documents, rows, monkeypatch):
     path = scratch.new_path(spark, "rolled")
     files = scratch.save(token_store.write(documents.coalesce(1), path, BYTES, 0, file_ids=20_000), "files")
     assert files.count() > 3
+    monkeypatch.setattr(token_store, "PARTS_BLOCK", 1)
     back = token_store.with_start(token_store.read(spark, path), files).orderBy("doc_id").collect()
     want = library(BYTES, [rows[r["doc_id"]] for r in back])
     assert [np.frombuffer(r["ids"], "<u4").tolist() for r in back] == [[*x, 0] for x in want]
 
 
+def test_offsets_come_through_select(spark, documents, monkeypatch):
+    path = scratch.new_path(spark, "selected")
+    scratch.save(token_store.write(documents.limit(30), path, BYTES, 0), "files")
+    content = spark.read.format("binaryFile").load(path).first()["content"]
+    ef = TokenFile(bytes(content)).bounds
+    ef.samples = ef.samples + 1
+    with pytest.raises(ValueError):
+        ef.span(0, ef.n)  # a set bit is missing from where the samples now point
+
+
+def test_width_of_ids(spark, documents, tmp_path):
+    """A vocabulary of over 65,536 ids gets four bytes an id; two are refused."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    big = Tokenizer(models.WordLevel({**{f"w{k}": k for k in range(70_000)}, "\n": 70_000, "?": 70_001}, "?"))
+    big.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    big.save(str(tmp_path / "big.json"))
+    name = str(tmp_path / "big.json")
+    assert token_store.id_width(name, 0) == 4 and token_store.id_width(BYTES, 0) == 2 and token_store.id_width(BYTES, 70_000) == 4
+    with pytest.raises(ValueError):
+        token_store.write(documents, scratch.new_path(spark, "narrow"), name, 0, width=2)
+    with pytest.raises(ValueError):
+        packing.pack(documents, name, 2, keep_ids=2)
+    docs = spark.createDataFrame([(1, "w69999 w1"), (2, "w65536")], "doc_id long, text string")
+    path = scratch.new_path(spark, "wide")
+    scratch.save(token_store.write(docs, path, name, 0), "files")
+    back = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.read(spark, path).collect()}
+    assert back == {1: [69_999, 1, 0], 2: [65_536, 0]}
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(docs, name, 2, keep_ids=4).collect()}
+    assert ids == {1: [69_999, 1, 2], 2: [65_536, 2]}
+
+
+def shortest_first(histogram, capacity):
+    """One piece at a time, longest first, into the shortest pack that it fits."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            fits = [k for k, p in enumerate(packs) if sum(p) + length <= capacity]
+            if fits:
+                packs[min(fits, key=lambda k: sum(packs[k]))].append(length)
+            else:
+                packs.append([length])
+    return sorted(map(tuple, packs))
+
+
+def test_patterns_are_shortest_pack_first():
+    pick = random.Random(5)
+    for _ in range(40):
+        histogram = {pick.randrange(1, 61): pick.randrange(1, 12) for _ in range(pick.randrange(1, 12))}
+        found = sorted(tuple(p) for p, n in packing.patterns(histogram, 60) for _ in range(n))
+        assert sorted(map(sum, found)) == sorted(map(sum, shortest_first(histogram, 60)))
+
+
 def fill(out, capacity=4096):
     used = {}
     for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
@@ -124,4 +181,4 @@ def test_patterns_use_every_piece_once():
 
 def test_ranks_of_one_length_are_dealt_out(spark):
     pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
-    assert sorted(r["rank"] for r in packing.ranked(pieces).collect()) == list(range(5000))
+    assert sorted(r["rank"] for r in packing.ranked(pieces, 60_000).collect()) == list(range(5000))
