@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 from .exact_dedup import HOT_SHARE, small
+from .lookup import lookup
 from .tokens import slices
 from .words import Words, mix
 
@@ -40,6 +41,8 @@ HUB_TEXTS = 256
 #: Bytes of a token in the indexes. Tokens that become equal by it only add candidates; use 6 beyond about 10 TB.
 WIDTH = 5
 BITS = 8  # words of 64 bits in a document's bitmap
+#: Members of a bucket that are compared with each other at once.
+BUCKET_ROWS = 256
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -278,6 +281,54 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, r
     return out
 
 
+def across(of: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that have different labels and may be linked. of: saved rows of signatures with label.
+
+    A bucket's members of its most frequent label, as near copies have, aren't paired with each other. Small buckets are
+    joined; the members of a large one are dealt to blocks, and each pair of blocks is compared in a task.
+    """
+    words = [f"w{k}" for k in range(BITS)]
+    of_label = of.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels"))
+    mixed = mixed.filter("labels > 1").select("key", "size", F.col("top.label").alias("major"), F.col("top.n").alias("n_major"))
+    mixed = scratch.save(mixed, "mixed")
+    rows = lookup(of, mixed.withColumn("_w", F.col("size")), "key", "_w").filter("size is not null")
+    left = rows.filter(F.col("size") <= BUCKET_ROWS)
+    right = left.select("key", *(F.col(c).alias(f"o_{c}") for c in ("rep", "n", "label", *words)))
+    apart = (F.col("rep") < F.col("o_rep")) & (F.col("label") != F.col("o_label"))
+    near = left.join(right, "key").filter(apart & may_link(rule, "", "o_")).select(F.col("rep").alias("a"), F.col("o_rep").alias("b"))
+    if mixed.filter(F.col("size") > BUCKET_ROWS).isEmpty():
+        return near
+    # Blocks 0 to others - 1 hold the other labels' members, those from there on the most frequent label's.
+    large = rows.filter(F.col("size") > BUCKET_ROWS).withColumn("_major", F.col("label") == F.col("major"))
+    others, majors = F.ceil((F.col("size") - F.col("n_major")) / BUCKET_ROWS), F.ceil(F.col("n_major") / BUCKET_ROWS)
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("_major"), majors).otherwise(others)) + F.when(F.col("_major"), others).otherwise(0)
+    large = large.withColumn("me", mine)
+    every = F.sequence(F.lit(0).cast("long"), others - 1)
+    whole = F.when(F.col("_major"), every).otherwise(F.sequence(F.lit(0).cast("long"), others + majors - 1))
+    met = large.withColumn("_o", F.explode(whole)).select(
+        "key", F.least("me", "_o").alias("i"), F.greatest("me", "_o").alias("j"), "me", "rep", "n", "label", *words
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        me, rep, n, label = (np.asarray(table[c]) for c in ("me", "rep", "n", "label"))
+        bits = np.stack([np.asarray(table[c]) for c in words], 1).view(np.uint64)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        first, second = np.flatnonzero(me == i), np.flatnonzero(me == j)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in first.tolist():
+            differ = np.bitwise_count(bits[second] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            sizes = rule.den * np.minimum(n[second], n[x]) >= rule.num * np.maximum(n[second], n[x])
+            good = sizes & (differ * (rule.den + rule.num) <= (rule.den - rule.num) * (n[second] + n[x])) & (label[second] != label[x])
+            y = rep[second[good]]
+            y = y[y > rep[x]] if i == j else y
+            a.append(np.minimum(rep[x], y))
+            b.append(np.maximum(rep[x], y))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return near.unionByName(met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def linked_sets(held: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, rule: Rule) -> DataFrame:
     """rep and component of the sets that are linked with another. held: blocks, saved; reps: rep and th, saved."""
     spark = docs.sparkSession
@@ -295,11 +346,7 @@ def linked_sets(held: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     links = verified(star, reps, docs, shingle, rule)
     label = components(links) if not links.isEmpty() else spark.createDataFrame([], "node long, label long")
     of = scratch.save(rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "signatures")
-    mixed = of.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter(F.col("_x") != F.col("_y")).select("key")
-    left = of.join(mixed, "key", "left_semi")
-    right = left.select("key", *(F.col(c).alias(f"o_{c}") for c in ("rep", "n", "label", *words)))
-    cross = left.join(right, "key").filter((F.col("rep") < F.col("o_rep")) & (F.col("label") != F.col("o_label")) & may_link(rule, "", "o_")).select(F.col("rep").alias("a"), F.col("o_rep").alias("b"))
-    links = links.unionByName(verified(cross, reps, docs, shingle, rule))
+    links = links.unionByName(verified(across(of, rule), reps, docs, shingle, rule))
     scratch.drop(rows, of)
     if links.isEmpty():
         return spark.createDataFrame([], "rep long, component long")
@@ -353,7 +400,11 @@ def classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, ca
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each class, the one of the least doc_id, and all that are linked with nothing."""
+    """docs with one document of each class, the one of the least doc_id, and all that are linked with nothing.
+
+    Columns keep their values whatever their names. A text without words, a null text and a row without a doc_id are linked
+    with nothing and stay. Of rows that share the least doc_id of their class all stay. An empty table gives no row.
+    """
     row = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_row", "doc_id", "text")
     out = classes(row, shingle, num, den, ("_row",))
     return out.filter(F.col("component_id").eqNullSafe(F.col("_row.doc_id"))).select("_row.*")

@@ -101,7 +101,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Shingle sets, links by counting what pairs share, and their closure.
+_CLASSES = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+          ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS s FROM w),
+    t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t AS a JOIN t AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON r.other = l.a)
+    SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id
+    FROM s LEFT JOIN reach AS r ON s.doc_id = r.doc_id GROUP BY s.doc_id"""
+
+
+def _weighed_rules() -> str:
+    """Features, votes, expectation-maximisation as a recursive query of one row, and posteriors."""
+    rules = range(9)
+    share = lambda name: f"(n_{name} / greatest(n_words, 1))"
+    length = "(word_chars / greatest(n_words, 1))"
+    prose = f"{share('symbols')} < 0.02 AND {share('shouts')} < 0.02 AND {share('upper')} < 0.1 AND {share('short')} > 0.15 AND {length} BETWEEN 3 AND 9"
+    good = [prose, "n_words >= 100"] + ["false"] * 7
+    bad = ["false", "n_words < 20", f"NOT {length} BETWEEN 2 AND 12", f"{share('symbols')} > 0.1", "n_dup_lines > 5"]
+    bad += [f"{share('repeat_words')} > 0.3", f"{share('shouts')} > 0.15", f"{share('short')} < 0.08", f"{share('upper')} > 0.3"]
+    votes = ", ".join(f"CASE WHEN {bad[j]} THEN -1 WHEN {good[j]} THEN 1 ELSE 0 END AS v{j}" for j in rules)
+    names = ", ".join(f"v{j}" for j in rules)
+    same = " AND ".join(f"d.v{j} = q.v{j}" for j in rules)
+    odds = " + ".join(f"CASE v{j} WHEN 1 THEN ln(gg{j} / gb{j}) WHEN -1 THEN ln(bg{j} / bb{j}) ELSE 0 END" for j in rules)
+    posterior = f"1 / (1 + exp(-(ln(prior / (1 - prior)) + {odds})))"
+    start = ", ".join(f"0.7::DOUBLE AS gg{j}, 0.3::DOUBLE AS gb{j}, 0.05::DOUBLE AS bg{j}, 0.5::DOUBLE AS bb{j}" for j in rules)
+    rate = lambda j, vote, side, first: f"least(0.98, greatest(0.001, (sum(CASE WHEN v{j} = {vote} THEN n * {side} ELSE 0 END) + 10 * {first}) / (sum(n * {side}) + 10)))"
+    sums = ", ".join(
+        f"{rate(j, 1, 'q', 0.7)} AS gg{j}, {rate(j, 1, '(1 - q)', 0.3)} AS gb{j}, {rate(j, -1, 'q', 0.05)} AS bg{j}, {rate(j, -1, '(1 - q)', 0.5)} AS bb{j}" for j in rules
+    )
+    tied = ", ".join(f"gg{j}, least(gb{j}, gg{j} / 4) AS gb{j}, least(bg{j}, bb{j} / 4) AS bg{j}, bb{j}" for j in rules)
+    prior = "greatest(0.5, least(0.99, (sum(n * q) + 10 * 0.85) / (sum(n) + 10)))"
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8)),
+    twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+    repeats AS (SELECT doc_id, sum(least(8, coalesce(after - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM twice) GROUP BY doc_id),
+    f AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+        length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouts, len(list_filter(w, lambda x: length(x) <= 3 AND lower(x) <> upper(x))) AS n_short,
+        len(list_filter(w, lambda x: length(x) >= 3 AND upper(x) = x AND lower(x) <> x)) AS n_upper FROM w LEFT JOIN repeats AS r ON w.doc_id = r.doc_id),
+    d AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {votes} FROM f),
+    patterns AS (SELECT {names}, count(*)::DOUBLE AS n FROM d GROUP BY ALL),
+    fit AS (SELECT 0 AS turn, 0.85::DOUBLE AS prior, {start}
+        UNION ALL SELECT turn + 1, prior, {tied} FROM (SELECT turn, {prior} AS prior, {sums} FROM (SELECT turn, n, {names}, {posterior} AS q FROM fit, patterns WHERE turn < 30) GROUP BY turn)),
+    q AS (SELECT {names}, {posterior} AS p FROM patterns, (SELECT * FROM fit WHERE turn = 30))
+    SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS p_good FROM d JOIN q ON {same}"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": _CLASSES,
+    "op9_quality_rules": _weighed_rules(),
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, true) AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry.llm import jaccard_join as jj
-from netquarry.llm import line_dedup, pii
+from netquarry.llm import line_dedup, pii, scratch
 from netquarry.llm.components import components
 
 
@@ -18,12 +18,25 @@ def own(df, k, num, den):
 @pytest.mark.parametrize("k, num, den, rare, buckets", [(3, 90, 100, 16, 1 << 20), (5, 80, 100, 2, 2000), (3, 90, 100, 1, 500)])
 def test_classes_equal_brute_force(spark, monkeypatch, k, num, den, rare, buckets):
     """Also where every token is frequent, so that combinations carry the join, and with small blocks, buckets and hubs."""
-    for name, value in (("RARE", rare), ("BUCKET_TOKENS", buckets), ("BLOCK_TOKENS", buckets), ("HUB_TEXTS", 7)):
+    for name, value in (("RARE", rare), ("BUCKET_TOKENS", buckets), ("BLOCK_TOKENS", buckets), ("HUB_TEXTS", 7), ("BUCKET_ROWS", 256 if rare == 16 else 3)):
         monkeypatch.setattr(jj, name, value)
     rows = cases.near_copies(seed=rare)
     assert own(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den) == cases.classes(rows, k, num, den)
 
 
+def test_a_large_bucket_is_compared_in_blocks(spark):
+    """20,000 members of one label and two strangers: both strangers' partners are found, no pair of the label is made."""
+    rule = jj.Rule(90, 100)
+    words = [f"w{k}" for k in range(jj.BITS)]
+    bits = lambda c: [F.when(c, F.lit(k)).otherwise(F.xxhash64("id", F.lit(k))).alias(w) for k, w in enumerate(words)]
+    rows = spark.range(20_002).select(
+        F.lit(5).cast("long").alias("key"), F.col("id").alias("rep"), F.lit(100).cast("long").alias("n"),
+        F.when(F.col("id") >= 20_000, F.col("id")).otherwise(F.lit(0)).alias("label"), *bits(F.col("id").isin(17, 20_000, 20_001)),
+    )
+    out = jj.across(scratch.save(rows, "bucket"), rule)
+    assert sorted((r["a"], r["b"]) for r in out.collect()) == [(17, 20_000), (17, 20_001), (20_000, 20_001)]
+
+
 def test_a_chain_of_links(spark):
     """Each text differs from the next by a little and from the first by a lot."""
     words = [f"t{i}" for i in range(400)]

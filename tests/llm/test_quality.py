@@ -1,9 +1,12 @@
 import cases
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from netquarry.llm import quality_classifier as qc
 from netquarry.llm import quality_rules as qr
+from netquarry.llm import queries
 
 
 def test_features_are_those_of_brute_force(spark, documents, hard):
@@ -15,6 +18,15 @@ def test_features_are_those_of_brute_force(spark, documents, hard):
         assert (f["n_words"], f["word_chars"], f["n_symbols"], f["n_dup_lines"], f["n_repeat_words"]) == cases.quality(r["text"])
 
 
+@pytest.mark.parametrize("name", ["op4_jaccard_join", "op9_quality_rules"])
+def test_queries_equal_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duckdb.sql(queries.ORACLES[name])
+    mine = queries.QUERIES[name](spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, mine)) == sorted(want.fetchall())
+
+
 def test_posteriors_agree_with_plain_code(spark):
     """The fold in SQL against the same updates in numpy."""
     pick = np.random.default_rng(4)
@@ -68,6 +80,43 @@ def test_held_out_accuracy(spark):
     assert len(out) > 1000 and right > 0.97 and good > 0.99
 
 
+def test_posteriors_equal_plain_code(spark):
+    """Strengths, site rates and posteriors of a small table against the same sums in numpy."""
+    pick = np.random.default_rng(6)
+    rows = [(k, f"{'plain words of some length here ' * int(pick.integers(1, 9))}{'#' * int(pick.integers(0, 9))}", f"h{k % 7}", f"p{k % 3}", int(pick.random() < 0.2 + 0.1 * (k % 7))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, label int")
+    known = {k: y for k, _, _, _, y in rows if k % 2}
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, label int")
+    out = {r["doc_id"]: r for r in qc.classify(df, labels, F.col("host"), F.col("path")).collect()}
+    share = np.array([known.get(k, out[k]["p_doc"]) for k in range(600)], float)
+    host, path = (np.array([r[c] for r in rows]) for c in (2, 3))
+    sites = {}
+    for h in set(host):
+        sites[h] = (share[host == h], {p: share[(host == h) & (path == p)] for p in set(path[host == h])})
+    n, rate = 600, float(np.clip(share.mean(), 0.001, 0.999))
+    spread = sum(len(s) * (s.mean() - rate) ** 2 for s, _ in sites.values())
+    top = qc.strength(n, sum(len(s) ** 2 for s, _ in sites.values()), len(sites), spread, rate)
+    inner = sum(len(p) * (p.mean() - s.mean()) ** 2 for s, ps in sites.values() for p in ps.values())
+    part = sum(len(p) ** 2 / len(s) for s, ps in sites.values() for p in ps.values())
+    low = qc.strength(n, part * n, sum(len(ps) for _, ps in sites.values()) - len(sites) + 1, inner, rate)
+    odds = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    for k in range(600):
+        s, ps = sites[host[k]]
+        p = ps[path[k]]
+        p_host = (s.sum() - share[k] + top * rate) / (len(s) - 1 + top)
+        p_path = (p.sum() - share[k] + low * p_host) / (len(p) - 1 + low)
+        posterior = 1 / (1 + np.exp(-(odds(out[k]["p_doc"]) + odds(p_path) - np.log(rate / (1 - rate)))))
+        assert np.allclose([out[k]["p_host"], out[k]["p_path"], out[k]["posterior"]], [p_host, p_path, posterior], atol=1e-9)
+
+
+def test_the_fit_has_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(qc, "FIT_ROWS", 400)
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("x"), (F.col("id") % 2).cast("int").alias("label"))
+    sample = qc.fit_sample(rows)
+    assert 150 < len(sample) <= 400 and {r["label"] for r in sample} == {0, 1}
+    assert len(qc.fit_sample(rows.limit(300))) == 300 and qc.fit_sample(rows.limit(0)) == []
+
+
 def test_sparse_sites_stay_near_the_prior(spark):
     rows = [(k, "plain words of some length here", "big", "p", 1 if k % 10 else 0) for k in range(400)]
     rows += [(1000 + k, "plain words of some length here", "bad", "p", 0 if k % 10 else 1) for k in range(400)]

@@ -37,7 +37,9 @@ def test_spare_room_limits_movement(spark):
     place = lambda n: {r["id"]: r["shard"] for r in sharding.assign(rows, F.col("id"), n, spare=0.25).collect()}
     eight, nine = place(8), place(9)
     assert max(np.bincount(list(eight.values()))) <= 1250
-    assert sum(eight[k] != nine[k] for k in eight) < 8000 * 0.35
+    moved = [k for k in eight if eight[k] != nine[k]]
+    # A ninth of all keys is what the new shard must get.
+    assert len(moved) < 8000 * 0.16 and sum(nine[k] != 8 for k in moved) < 8000 * 0.03
 
 
 def test_fuse_filter():
