@@ -71,6 +71,10 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data))
 
 
+#: Chunks between which a separator is tried.
+PROBES = ("x", " x", "word", " words", "X", " Éé", ".", " (", "漢", "w65536")
+
+
 class ChunkEncoder:
     """Ids of whole texts by a tokenizers file; one per Python worker and file."""
 
@@ -82,12 +86,20 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         # A separator that is a piece and an id of its own between chunks free of what could join it.
-        self.separator, self.unsafe = "\n", re.compile("[\t\n\x0b\x0c\r]|  | $")
-        if len(self._one("\n")) != 1:
-            self.separator, self.unsafe = "7", re.compile("7")
-        self.mark = self._one(self.separator)[0]
+        candidates = ("\n", "[\t\n\x0b\x0c\r]|  | $"), ("7", "7")
+        # A vocabulary with neither has its chunks encoded one by one.
+        self.separator, unsafe = next((c for c in candidates if self._separates(c[0])), ("", ""))
+        self.unsafe = re.compile(unsafe)
+        self.mark = self._one(self.separator)[0] if self.separator else None
         self._empty()
 
+    def _separates(self, separator: str) -> bool:
+        """Whether separator is one id, unlike that of any chunk beside it, and leaves the ids of chunks as they are."""
+        mark = self._one(separator)
+        ids = [self._one(x) for x in PROBES]
+        alone = len(mark) == 1 and all(ids) and not any(mark[0] in x for x in ids)
+        return alone and self._one(separator.join([*PROBES, ""])) == [i for x in ids for i in [*x, *mark]]
+
     def forget(self) -> None:
         """Keep the chunks met in two slices or more since the last time."""
         keep = np.flatnonzero(self.met[: len(self.known)] > 1)
