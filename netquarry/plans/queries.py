@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import netmath
 from .. import shared
-from ..functions.addresses import found
+from ..functions.addresses import field, found
 from ..operators import index as ix
-from ..operators import search, stats, templates
+from ..operators import search, stats, templates, upkeep
 from ..sources import lines as src
 from ..sources import store, terms
 from ..streaming import live
@@ -140,12 +140,27 @@ def search_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.scan(synthetic(spark, sf_dir), terms.argument_terms(spark, TERMS))
 
 
-def _log_file(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
-    """The synthetic log as a text file, read again with the numbers of its lines."""
+def _written_log(spark: SparkSession, sf_dir: str, **options: str) -> str:
+    """Where the synthetic log is as a text file."""
     place = shared.new_path(spark, "log")
     ordered = synthetic(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
     ordered.select("text").write.options(lineSep="\n", **options).text(place)
-    return src.read_lines(spark, place).withColumn("file", F.lit("synthetic.log"))
+    return place
+
+
+def _log_file(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
+    """The synthetic log as a text file, read again with the numbers of its lines."""
+    return src.read_lines(spark, _written_log(spark, sf_dir, **options)).withColumn("file", F.lit("synthetic.log"))
+
+
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a text file with their numbers."""
+    return _log_file(spark, sf_dir).select("line_no", "text")
+
+
+def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of a text file, by its listing."""
+    return src.file_sizes(spark, _written_log(spark, sf_dir)).agg(F.sum("bytes").alias("bytes"))
 
 
 def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +173,11 @@ def file_index_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(ix.occurrences(_log_file(spark, sf_dir, compression="gzip")), "file").select("file", "record")
 
 
+def file_index_bzip2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a compressed file that can be split."""
+    return _index(ix.occurrences(_log_file(spark, sf_dir, compression="bzip2")), "file").select("file", "record")
+
+
 def file_terms_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search by a file of terms, some of them twice, in a stored index, and the lines of a text file that it finds."""
     place = shared.new_path(spark, "terms")
@@ -220,6 +240,46 @@ def stream_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("address", "kind", "x.line", "x.field")
 
 
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in each hour of the synthetic log read as a stream with times."""
+    place = shared.new_path(spark, "stream-windows")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    timed = events.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(SYNTHETIC_TEXT).alias("text"))
+    out = live.windowed_counts(timed, "ts", "10 minutes", "1 hour")
+    out = out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    write = out.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{place}/state")
+    write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/counts")).start().awaitTermination()
+    return spark.read.schema("start string, address string, kind string, n long").parquet(f"{place}/counts")
+
+
+def second_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second address of each line."""
+    return synthetic(spark, sf_dir).select("line_no", field(found("text"), 2).alias("address"))
+
+
+SAMPLE_TEXT = "concat(CASE WHEN event_id % 2 = 0 THEN '# ' ELSE '' END, repeat('10.0.0.1 ', CAST(event_id % 6 AS INT)))"
+
+
+def template_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of sample lines, of which some are comments."""
+    return templates.sample_templates(table(spark, sf_dir, "events").select(F.expr(SAMPLE_TEXT).alias("text")))
+
+
+def index_without_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index from which addresses have been taken out."""
+    left = upkeep.without(_stored(spark, sf_dir), terms.argument_terms(spark, TERMS))
+    return left.groupBy("address", "kind").agg(F.sum("n").alias("n"))
+
+
+def index_replaced_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of two logs, of which one has been indexed anew after it lost every second line."""
+    lines = odd(spark, sf_dir)
+    index = ix.postings(ix.occurrences(synthetic(spark, sf_dir).unionByName(lines)))
+    newer = shared.save(ix.postings(ix.occurrences(lines.filter("line_no % 2 = 1"))), "newer")
+    return upkeep.replaced(index, newer).groupBy("file", "address", "kind").agg(F.sum("n").alias("n"))
+
+
 def search_terms_file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms as from a file with repeated lines: every third user's address, from the events themselves."""
     listed = table(spark, sf_dir, "events").select(F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") * 3))).alias("term"))
@@ -324,6 +384,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_without_index": search_without_index,
     "file_index": file_index,
     "file_index_gzip": file_index_gzip,
+    "file_index_bzip2": file_index_bzip2,
+    "file_lines": file_lines,
+    "file_bytes": file_bytes,
     "file_terms_search": file_terms_search,
     "text_index_search": text_index_search,
     "odd_forms_ref": odd_forms("ref"),
@@ -333,6 +396,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ipv6_network_search": ipv6_network_search,
     "ipv6_order": ipv6_order,
     "stream_places": stream_places,
+    "stream_windowed_counts": stream_windowed_counts,
+    "second_field": second_field,
+    "template_samples": template_samples,
+    "index_without_terms": index_without_terms,
+    "index_replaced_file": index_replaced_file,
     "search_terms_file_dedup": search_terms_file_dedup,
     "search_missing_terms": search_missing_terms,
     "normalize_ipv4_leading_zero": normalize_ipv4_leading_zero,
@@ -395,6 +463,9 @@ ORACLES: dict[str, str] = {
     "search_without_index": _FOUND_LINES.format(_LOG, _HITS),
     "file_index": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
     "file_index_gzip": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
+    "file_index_bzip2": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
+    "file_lines": f"SELECT line_no, text FROM {_LOG} AS l",
+    "file_bytes": f"SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM {_LOG} AS l",
     "file_terms_search": _FOUND_LINES.format(
         _LOG, f"(SELECT file, address AS term, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o WHERE address IN (SELECT term FROM {_FILE_TERMS} AS t))"
     ),
@@ -406,6 +477,14 @@ ORACLES: dict[str, str] = {
     "ipv6_network_search": f"SELECT * FROM ({_COUNTS.format(_IPV6)}) WHERE length(split_part(address, '::', 2)) <= 2",
     "ipv6_order": f"SELECT address, n, {_V6_DIGITS} AS digits FROM ({_COUNTS.format(_IPV6)})",
     "stream_places": f"SELECT address, kind, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o",
+    "stream_windowed_counts": f"""SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H:%M:%S') AS start, address, kind, count(*) AS n
+        FROM {_OCC} AS o JOIN events AS e ON o.line_no = e.event_id + 1 GROUP BY ALL""",
+    "second_field": f"SELECT line_no, a[2].address AS address FROM (SELECT line_no, {oracle.found('text')} AS a FROM {_LOG} AS l)",
+    "template_samples": f"""SELECT DISTINCT array_to_string(list_transform({oracle.found('text')}, lambda x: '%' || x.code), '') AS template
+        FROM (SELECT {SAMPLE_TEXT} AS text FROM events) AS l WHERE text NOT LIKE '#%'""",
+    "index_without_terms": f"SELECT * FROM ({_COUNTS.format(_OCC)}) WHERE address NOT IN (SELECT term FROM {_TERMS} AS t)",
+    "index_replaced_file": f"""SELECT file, address, kind, count(*) AS n FROM (SELECT * FROM {_OCC} AS o
+        UNION ALL SELECT * FROM {oracle.occurrences(f'(SELECT * FROM {_ODD} AS s WHERE line_no % 2 = 1)')} AS o) AS i GROUP BY ALL""",
     "search_terms_file_dedup": f"SELECT file, address AS term, count(*) AS occurrences FROM {_OCC} AS o WHERE address IN (SELECT concat('2001:db8::', lower(hex(user_id * 3))) FROM events) GROUP BY file, address",
     "search_missing_terms": f"SELECT term FROM {_TERMS} AS t WHERE term NOT IN (SELECT address FROM {_OCC} AS o)",
     "normalize_ipv4_leading_zero": _COUNTS.format(_events_log("zeros.log", "concat('at 010.', lpad(CAST(user_id % 4 AS VARCHAR), 3, '0'), '.', lpad(CAST(event_id % 16 AS VARCHAR), 2, '0'), '.00', event_id % 8, ' end')")),
