@@ -5,8 +5,8 @@ points follow clockwise from there is the slot's order of preference. In each ro
 offered to the slot's next shard, which takes them, slot after slot, until it is full; the overflow continues
 clockwise. The shards' capacities add up to the number of rows (or more, with spare), so every key finds a place.
 
-All of this is done on counts: the ring table has SLOTS x PARTS rows at any size of input. A key then reads its shard
-and its place there from its rank in its part.
+All of this is done on counts of slots and of the parts that their keys are ranked in. A key then reads its shard and its
+place there from its rank in its part.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .exact_dedup import small
 
 SLOTS = 4096
-#: Parts that a slot's keys are ranked in.
-PARTS = 16
+#: Parts that a slot's keys are ranked in at least, and keys of a part beyond that, so that a hot slot has more of them.
+PARTS, PART_KEYS = 16, 1 << 19
 VNODES = 128
 
 
@@ -76,23 +77,29 @@ def assign(df: DataFrame, key: Column, shards: int, tie: Column | None = None, s
     """df with shard and slot (gapless from 0 in each shard); counts of rows differ by one at most when spare is 0.
 
     key decides the place on the ring; null is a key like another. tie orders and deals out the rows of one key, so a
-    key of a third of all rows is ranked by PARTS tasks and overflows to the next shards. Rows equal in key and tie are
-    in any order. Columns of df named shard or slot are replaced; an empty df gives no row. df is read twice and is best given without the columns that are not needed.
+    key of a third of all rows is ranked in parts of about PART_KEYS and overflows to the next shards. Rows equal in key
+    and tie are in any order. Columns of df named shard or slot are replaced; an empty df gives no row. df is read three
+    times, the first time for key alone, and is best given without the columns that are not needed.
     """
     tie = F.lit(0) if tie is None else tie
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    held = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("_slot"), F.xxhash64(key, tie).alias("_order"))
-    held = held.withColumn("_part", F.pmod("_order", F.lit(PARTS)))
-    counts = scratch.save(held.groupBy(F.col("_slot").alias("slot"), F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n")), "ring-counts")
-    runs = scratch.save(allotment(counts.groupBy("slot").agg(F.sum("n").alias("n")), shards, spare), "ring-runs")
+    at = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    slots = scratch.save(df.groupBy(at.alias("slot")).agg(F.count(F.lit(1)).alias("n")), "ring-slots")
+    runs = scratch.save(allotment(slots, shards, spare), "ring-runs")
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
+    parts = slots.select(F.col("slot").alias("_slot"), F.greatest(F.lit(PARTS), F.ceil(F.col("n") / PART_KEYS)).alias("_parts"))
+    held = df.select(row, at.alias("_slot"), F.xxhash64(key, tie).alias("_order")).join(F.broadcast(parts), "_slot")  # SLOTS rows
+    held = held.withColumn("_part", F.pmod("_order", "_parts")).drop("_parts")
+    counts = held.groupBy(F.col("_slot").alias("slot"), F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     by_part = Window.partitionBy("slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most SLOTS x shards runs in SLOTS arrays, and SLOTS x PARTS rows, at any size of df.
+    # At most SLOTS x shards runs in SLOTS arrays; SLOTS x PARTS rows, and one more for PART_KEYS rows of df.
     table = (
         counts.withColumn("first", F.coalesce(F.sum("n").over(by_part), F.lit(0)))
         .join(runs.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("from_rank", "n", "shard", "first_place"))).alias("runs")), "slot")
         .select(F.col("slot").alias("_slot"), F.col("part").alias("_part"), "first", "runs")
     )
+    table = scratch.save(table, "ring-parts")
     rank = F.col("first") + F.row_number().over(Window.partitionBy("_slot", "_part").orderBy("_order")) - 1
-    out = held.join(F.broadcast(table), ["_slot", "_part"]).withColumn("_rank", rank)
+    out = held.join(small(table), ["_slot", "_part"]).withColumn("_rank", rank)
     out = out.withColumn("_run", F.get(F.filter("runs", lambda r: (r["from_rank"] <= F.col("_rank")) & (F.col("_rank") < r["from_rank"] + r["n"])), F.lit(0)))
     return out.select("_row.*", F.col("_run.shard").alias("shard"), (F.col("_run.first_place") + F.col("_rank") - F.col("_run.from_rank")).alias("slot"))

@@ -32,6 +32,18 @@ def test_hard_hot_and_no_rows(spark, hard):
     assert sharding.assign(hard.limit(0), F.col("doc_id"), 8).count() == 0
 
 
+def test_parts_of_a_hot_slot_change_nothing_but_places(spark, monkeypatch):
+    """More parts rank a hot key's rows in more tasks; the slots of all shards stay gapless and the loads the same."""
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), "id")
+    place = lambda: sharding.assign(hot, F.col("key"), 8, tie=F.col("id")).collect()
+    few = place()
+    monkeypatch.setattr(sharding, "PART_KEYS", 20)
+    many = place()
+    assert loads(few) == loads(many) and sorted(r["id"] for r in many) == list(range(3000))
+    cool = lambda out: {r["id"]: r["shard"] for r in out if r["id"] % 3}
+    assert sum(cool(few)[k] != cool(many)[k] for k in cool(few)) < 50
+
+
 def test_spare_room_limits_movement(spark):
     rows = spark.range(8000)
     place = lambda n: {r["id"]: r["shard"] for r in sharding.assign(rows, F.col("id"), n, spare=0.25).collect()}
