@@ -88,6 +88,32 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    out = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import leaf, proofs
+
+    docs = documents(spark, sf_dir)
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(*columns, lower))
+    return proofs(docs, F.col("lang"), leaf(*columns, F.col("text")), "doc_id", tampered)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, remainder, score
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    out = score(documents(spark, sf_dir).select("doc_id", "text", "lang"), labels)
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -99,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_store": op10_token_store,
+    "op11_whitening": op11_whitening,
+    "op12_merkle": op12_merkle,
+    "op13_toxicity": op13_toxicity,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -157,7 +186,48 @@ def _weighed_rules() -> str:
         CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS p_good FROM d JOIN q ON {same}"""
 
 
+def _tree(k: int, levels: int, step: str) -> str:
+    """CTEs of the runs and nodes of each level above step0 (g, i, h), a lone node of g staying as it is."""
+    out = ""
+    for n in range(levels):
+        out += f"""
+    {step}run{n} AS (SELECT g, i // {k} AS i, list(h ORDER BY i) AS hs, any_value(c) AS c
+        FROM (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS c FROM {step}{n}) GROUP BY g, i // {k}),
+    {step}{n + 1} AS (SELECT g, i, CASE WHEN c = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {step}run{n}),"""
+    return out
+
+
+def _manifest(groups: int = 3, levels: int = 7) -> str:
+    """Trees of eight, by level: up to 8^levels rows of a lang and 8^groups langs. The crc of a number's digits by its bits."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END"
+    head = ", ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    byte = f"list_reduce(range(8), lambda a, k: {bit}, xor(r, x))"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    crc = f"xor(list_reduce({digits}, lambda r, x: {byte}, 4294967295), 4294967295)"
+    parts = [("lang", "f.g", n, f"f.i // {8**n}") for n in range(levels)] + [("top", "''", n, f"f.gi // {8**n}") for n in range(groups)]
+    folds = ""
+    for k, (step, group, n, at) in enumerate(parts):
+        before, after = f"array_to_string(r.hs[1:{at} % 8], '')", f"array_to_string(r.hs[{at} % 8 + 2:], '')"
+        folds += f"""
+    fold{k + 1} AS (SELECT f.doc_id, f.leaf, f.g, f.i, f.gi, concat(f.proof, {before}, {after}) AS proof,
+        CASE WHEN r.c = 1 THEN f.h ELSE sha256(concat({before}, f.h, {after})) END AS h
+        FROM fold{k} AS f JOIN {step}run{n} AS r ON r.g = {group} AND r.i = {at} // 8),"""
+    return f"""
+    WITH d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE concat('=', lang) END AS g, sha256(concat({head}, {value("text")})) AS leaf,
+        CASE WHEN {crc} % 3 = 0 THEN sha256(concat({head}, {value(lower)})) END AS other FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+    lang0 AS (SELECT g, i, leaf AS h FROM leaves),{_tree(8, levels, "lang")}
+    top0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS name FROM lang{levels}),{_tree(8, groups, "top")}
+    fold0 AS (SELECT l.doc_id, l.leaf, l.g, l.i, t.i AS gi, '' AS proof, coalesce(l.other, l.leaf) AS h FROM leaves AS l JOIN top0 AS t ON t.name = l.g),{folds}
+    done AS (SELECT f.doc_id, f.leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root
+        FROM fold{len(parts)} AS f JOIN lang{levels} AS s ON s.g = f.g CROSS JOIN top{groups} AS r)
+    SELECT *, folded_root = root AS verified FROM done"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle": _manifest(),
     "op4_jaccard_join": _CLASSES,
     "op9_quality_rules": _weighed_rules(),
     "op7_exact_dedup": """
