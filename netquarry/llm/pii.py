@@ -6,8 +6,8 @@ and their estimate is that of what they share. A term t of the documents with an
 log(p(t,e) / (p(t) p(e))); the entity's own information is -log p(e). Their ratio is 1 when t says as much as e itself.
 Terms at REMOVE or more are removed and those at GENERALISE or more are generalised, in the documents that hold e.
 Probabilities are shares of different texts, so a copy counts once on every side. A pair of entity and term also needs
-MIN_CONTEXTS different surroundings (the CONTEXT characters on either side of e), so that near copies of one passage are
-no evidence for its words. Terms are whole words of whole texts, emails left out. All of it is SQL.
+MIN_CONTEXTS texts in which the surroundings of e (the CONTEXT characters on either side) differ, each text having one, so
+that neither the mentions of one text nor near copies of one passage are evidence for its words. Terms are whole words of whole texts, emails left out. All of it is SQL.
 """
 
 from __future__ import annotations
@@ -126,11 +126,12 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     spans = found.filter(F.size("_base") > 0).select("_key", F.explode("_base").alias("x"))
-    seen = spans.select("_key", F.explode(entities_of(F.col("x"))).alias("entity"), F.xxhash64("x.c").alias("context"))
-    # Of equal texts, one holds the entity. One document's entities make an array of its own size.
-    one = seen.groupBy("entity", F.col("_key.text").alias("th"), "context").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("n"))
+    seen = spans.select("_key", F.explode(entities_of(F.col("x"))).alias("entity"), F.col("x.c").alias("context"))
+    # Of equal texts, one holds the entity, and of a text's mentions, one gives the surroundings.
+    one = seen.groupBy("entity", F.col("_key.text").alias("th"))
+    one = one.agg(F.min("_key").alias("_key"), F.xxhash64(F.min("context")).alias("context"), F.count(F.lit(1)).alias("n"))
     holders = scratch.save(one, "holders")
-    rated = holders.groupBy("entity").agg(F.count_distinct("th").alias("n_e"), F.count_distinct("context").alias("contexts"), F.sum("n").alias("n"))
+    rated = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("context").alias("contexts"), F.sum("n").alias("n"))
     rated = scratch.save(rated.filter(F.col("contexts") >= MIN_CONTEXTS).drop("contexts"), "rated")
     if rated.isEmpty():
         return nothing(found)
@@ -140,7 +141,8 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     of_text = scratch.save(of_text, "rated-texts")
     held = docs.select(doc_key(text).alias("_key"), text.alias("_text")).join(small(of_text), "_key").dropDuplicates(["_key"])
     pairs = held.select("_of", "th", F.explode(terms_in(prose(F.col("_text")))).alias("term")).select(F.explode("_of").alias("x"), "th", "term")
-    pairs = pairs.groupBy("x.entity", "x.n_e", "term").agg(F.count_distinct("th").alias("n_te"), F.count_distinct("x.context").alias("contexts"))
+    # A text has an entity once and a term once, so rows are texts.
+    pairs = pairs.groupBy("x.entity", "x.n_e", "term").agg(F.count(F.lit(1)).alias("n_te"), F.count_distinct("x.context").alias("contexts"))
     counted = scratch.save(pairs.filter(F.col("contexts") >= MIN_CONTEXTS).drop("contexts"), "pairs")
     if counted.isEmpty():
         return nothing(found)

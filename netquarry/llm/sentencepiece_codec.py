@@ -2,7 +2,10 @@
 
 Words are sorted and walked like a trie, depth first: the forward state of each prefix, the score of its best path and
 that path's last piece, is kept, so what two neighbours have in common is not computed again. For a unigram model the step
-is Viterbi's: of all pieces that end here, the one whose score and that of the prefix before it make the best sum.
+is Viterbi's: of all pieces that end here, the one whose score and that of the prefix before it make the best sum. The
+library adds single-precision scores along a whole text, so where two paths of a word are as good but for rounding, the
+text before decides. Each word's least margin between its best path and the next is therefore kept, and a text with a
+margin within rounding is encoded again by one pass over all of it, in single precision.
 
 The public model is of the BPE kind, for which the best path by scores is not what the library returns. There the forward
 pass is kept and its step exchanged: the encoding of a prefix ends in the only piece whose pair with the last piece of the
@@ -25,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .tokens import ChunkEncoder, raw, slices, strings
+from .tokens import REMEMBERED, ChunkEncoder, raw, slices, strings
 
 MARK = "▁"
 #: By how much an unknown character scores below the worst piece. Fixed value of the format.
 UNKNOWN_PENALTY = 10.0
+#: Rounding of sums in single precision, as a share of the sum, with room for both paths.
+ROUNDING = 2.0**-21
 #: Pairs whose test a worker remembers.
 REMEMBERED_PAIRS = 1_000_000
 
@@ -66,7 +71,10 @@ class Pieces:
                 if a < "\x80" and b < "\x80":
                     self.together[ord(a), ord(b)] = True
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.alone: dict[str, bool] = {}
+        # Of each word met: the score of its best path, and the least margin on it by character.
+        self.sums: dict[str, float] = {}
+        self.margins: dict[str, float] = {}
 
     def merged(self, text: str) -> list[str]:
         """text by the merges themselves: always the pair of the best piece, the leftmost of equals."""
@@ -89,15 +97,15 @@ class Pieces:
 
     def stands(self, a: str) -> bool:
         """Whether a piece is encoded as itself."""
-        known = self.whole.get(a)
+        known = self.alone.get(a)
         if known is None:
-            known = self.whole[a] = self.merged(a) == [a]
+            known = self.alone[a] = self.merged(a) == [a]
         return known
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each marked word."""
         out: list[list[int]] = [[] for _ in words]
-        states: list[tuple[float, str]] = []  # best score and last piece of each prefix of the word before
+        states: list[tuple[float, str, float]] = []  # of each prefix of the word before: best score, last piece, least margin
         step = self._best if self.unigram else self._last
         before = ""
         for k in sorted(range(len(words)), key=words.__getitem__):
@@ -110,41 +118,69 @@ class Pieces:
             del states[common:]
             for end in range(common + 1, len(word) + 1):
                 states.append(step(word, end, states))
-            end, parts = len(word), []
-            while end:
-                parts.append(states[end - 1][1])
-                end -= len(parts[-1])
-            ids = out[k]
-            for p in reversed(parts):
-                if p in self.ids:
-                    ids.append(self.ids[p])
-                else:
-                    ids.extend(self.bytes[b] for b in p.encode())
+            out[k] = self._ids(word, lambda end: states[end - 1][1])
+            if self.unigram and word:
+                self.sums[word], self.margins[word] = states[-1][0], states[-1][2] / (len(word) + 1)
             before = word
         return out
 
-    def _best(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
-        """Viterbi's step for word[:end]; of equal sums that of the longest piece counts."""
+    def _ids(self, word: str, last) -> list[int]:
+        """Ids of the path whose last piece before each end is last(end)."""
+        end, parts, ids = len(word), [], []
+        while end:
+            parts.append(last(end))
+            end -= len(parts[-1])
+        for p in reversed(parts):
+            if p in self.ids:
+                ids.append(self.ids[p])
+            else:
+                ids.extend(self.bytes[b] for b in p.encode())
+        return ids
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a whole marked text by one pass in single precision, as the library adds."""
+        sums, pieces = [np.float32(0)], [""]
+        for end in range(1, len(text) + 1):
+            best, piece = None, ""
+            for n in self.lengths.get(text[max(0, end - 2) : end], ()):
+                part = text[end - n : end] if n <= end else ""
+                if part in self.scores:
+                    score = sums[end - n] + np.float32(self.scores[part])
+                    if best is None or score > best:
+                        best, piece = score, part
+            char = text[end - 1]
+            score = sums[end - 1] + np.float32(self.scores.get(char, self.unknown))
+            if best is None or score > best:
+                best, piece = score, char
+            sums.append(best)
+            pieces.append(piece)
+        return self._ids(text, pieces.__getitem__)
+
+    def _best(self, word: str, end: int, states: list[tuple[float, str, float]]) -> tuple[float, str, float]:
+        """Viterbi's step for word[:end]; of equal sums that of the longest piece counts. The margin is the least on the path."""
         before = lambda start: states[start - 1][0] if start else 0.0
-        best = None
-        for n in self.lengths.get(word[max(0, end - 2) : end], ()):
-            piece = word[end - n : end] if n <= end else ""
-            if piece in self.scores:
-                score = before(end - n) + self.scores[piece]
-                if best is None or score > best[0]:
-                    best = score, piece
-        score = before(end - 1) + self.scores.get(word[end - 1], self.unknown)
-        return (score, word[end - 1]) if best is None or score > best[0] else best
-
-    def _last(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
+        char = word[end - 1]
+        best, piece, second = before(end - 1) + self.scores.get(char, self.unknown), char, -np.inf
+        for n in reversed(self.lengths.get(word[max(0, end - 2) : end], ())):
+            part = word[end - n : end] if n <= end else ""
+            if part in self.scores:
+                score = before(end - n) + self.scores[part]
+                if score >= best:
+                    best, piece, second = score, part, best
+                else:
+                    second = max(second, score)
+        start = end - len(piece)
+        return best, piece, min(best - second, states[start - 1][2] if start else np.inf)
+
+    def _last(self, word: str, end: int, states: list[tuple[float, str, float]]) -> tuple[float, str, float]:
         """The step for merges by rank, which has no score."""
         for n in self.lengths.get(word[max(0, end - 2) : end], ()):
             if n <= end:
                 start = end - n
                 piece = word[start:end]
                 if piece in self.rank and self.stands(piece) and (not start or self.follows(states[start - 1][1], piece)):
-                    return 0.0, piece
-        return 0.0, word[end - 1]
+                    return 0.0, piece, np.inf
+        return 0.0, word[end - 1], np.inf
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a document's ids."""
@@ -175,7 +211,25 @@ class WordEncoder(ChunkEncoder):
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
     def _odd(self, texts: pa.Array) -> np.ndarray:
-        return np.zeros(0, np.int64)
+        """Texts of a unigram model in which a word has two paths that rounding may reverse."""
+        if not self.pieces.unigram or not len(texts):
+            return np.zeros(0, np.int64)
+        words, starts, rows = self._cut(texts)
+        coded = words.dictionary_encode()
+        each = [w.replace(" ", MARK) for w in coded.dictionary.to_pylist()]
+        if len(self.pieces.sums) + len(each) > REMEMBERED:
+            self.pieces.sums.clear()
+            self.pieces.margins.clear()
+        self.pieces.encode([w for w in each if w not in self.pieces.sums])
+        at = np.asarray(coded.indices)
+        scores = np.abs(np.array([self.pieces.sums[w] for w in each]))[at] if each else np.zeros(0)
+        margins = np.array([self.pieces.margins[w] for w in each])[at] if each else np.zeros(0)
+        text = np.searchsorted(rows, starts, side="right") - 1
+        total = np.bincount(text, scores, len(texts))
+        return np.unique(text[margins <= total[text] * ROUNDING])
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.pieces.whole((" " + t).replace(" ", MARK)), np.uint32) for t in texts]
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")

@@ -311,12 +311,13 @@ def disclosed(rows):
     import re
     from collections import defaultdict
 
-    texts, holds = {t for _, t in rows}, defaultdict(set)
+    texts, holds = {t for _, t in rows}, defaultdict(dict)
     for t in texts:
         for m in cases.EMAIL.finditer(t):
             around = f"{t[: m.start()][-60:]} {t[m.end() :][:60]}"
             for e in (f"0:{m.group().lower()}", f"0/{m.group().lower().split('@')[-1]}"):
-                holds[e].add((t, around))
+                holds[e][t] = min(holds[e].get(t, around), around)
+    holds = {e: set(of.items()) for e, of in holds.items()}
     terms = {t: set(re.findall(r"[^\W\d_]{3,}", cases.EMAIL.sub(" ", t).lower())) for t in texts}
     out = defaultdict(dict)
     for e, held in holds.items():
@@ -350,6 +351,16 @@ def test_ratios_equal_brute_force(spark):
     assert out == want and len(want) > 5
 
 
+def test_one_text_is_no_evidence(spark):
+    """A document that names an address many times keeps its words, and so do two."""
+    own = [" ".join(f"{'qwx'[d]}own{letters(k)}" for k in range(60)) for d in range(3)]
+    rows = [(1, f"x a@b.example y {own[0]} a@b.example z a@b.example w a@b.example"), (2, f"c@d.example {own[1]} here c@d.example"), (3, f"c@d.example {own[1]} there and c@d.example")]
+    rows += [(100 + k, f"plain words of number {letters(k)} and no address") for k in range(80)]
+    out = {r["doc_id"]: r["text"] for r in pii.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        assert out[k] == cases.EMAIL.sub("<EMAIL>", t)
+
+
 def test_terms_that_disclose_what_single_entities_share(spark):
     """Each email occurs once; the term is far from it and stays where no email of the domain is."""
     far = "plain words here and more of them until the text is long enough to be far away from it"
