@@ -70,10 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs, "stage-" + name.replace(" ", "-"))
-    return docs
+    """All stages over the documents table. A stage's table goes once the next one's is written; the last serves the result."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        scratch.drop(*held)
+        held = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
