@@ -105,8 +105,8 @@ def kind_of(address: Column) -> Column:
 
 def code_of(address: Column) -> Column:
     """The one-letter code of an address's kind."""
-    kind = kind_of(address)
-    return F.when(kind == "ipv4", CODES["ipv4"]).when(kind == "mac", CODES["mac"]).otherwise(CODES["ipv6"])
+    other = F.when(is_mac(address), CODES["mac"]).otherwise(CODES["ipv6"])
+    return F.when(F.contains(address, F.lit(":")), other).otherwise(F.lit(CODES["ipv4"]))
 
 
 def hardware_of(text: Column, dialect: str) -> Column:

@@ -47,6 +47,39 @@ def postings(occ: DataFrame, per_file: bool = True, bucket_lines: int = BUCKET_L
     return out.select(*keys, kind_of(F.col("address")).alias("kind"), "bucket", "n", "locations")
 
 
+def split_postings(rows: DataFrame, dialect: str = "ref", bucket_lines: int = BUCKET_LINES) -> DataFrame:
+    """file, block, bucket, address, n, lines, first and locations of lines of lines.read_splits, in one pass over them.
+
+    Locations hold a line's mid, not its number. A row without an address stands for the lines without any, so the rows of
+    a split together count its lines (lines) and tell where it begins (first): splits_of makes the numbers' table of them,
+    and with_numbers puts the numbers in. A split's rows come from one task, so its sums are complete before the shuffle.
+    """
+    every = rows.select("file", "block", "mid", F.posexplode_outer(found("text", dialect)).alias("pos", "address"))
+    bucket = F.floor(F.col("mid") / bucket_lines).cast("long").alias("bucket")
+    place = F.when(F.col("address").isNotNull(), F.struct(F.col("mid").alias("line"), (F.col("pos") + 1).alias("field")))
+    # Each line counts by its first address, or by the row that it has without one.
+    return every.groupBy("file", "block", bucket, "address").agg(
+        F.count("address").alias("n"),
+        F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("lines"),
+        F.min("mid").alias("first"),
+        F.sort_array(F.collect_list(place)).alias("locations"),
+    )
+
+
+def splits_of(stored: DataFrame) -> DataFrame:
+    """file, block, first, lines and base, the lines before the split, of what split_postings gave; no log is read."""
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored.groupBy("file", "block").agg(F.sum("lines").alias("lines"), F.min("first").alias("first"))
+    return sums.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+
+
+def with_numbers(stored: DataFrame, splits: DataFrame) -> DataFrame:
+    """file, address, kind, bucket, n and locations by line number, from split_postings and splits_of."""
+    held = stored.filter("address is not null").join(splits.select("file", "block", F.col("first").alias("_first"), "base"), ["file", "block"])
+    moved = lambda x: F.struct((x["line"] - F.col("_first") + F.col("base") + 1).alias("line"), x["field"].alias("field"))
+    return held.select("file", "address", kind_of(F.col("address")).alias("kind"), "bucket", "n", F.transform("locations", moved).alias("locations"))
+
+
 def build_index(occ: DataFrame, per_file: bool = True, record_lines: int = RECORD_LINES) -> DataFrame:
     """[file,] address, kind, part, n, total and locations of occurrences: the records of the text form.
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
+from ..sources.lines import read_lines
 from .index import occurrences
 
 #: Rows up to which terms or hits are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Files up to which retrieval names those that it reads; with hits in more, all files of the log are read.
+NAMED_FILES = 10_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -55,6 +60,21 @@ def retrieve(lines: DataFrame, found: DataFrame, distinct: bool = False) -> Data
     return lines.join(small(shared.save(places, "hits")), ["file", "line_no"])
 
 
+def retrieve_files(spark: SparkSession, paths: str | Sequence[str], found: DataFrame, distinct: bool = False) -> DataFrame:
+    """What retrieve gives, from the files at paths that hits point at; the others are not opened.
+
+    found: file (as a scan names it), term, line and field. The hits are looked up once, and the files among them are named
+    to the scan while they are few.
+    """
+    held = shared.save(found.select("file", "term", "line", "field"), "hits")
+    names = [r["file"] for r in held.select("file").distinct().limit(NAMED_FILES + 1).collect()]
+    if not names:
+        return spark.createDataFrame([], "file string, line_no long, text string" + ("" if distinct else ", term string, field int"))
+    places = held.withColumnRenamed("line", "line_no")
+    places = places.select("file", "line_no").distinct() if distinct else places
+    return read_lines(spark, names if len(names) <= NAMED_FILES else paths).join(small(places), ["file", "line_no"])
+
+
 def scan(lines: DataFrame, terms: DataFrame, dialect: str = "ref") -> DataFrame:
     """file, line_no, text, term and field of every place of the terms in lines that have no index: one pass over them."""
     found = occurrences(lines, dialect, keep=["text"]).join(wanted(terms), "address", "left_semi")

@@ -33,6 +33,19 @@ def distinct_addresses(occ: DataFrame, approximate: bool = False) -> DataFrame:
     return occ.select("address").distinct().agg(F.count(F.lit(1)).alias("addresses"))
 
 
+def sketches(occ: DataFrame, *keys: str, precision: int = 12) -> DataFrame:
+    """keys and sketch: what tells about how many different addresses each has, in a few KB whatever their number.
+
+    Stored by file or hour, sketches are united later (united) without the log or the addresses.
+    """
+    return occ.groupBy(*keys).agg(F.hll_sketch_agg("address", precision).alias("sketch"))
+
+
+def united(stored: DataFrame, *keys: str) -> DataFrame:
+    """keys and addresses, the estimate of the different addresses in all sketches that share them."""
+    return stored.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("addresses"))
+
+
 def line_lengths(lines: DataFrame, *keys: str) -> DataFrame:
     """Lines and the least, greatest and mean number of bytes in one."""
     size = F.octet_length("text")

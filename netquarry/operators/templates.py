@@ -10,7 +10,8 @@ from .search import small
 
 
 def with_template(lines: DataFrame, dialect: str = "ref") -> DataFrame:
-    return lines.withColumn("template", template(found("text", dialect)))
+    # Never null, or a join on it would put a filter that repeats the extraction below itself.
+    return lines.withColumn("template", F.coalesce(template(found("text", dialect)), F.lit("")))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

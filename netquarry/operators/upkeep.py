@@ -1,10 +1,20 @@
-"""Stored indexes that change: addresses taken out, files indexed anew."""
+"""Stored indexes that change: addresses taken out, files indexed anew, logs that grow by files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
-from .search import small, wanted
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import shared
+from ..sources.lines import file_sizes, read_splits
+from ..sources.store import write_split_index
+from .index import split_postings, with_numbers
+from .search import NAMED_FILES, small, wanted
+
+#: Bytes that the list of files has for one that is gone.
+GONE = -1
 
 
 def without(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -19,3 +29,50 @@ def replaced(index: DataFrame, newer: DataFrame) -> DataFrame:
     so nothing is aggregated or moved again. Write the result to a new place: the old one is read while it is made.
     """
     return index.join(small(newer.select("file").distinct()), "file", "left_anti").unionByName(newer)
+
+
+def live_files(spark: SparkSession, place: str) -> DataFrame:
+    """file, run and bytes of the files that a growing index holds: what the last run that names a file says of it."""
+    every = spark.read.parquet(f"{place}/run=*/files").withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "run=([0-9]+)", 1).cast("int"))
+    last = every.groupBy("file").agg(F.max_by(F.struct("run", "bytes"), "run").alias("x"))
+    return last.select("file", "x.run", "x.bytes").filter(F.col("bytes") != GONE)
+
+
+def refresh(spark: SparkSession, place: str, paths: str | Sequence[str], dialect: str = "ref") -> int:
+    """Bring the index at place up to date with the files at paths; return how many files were read for it.
+
+    Each call is a run, which reads the files that are new or whose size is another than the run before them found, and
+    writes their postings and the list of what changed. Nothing else is read or written again, so a run costs what was
+    added, and one that fails midway is repeated under the same number: its list, written last, is what makes it count.
+    """
+    known = shared.exists(spark, f"{place}/run=0")
+    runs = 0
+    while shared.exists(spark, f"{place}/run={runs}/files/_SUCCESS"):
+        runs += 1
+    now = file_sizes(spark, paths)
+    held = live_files(spark, place).select("file", "bytes") if known and runs else spark.createDataFrame([], now.schema)
+    changed = now.join(held, ["file", "bytes"], "left_anti")
+    gone = held.join(now.select("file"), "file", "left_anti").select("file", F.lit(GONE).cast("long").alias("bytes"))
+    todo = shared.save(changed.unionByName(gone), "changed")
+    read = todo.filter(F.col("bytes") > 0)
+    names = [r["file"] for r in read.select("file").limit(NAMED_FILES + 1).collect()]
+    if not names and todo.isEmpty():
+        return 0
+    here = f"{place}/run={runs}"
+    if len(names) > NAMED_FILES:
+        rows = read_splits(spark, paths).join(small(read.select("file")), "file", "left_semi")
+    else:
+        rows = read_splits(spark, names) if names else None
+    if rows is not None:
+        write_split_index(split_postings(rows, dialect), here, "overwrite")
+    todo.write.mode("overwrite").parquet(f"{here}/files")
+    return read.count()
+
+
+def read_grown(spark: SparkSession, place: str) -> DataFrame:
+    """file, address, kind, bucket, n and locations of a growing index: of each file what its last run has found."""
+    run = F.regexp_extract(F.col("_metadata.file_path"), "run=([0-9]+)", 1).cast("int").alias("run")
+    live = small(shared.save(live_files(spark, place).select("file", "run"), "live"))
+    splits = spark.read.parquet(f"{place}/run=*/splits").select("*", run).join(live, ["file", "run"], "left_semi")
+    places = spark.read.parquet(f"{place}/run=*/places").select("*", run).join(live, ["file", "run"], "left_semi")
+    return with_numbers(places.drop("run"), small(shared.save(splits.drop("run"), "live-splits")))

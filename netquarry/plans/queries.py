@@ -11,7 +11,7 @@ from ..functions import netmath
 from .. import shared
 from ..functions.addresses import field, found
 from ..operators import index as ix
-from ..operators import search, stats, templates, upkeep
+from ..operators import networks, search, stats, templates, upkeep
 from ..sources import lines as src
 from ..sources import store, terms
 from ..streaming import live
@@ -140,51 +140,124 @@ def search_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.scan(synthetic(spark, sf_dir), terms.argument_terms(spark, TERMS))
 
 
-def _written_log(spark: SparkSession, sf_dir: str, **options: str) -> str:
-    """Where the synthetic log is as a text file."""
-    place = shared.new_path(spark, "log")
-    ordered = synthetic(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
-    ordered.select("text").write.options(lineSep="\n", **options).text(place)
+#: Files of the synthetic log; lines go to them in turn.
+LOG_FILES = 16
+
+
+def _written_log(spark: SparkSession, sf_dir: str, place: str | None = None, where: str = "true", mode: str = "error", **options: str) -> str:
+    """Where the synthetic log is as text files, each written by the task that has its lines. where: of line_no and part."""
+    place = place or shared.new_path(spark, "log")
+    rows = synthetic(spark, sf_dir).withColumn("part", ((F.col("line_no") - 1) % LOG_FILES).cast("int")).filter(where)
+    ordered = rows.repartition(LOG_FILES, "part").sortWithinPartitions("part", "line_no")
+    ordered.select("text", "part").write.mode(mode).options(lineSep="\n", **options).partitionBy("part").text(place)
     return place
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """df with the log's own names of its files."""
+    return df.withColumn("file", F.concat(F.lit("synthetic-"), F.regexp_extract("file", "part=([0-9]+)", 1), F.lit(".log")))
+
+
 def _log_file(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
-    """The synthetic log as a text file, read again with the numbers of its lines."""
-    return src.read_lines(spark, _written_log(spark, sf_dir, **options)).withColumn("file", F.lit("synthetic.log"))
+    """The synthetic log as text files, read again with the numbers of their lines."""
+    return _named(src.read_lines(spark, _written_log(spark, sf_dir, **options)))
 
 
 def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a text file with their numbers."""
-    return _log_file(spark, sf_dir).select("line_no", "text")
+    """The lines of text files with their numbers."""
+    return _log_file(spark, sf_dir)
 
 
 def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of a text file, by its listing."""
-    return src.file_sizes(spark, _written_log(spark, sf_dir)).agg(F.sum("bytes").alias("bytes"))
+    """The sizes of text files, by their listing."""
+    return _named(src.file_sizes(spark, _written_log(spark, sf_dir)))
 
 
 def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of a text file."""
+    """The index of text files."""
     return _index(ix.occurrences(_log_file(spark, sf_dir)), "file").select("file", "record")
 
 
 def file_index_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of a compressed file, which can't be split."""
+    """The index of compressed files, which can't be split."""
     return _index(ix.occurrences(_log_file(spark, sf_dir, compression="gzip")), "file").select("file", "record")
 
 
 def file_index_bzip2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of a compressed file that can be split."""
+    """The index of compressed files that can be split."""
     return _index(ix.occurrences(_log_file(spark, sf_dir, compression="bzip2")), "file").select("file", "record")
 
 
+def _split_index(spark: SparkSession, log: str) -> str:
+    """Where the index of text files is that was made in one scan of them."""
+    place = shared.new_path(spark, "split-index")
+    store.write_split_index(ix.split_postings(src.read_splits(spark, log)), place)
+    return place
+
+
+def file_index_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of text files from an index whose lines got their numbers after the one scan that made it."""
+    index = _named(store.read_split_index(spark, _split_index(spark, _written_log(spark, sf_dir))))
+    return index.select("file", "address", "kind", F.explode("locations").alias("x")).select("file", "address", "kind", "x.line", "x.field")
+
+
+def file_retrieve_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with two addresses, from the files that hold them."""
+    log = _written_log(spark, sf_dir)
+    index = store.read_split_index(spark, _split_index(spark, log))
+    wanted = terms.argument_terms(spark, PRUNED_TERMS)
+    return _named(search.retrieve_files(spark, log, search.hits(index, wanted)))
+
+
+#: MAC addresses, of each of which all lines are in one file, since their last byte is the line's number modulo 256.
+PRUNED_TERMS = "02:00:00:00:00:03,02:00:00:00:00:25"
+
+
+def growing_log_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a log to which files were added, one of which changed and one of which went."""
+    log, place = shared.new_path(spark, "growing"), shared.new_path(spark, "growing-index")
+    _written_log(spark, sf_dir, log, f"part < 12 AND line_no % 5 > 0 OR part = {LOG_FILES - 1}")
+    upkeep.refresh(spark, place, log)
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    _written_log(spark, sf_dir, log, f"part BETWEEN 12 AND {LOG_FILES - 2}", "append")
+    upkeep.refresh(spark, place, log)
+    _written_log(spark, sf_dir, log, f"part < 12 OR part = {LOG_FILES - 1} AND line_no % {2 * LOG_FILES} = 0", "overwrite", **dynamic)
+    upkeep.refresh(spark, place, log)
+    return _named(upkeep.read_grown(spark, place)).groupBy("file", "address", "kind").agg(F.sum("n").alias("n"))
+
+
+def network_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address with the most specific of many overlapping networks that the events make up."""
+    index = ix.counts(ix.occurrences(synthetic(spark, sf_dir), kinds=["ipv4", "ipv6"]))
+    events = table(spark, sf_dir, "events")
+    listed = events.select(F.expr(NETWORK_V4).alias("network")).unionByName(events.select(F.expr(NETWORK_V6).alias("network")))
+    return networks.most_specific(index, listed)
+
+
+NETWORK_V4 = "concat('10.', user_id % 4, '.', event_id % 16, '.', event_id % 8, '/', 8 + event_id % 23)"
+NETWORK_V6 = "concat('2001:db8::', lower(hex(user_id)), '/', 112 + event_id % 16)"
+
+
+def united_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimates of distinct addresses by file, and of all files united, are within 6 % of the exact numbers."""
+    found_ = _named(ix.occurrences(src.read_lines(spark, _written_log(spark, sf_dir))))
+    counts = shared.save(ix.counts(found_, "file", "address"), "file-counts")
+    stored = shared.save(stats.sketches(found_, "file"), "sketches")
+    estimates = stats.united(stored, "file").unionByName(stats.united(stored.withColumn("file", F.lit("all")), "file"))
+    exact = counts.groupBy("file").agg(F.count(F.lit(1)).alias("exact"))
+    exact = exact.unionByName(counts.select("address").distinct().agg(F.lit("all").alias("file"), F.count(F.lit(1)).alias("exact")))
+    near = F.abs(F.col("addresses") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.06)
+    return exact.join(estimates, "file").select("file", "exact", near.alias("near"))
+
+
 def file_terms_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search by a file of terms, some of them twice, in a stored index, and the lines of a text file that it finds."""
+    """A search by a file of terms, some of them twice, in a stored index, and the lines of text files that it finds."""
     place = shared.new_path(spark, "terms")
     listed = table(spark, sf_dir, "events").select(F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") * 3))).alias("value"))
     listed.unionByName(spark.createDataFrame([("",), ("10.1.2.3",)], "value string")).write.text(place, lineSep="\n")
-    found_ = search.hits(_stored(spark, sf_dir), terms.file_terms(spark, place))
-    return search.retrieve(_log_file(spark, sf_dir), found_)
+    log = _written_log(spark, sf_dir)
+    found_ = search.hits(store.read_split_index(spark, _split_index(spark, log)), terms.file_terms(spark, place))
+    return _named(search.retrieve_files(spark, log, found_))
 
 
 def text_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,12 +305,11 @@ def ipv6_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of a log that arrives as files of a stream."""
     place = shared.new_path(spark, "stream-places")
-    ordered = synthetic(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
-    ordered.select("text").write.text(f"{place}/in", lineSep="\n")
+    _written_log(spark, sf_dir, f"{place}/in")
     run = live.write_postings(live.read_stream(spark, f"{place}/in"), f"{place}/out", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    rows = spark.read.parquet(f"{place}/out").select("address", "kind", F.explode("locations").alias("x"))
-    return rows.select("address", "kind", "x.line", "x.field")
+    rows = _named(spark.read.parquet(f"{place}/out")).select("file", "address", "kind", F.explode("locations").alias("x"))
+    return rows.select("file", "address", "kind", "x.line", "x.field")
 
 
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +459,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_index_bzip2": file_index_bzip2,
     "file_lines": file_lines,
     "file_bytes": file_bytes,
+    "file_index_one_scan": file_index_one_scan,
+    "file_retrieve_pruned": file_retrieve_pruned,
+    "growing_log_index": growing_log_index,
+    "network_table": network_table,
+    "united_sketches": united_sketches,
     "file_terms_search": file_terms_search,
     "text_index_search": text_index_search,
     "odd_forms_ref": odd_forms("ref"),
@@ -426,6 +503,23 @@ _PLACE = "file, line_no, CAST(field AS INTEGER) AS field, kind, address"
 _IPV6 = oracle.occurrences(_LOG, "'ipv6'")
 _V6_DIGITS = "concat('20010db8', repeat('0', 20), lpad(split_part(address, '::', 2), 4, '0'))"
 _FOUND_LINES = "SELECT l.file, l.line_no, l.text, h.term, h.field FROM {} AS l JOIN {} AS h ON l.file = h.file AND l.line_no = h.line"
+_FILES = f"""(SELECT concat('synthetic-', event_id % {LOG_FILES}, '.log') AS file, text,
+    row_number() OVER (PARTITION BY event_id % {LOG_FILES} ORDER BY event_id) AS line_no FROM (SELECT l.text, l.line_no - 1 AS event_id FROM {_LOG} AS l))"""
+_FILES_OCC = oracle.occurrences(_FILES)
+_LINE_OF = "SELECT file, address, kind, line_no AS line, CAST(field AS INTEGER) AS field FROM {} AS o"
+_HITS_OF = "(SELECT file, address AS term, line_no AS line, CAST(field AS INTEGER) AS field FROM {} AS o WHERE address IN ({}))"
+_HEX4 = "list_reduce(list_transform(string_split(lpad({}, 4, '0'), ''), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, b: a * 16 + b)"
+_NETWORKS = f"""
+    WITH n AS (SELECT DISTINCT network, split_part(network, '/', 1) AS address, CAST(split_part(network, '/', 2) AS INTEGER) AS bits
+        FROM (SELECT {NETWORK_V4} AS network FROM events UNION ALL SELECT {NETWORK_V6} FROM events)),
+    value AS (SELECT network, bits, contains(network, ':') AS six, CASE WHEN contains(network, ':') THEN {_HEX4.format("split_part(address, '::', 2)")}
+        ELSE list_reduce(list_transform(string_split(address, '.'), lambda o: CAST(o AS BIGINT)), lambda a, b: a * 256 + b) END AS v FROM n),
+    a AS (SELECT address, kind, count(*) AS n, contains(address, ':') AS six, any_value(CASE WHEN contains(address, ':') THEN {_HEX4.format("split_part(address, '::', 2)")}
+        ELSE list_reduce(list_transform(string_split(address, '.'), lambda o: CAST(o AS BIGINT)), lambda a, b: a * 256 + b) END) AS v
+        FROM {{}} AS o GROUP BY ALL),
+    met AS (SELECT a.address, a.kind, a.n, value.network, value.bits FROM a JOIN value ON a.six = value.six
+        AND (a.v >> CAST((CASE WHEN a.six THEN 128 ELSE 32 END) - value.bits AS BIGINT)) = (value.v >> CAST((CASE WHEN a.six THEN 128 ELSE 32 END) - value.bits AS BIGINT)))
+    SELECT address, kind, n, network FROM met QUALIFY row_number() OVER (PARTITION BY address ORDER BY bits DESC, network) = 1"""
 _FILE_TERMS = "(SELECT concat('2001:db8::', lower(hex(user_id * 3))) AS term FROM events UNION SELECT '10.1.2.3')"
 _IPV4 = oracle.occurrences(_LOG, "'ipv4'")
 _NUMBER = "list_reduce(list_transform(string_split(address, '.'), lambda o: CAST(o AS BIGINT)), lambda a, b: a * 256 + b)"
@@ -461,13 +555,20 @@ ORACLES: dict[str, str] = {
     "search_retrieve_lines": f"SELECT l.file, l.line_no, l.text, h.term, h.field FROM {_LOG} AS l JOIN {_HITS} AS h ON l.file = h.file AND l.line_no = h.line",
     "search_retrieve_distinct": f"SELECT l.file, l.line_no, l.text FROM {_LOG} AS l WHERE l.line_no IN (SELECT line FROM {_HITS} AS h)",
     "search_without_index": _FOUND_LINES.format(_LOG, _HITS),
-    "file_index": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
-    "file_index_gzip": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
-    "file_index_bzip2": f"SELECT file, record FROM ({oracle.index(_OCC, 'file')})",
-    "file_lines": f"SELECT line_no, text FROM {_LOG} AS l",
-    "file_bytes": f"SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM {_LOG} AS l",
+    "file_index": f"SELECT file, record FROM ({oracle.index(_FILES_OCC, 'file')})",
+    "file_index_gzip": f"SELECT file, record FROM ({oracle.index(_FILES_OCC, 'file')})",
+    "file_index_bzip2": f"SELECT file, record FROM ({oracle.index(_FILES_OCC, 'file')})",
+    "file_lines": f"SELECT file, line_no, text FROM {_FILES} AS l",
+    "file_bytes": f"SELECT file, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM {_FILES} AS l GROUP BY file",
+    "file_index_one_scan": _LINE_OF.format(_FILES_OCC),
+    "file_retrieve_pruned": _FOUND_LINES.format(_FILES, _HITS_OF.format(_FILES_OCC, ", ".join(f"'{t}'" for t in PRUNED_TERMS.split(",")))),
+    "growing_log_index": f"""SELECT file, address, kind, count(*) AS n FROM {_FILES_OCC} AS o
+        WHERE file <> 'synthetic-{LOG_FILES - 1}.log' OR line_no % 2 = 0 GROUP BY ALL""",
+    "network_table": _NETWORKS.format(oracle.occurrences(_LOG, "'ipv4', 'ipv6'")),
+    "united_sketches": f"""SELECT file, count(DISTINCT address) AS exact, true AS near FROM {_FILES_OCC} AS o GROUP BY file
+        UNION ALL SELECT 'all', count(DISTINCT address), true FROM {_FILES_OCC} AS o""",
     "file_terms_search": _FOUND_LINES.format(
-        _LOG, f"(SELECT file, address AS term, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o WHERE address IN (SELECT term FROM {_FILE_TERMS} AS t))"
+        _FILES, _HITS_OF.format(_FILES_OCC, f"SELECT term FROM {_FILE_TERMS} AS t")
     ),
     "text_index_search": f"SELECT term, CAST(count(*) AS BIGINT) AS occurrences FROM {_HITS} AS h GROUP BY term",
     "odd_forms_ref": f"SELECT {_PLACE} FROM {oracle.occurrences(_ODD)} AS o",
@@ -476,7 +577,7 @@ ORACLES: dict[str, str] = {
     "hardware_only": f"SELECT {_PLACE} FROM {oracle.occurrences(_ODD)} AS o WHERE kind <> 'ipv4'",
     "ipv6_network_search": f"SELECT * FROM ({_COUNTS.format(_IPV6)}) WHERE length(split_part(address, '::', 2)) <= 2",
     "ipv6_order": f"SELECT address, n, {_V6_DIGITS} AS digits FROM ({_COUNTS.format(_IPV6)})",
-    "stream_places": f"SELECT address, kind, line_no AS line, CAST(field AS INTEGER) AS field FROM {_OCC} AS o",
+    "stream_places": _LINE_OF.format(_FILES_OCC),
     "stream_windowed_counts": f"""SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H:%M:%S') AS start, address, kind, count(*) AS n
         FROM {_OCC} AS o JOIN events AS e ON o.line_no = e.event_id + 1 GROUP BY ALL""",
     "second_field": f"SELECT line_no, a[2].address AS address FROM (SELECT line_no, {oracle.found('text')} AS a FROM {_LOG} AS l)",

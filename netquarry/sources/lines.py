@@ -54,6 +54,17 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], splits: DataFram
     return spread(out, "line_no", rows.rdd.getNumPartitions())
 
 
+def read_splits(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file, block, mid and text of text files: lines that get their numbers later, from one scan.
+
+    block is where a line's split begins and mid counts up in it. Whoever counts the lines of each split while using them
+    (index.split_postings does) has what numbers need: a line's number is the lines of the splits before, and mid less the
+    least mid of its split, plus 1.
+    """
+    rows = _scan(spark, paths)
+    return spread(rows.select("file", "block", "mid", "text"), "mid", rows.rdd.getNumPartitions())
+
+
 def spread(df: DataFrame, key: str | None = None, parts: int | None = None) -> DataFrame:
     """df over all cores if it comes in a few parts, such as one small or unsplittable file; any other df as it is.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..operators.index import by_count
+from ..operators.index import by_count, splits_of, with_numbers
+from .lines import BROADCAST_SPLITS
 
 LOCATIONS = "array<struct<line:bigint,field:int>>"
 #: Addresses that the Bloom filter of a row group is made for.
@@ -60,3 +61,22 @@ def write_parquet(index: DataFrame, path: str, mode: str = "error") -> None:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_split_index(postings: DataFrame, path: str, mode: str = "error") -> None:
+    """Write what index.split_postings gives, and beside it the table of its splits, which is made of what was written."""
+    write_parquet(postings, f"{path}/places", mode)
+    splits_of(read_parquet(postings.sparkSession, f"{path}/places")).write.mode(mode).parquet(f"{path}/splits")
+
+
+def read_splits_of(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, first, lines and base of each split of a written index."""
+    return spark.read.parquet(f"{path}/splits")
+
+
+def read_split_index(spark: SparkSession, path: str) -> DataFrame:
+    """file, address, kind, bucket, n and locations of a written index, numbered while it is read."""
+    splits = read_splits_of(spark, path)
+    if splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    return with_numbers(read_parquet(spark, f"{path}/places"), splits)
