@@ -90,7 +90,7 @@ def run_index(spark: SparkSession, options: argparse.Namespace, refused: tuple[s
     read = lambda f: src.stream_lines(spark, sys.stdin) if f == "-" else src.read_lines(spark, f)
     for f in options.files if options.write or options.parquet else ():
         if options.parquet:
-            timed(read(f), lambda rows, f=f: store.write_parquet(ix.postings(ix.occurrences(rows)), local(f + SUFFIX + PARQUET), "overwrite"))
+            timed(src.read_splits(spark, local(f)), lambda rows, f=f: store.write_split_index(ix.split_postings(rows), local(f + SUFFIX + PARQUET), "overwrite"))
         if options.write:
             timed(read(f), lambda rows, f=f: store.write_text_file(ix.build_index(ix.occurrences(rows)), local(f + SUFFIX)))
     if options.write or options.parquet:
@@ -108,6 +108,13 @@ def run_index(spark: SparkSession, options: argparse.Namespace, refused: tuple[s
     return 0
 
 
+def read_index(spark: SparkSession, place: str) -> DataFrame:
+    """A log's index in any of its forms."""
+    if not place.endswith(PARQUET):
+        return store.read_text(spark, place)
+    return store.read_split_index(spark, place) if shared.exists(spark, f"{place}/places") else store.read_parquet(spark, place)
+
+
 def run_search(spark: SparkSession, options: argparse.Namespace, refused: tuple[str, ...] = REFUSED) -> int:
     words = list(options.words)
     if bad := next((f for f in (options.file, options.write) if f and not is_safe(f, refused)), None):
@@ -127,13 +134,13 @@ def run_search(spark: SparkSession, options: argparse.Namespace, refused: tuple[
             log.error("no index of %s, or the path is refused", f)
             status = 1
             continue
-        read = store.read_parquet if place.endswith(PARQUET) else store.read_text
-        index = read(spark, local(place)).withColumn("file", F.lit(f))
+        index = read_index(spark, local(place)).withColumn("file", F.lit(f))
         for row in search.quick(index, wanted).toLocalIterator():
             print(f"MATCH [{row['term']}] with {row['occurrences']} lines", file=sys.stderr)
         if not options.quick:
-            lines = src.read_lines(spark, f).withColumn("file", F.lit(f))
-            found.append(search.retrieve(lines, search.hits(index, wanted)))
+            hits = shared.save(search.hits(index, wanted), "hits")
+            if not hits.isEmpty():  # a log without a hit is not read
+                found.append(search.retrieve(src.read_lines(spark, local(f)).withColumn("file", F.lit(f)), hits))
     if found:
         every: DataFrame = found[0]
         for more in found[1:]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..sources.lines import read_lines
+from ..sources.lines import opened, read_lines
 from .index import occurrences
 
 #: Rows up to which terms or hits are broadcast; more are joined by a shuffle.
@@ -72,7 +72,7 @@ def retrieve_files(spark: SparkSession, paths: str | Sequence[str], found: DataF
         return spark.createDataFrame([], "file string, line_no long, text string" + ("" if distinct else ", term string, field int"))
     places = held.withColumnRenamed("line", "line_no")
     places = places.select("file", "line_no").distinct() if distinct else places
-    return read_lines(spark, names if len(names) <= NAMED_FILES else paths).join(small(places), ["file", "line_no"])
+    return read_lines(spark, opened(names) if len(names) <= NAMED_FILES else paths).join(small(places), ["file", "line_no"])
 
 
 def scan(lines: DataFrame, terms: DataFrame, dialect: str = "ref") -> DataFrame:

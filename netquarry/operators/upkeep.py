@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..sources.lines import file_sizes, read_splits
+from ..sources.lines import file_sizes, opened, read_splits
 from ..sources.store import write_split_index
 from .index import split_postings, with_numbers
 from .search import NAMED_FILES, small, wanted
@@ -62,7 +62,7 @@ def refresh(spark: SparkSession, place: str, paths: str | Sequence[str], dialect
     if len(names) > NAMED_FILES:
         rows = read_splits(spark, paths).join(small(read.select("file")), "file", "left_semi")
     else:
-        rows = read_splits(spark, names) if names else None
+        rows = read_splits(spark, opened(names)) if names else None
     if rows is not None:
         write_split_index(split_postings(rows, dialect), here, "overwrite")
     todo.write.mode("overwrite").parquet(f"{here}/files")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from itertools import batched
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,9 +78,14 @@ def spread(df: DataFrame, key: str | None = None, parts: int | None = None) -> D
 
 
 def file_sizes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file and bytes of files, without reading them."""
+    """file (as lines name it) and bytes of files, without reading them."""
     files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
-    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"))
+
+
+def opened(files: Iterable[str]) -> list[str]:
+    """Paths to open for files as lines name them, in which special characters are escaped."""
+    return [unquote(f) for f in files]
 
 
 def column_lines(df: DataFrame, text: Column | str, file: Column | str) -> DataFrame:

@@ -47,7 +47,7 @@ def write_postings(stream: DataFrame, path: str, checkpoint: str, dialect: str =
         if len(names) > files:
             raise ValueError(f"more than {files} files in a step; set maxFilesPerTrigger")
         if names:
-            lines = src.read_lines(batch.sparkSession, names)
+            lines = src.read_lines(batch.sparkSession, src.opened(names))
             ix.postings(ix.occurrences(lines, dialect)).write.mode("overwrite").parquet(f"{path}/step={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
