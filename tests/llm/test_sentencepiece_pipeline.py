@@ -130,4 +130,4 @@ def test_stages_bear_hard_and_no_rows(spark, sf, hard):
 
 def test_every_operator_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
