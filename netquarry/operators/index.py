@@ -68,9 +68,13 @@ def split_postings(rows: DataFrame, dialect: str = "ref", bucket_lines: int = BU
 
 def splits_of(stored: DataFrame) -> DataFrame:
     """file, block, first, lines and base, the lines before the split, of what split_postings gave; no log is read."""
+    return with_bases(stored.groupBy("file", "block").agg(F.sum("lines").alias("lines"), F.min("first").alias("first")))
+
+
+def with_bases(splits: DataFrame) -> DataFrame:
+    """Splits (file, block, first, lines) of one run or of several over parts of files, with base by all of them."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = stored.groupBy("file", "block").agg(F.sum("lines").alias("lines"), F.min("first").alias("first"))
-    return sums.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    return splits.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0)))
 
 
 def with_numbers(stored: DataFrame, splits: DataFrame) -> DataFrame:
