@@ -312,19 +312,6 @@ def stream_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "address", "kind", "x.line", "x.field")
 
 
-def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts in each hour of the synthetic log read as a stream with times."""
-    place = shared.new_path(spark, "stream-windows")
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    timed = events.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(SYNTHETIC_TEXT).alias("text"))
-    out = live.windowed_counts(timed, "ts", "10 minutes", "1 hour")
-    out = out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
-    write = out.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{place}/state")
-    write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/counts")).start().awaitTermination()
-    return spark.read.schema("start string, address string, kind string, n long").parquet(f"{place}/counts")
-
-
 def second_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second address of each line."""
     return synthetic(spark, sf_dir).select("line_no", field(found("text"), 2).alias("address"))
@@ -473,7 +460,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ipv6_network_search": ipv6_network_search,
     "ipv6_order": ipv6_order,
     "stream_places": stream_places,
-    "stream_windowed_counts": stream_windowed_counts,
     "second_field": second_field,
     "template_samples": template_samples,
     "index_without_terms": index_without_terms,
@@ -578,8 +564,6 @@ ORACLES: dict[str, str] = {
     "ipv6_network_search": f"SELECT * FROM ({_COUNTS.format(_IPV6)}) WHERE length(split_part(address, '::', 2)) <= 2",
     "ipv6_order": f"SELECT address, n, {_V6_DIGITS} AS digits FROM ({_COUNTS.format(_IPV6)})",
     "stream_places": _LINE_OF.format(_FILES_OCC),
-    "stream_windowed_counts": f"""SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H:%M:%S') AS start, address, kind, count(*) AS n
-        FROM {_OCC} AS o JOIN events AS e ON o.line_no = e.event_id + 1 GROUP BY ALL""",
     "second_field": f"SELECT line_no, a[2].address AS address FROM (SELECT line_no, {oracle.found('text')} AS a FROM {_LOG} AS l)",
     "template_samples": f"""SELECT DISTINCT array_to_string(list_transform({oracle.found('text')}, lambda x: '%' || x.code), '') AS template
         FROM (SELECT {SAMPLE_TEXT} AS text FROM events) AS l WHERE text NOT LIKE '#%'""",

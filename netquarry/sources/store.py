@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +53,19 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(spark.read.option("lineSep", "\n").text(path))
 
 
-def write_parquet(index: DataFrame, path: str, mode: str = "error") -> None:
+def write_parquet(index: DataFrame, path: str, mode: str = "error", order: Sequence[str] = ("address",)) -> None:
     """Write an index or its buckets where its aggregate has left them, sorted, with a Bloom filter of addresses for each
     row group, so that a lookup reads the row groups that hold its terms and building it moves places once."""
-    sorted_ = index.sortWithinPartitions("address")
+    sorted_ = index.sortWithinPartitions(*order)
     options = {"parquet.bloom.filter.enabled#address": "true", "parquet.bloom.filter.expected.ndv#address": str(FILTER_ADDRESSES)}
     sorted_.write.mode(mode).options(**options).parquet(path)
 
 
+def write_blocks(blocks: DataFrame, path: str, mode: str = "error") -> None:
+    """Write blocks of compressed places in order of address, file and line, so that statistics tell where lines are."""
+    write_parquet(blocks, path, mode, [c for c in ("address", "file", "first") if c in blocks.columns])
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from .. import shared
 from ..functions.addresses import addresses
 from ..operators import index as ix
+from ..operators.search import small
 from ..sources import lines as src
+from ..sources import store
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +38,46 @@ def windowed_counts(lines: DataFrame, time: str, late: str, width: str, dialect:
     return found.groupBy(F.window(time, width), "address", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "address", "kind", "n")
 
 
+def aged(lines: DataFrame, time: str, late: str, idle: str, dialect: str = "ref") -> DataFrame:
+    """address, kind, first_seen, last_seen and n of addresses that age out: not seen for longer than idle.
+
+    Use output mode append: a record comes once, when the watermark has passed its last time by idle, and its state is
+    dropped then. An address that is seen again later begins a new record. Rows later than late behind the newest are
+    dropped when their own record would have aged out. State is a row for each address that is not aged out, whatever
+    the log's length; with spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition set, which write_aged
+    does, a frequent address is merged before it is shuffled.
+    """
+    found = live_occurrences(lines.withWatermark(time, late), dialect, time)
+    spans = found.groupBy(F.session_window(time, idle).alias("span"), "address", "kind")
+    seen = F.min(time).alias("first_seen"), F.max(time).alias("last_seen")
+    return spans.agg(*seen, F.count(F.lit(1)).alias("n")).select("address", "kind", "first_seen", "last_seen", "n")
+
+
+def write_aged(records: DataFrame, path: str, checkpoint: str):
+    """A writer, to be started, that appends the records of aged as Parquet. It sets the local merge for the session."""
+    records.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    return records.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+
+
+def write_followed(stream: DataFrame, path: str, checkpoint: str, dialect: str = "ref"):
+    """A writer, to be started, of the postings of a stream of follow: a step writes a folder of path, again if it is repeated.
+
+    Each step indexes the lines that were added; numbers are put in by read_followed, which knows the lines of all steps.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        store.write_split_index(ix.split_postings(batch, dialect), f"{path}/step={number}", "overwrite")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def read_followed(spark: SparkSession, path: str) -> DataFrame:
+    """file, address, kind, bucket, n and locations of what write_followed wrote, with line numbers of whole files. For logs
+    that were cut meanwhile, read the steps since then: a file's lines are counted over all steps in path."""
+    splits = shared.save(ix.with_bases(spark.read.parquet(f"{path}/step=*/splits").drop("base")), "followed-splits")
+    return ix.with_numbers(spark.read.parquet(f"{path}/step=*/places"), small(splits))
+
+
 def write_postings(stream: DataFrame, path: str, checkpoint: str, dialect: str = "ref", files: int = 1000):
     """A writer, to be started, of the postings of files that arrive in a stream of read_stream, with their line numbers.
 

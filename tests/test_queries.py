@@ -8,11 +8,13 @@ import duckdb
 import pytest
 
 from netquarry.operators import templates
-from netquarry.plans.queries import ORACLES, QUERIES, synthetic
+from netquarry.plans import growth, queries
+from netquarry.plans.queries import synthetic
 from netquarry.streaming import live
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = Path(__file__).resolve().parent.parent
+QUERIES, ORACLES = queries.QUERIES | growth.QUERIES, queries.ORACLES | growth.ORACLES
 
 
 @pytest.fixture(scope="session")
