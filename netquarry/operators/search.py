@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..sources.lines import opened, read_lines
+from ..sources.lines import file_sizes, opened, read_lines
 from .index import occurrences
 
 #: Rows up to which terms or hits are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Files up to which retrieval names those that it reads; with hits in more, all files of the log are read.
 NAMED_FILES = 10_000
+#: Files that a search for first places begins with.
+FIRST_FILES = 64
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -75,6 +77,39 @@ def retrieve_files(spark: SparkSession, paths: str | Sequence[str], found: DataF
     return read_lines(spark, opened(names) if len(names) <= NAMED_FILES else paths).join(small(places), ["file", "line_no"])
 
 
+def first_places(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    terms: DataFrame,
+    files: int = FIRST_FILES,
+    dialect: str = "ref",
+    seen: Callable[[list[str]], None] | None = None,
+) -> DataFrame:
+    """term, file, line_no, field and text of the first place of each term in a log without an index, files by name.
+
+    Files are scanned in batches of their order, each twice as large as the one before, until no term is open, so a log that
+    has all terms in its first files is read no further; one that lacks a term is read once, in a number of steps that
+    grows with the logarithm of its files. seen: told the files of each batch.
+    """
+    listed = shared.save(file_sizes(spark, paths).filter(F.col("bytes") > 0).select("file"), "files")
+    open_ = shared.save(terms.select("term").distinct(), "open")
+    out = spark.createDataFrame([], "term string, file string, line_no long, field int, text string")
+    after = ""
+    while not open_.isEmpty():
+        batch = [r["file"] for r in listed.filter(F.col("file") > after).orderBy("file").limit(files).collect()]
+        if not batch:
+            break
+        if seen:
+            seen(batch)
+        place = F.struct("file", "line_no", "field", "text")
+        found = scan(read_lines(spark, opened(batch)), open_, dialect).groupBy("term").agg(F.min(place).alias("x"))
+        found = shared.save(found.select("term", "x.*"), "first")
+        out = out.unionByName(found)
+        open_ = shared.save(open_.join(found, "term", "left_anti"), "open")
+        after, files = batch[-1], min(2 * files, NAMED_FILES)
+    return out
+
+
 def scan(lines: DataFrame, terms: DataFrame, dialect: str = "ref") -> DataFrame:
     """file, line_no, text, term and field of every place of the terms in lines that have no index: one pass over them."""
     found = occurrences(lines, dialect, keep=["text"]).join(wanted(terms), "address", "left_semi")

@@ -46,6 +46,8 @@ def whole_lines(handle: pa.NativeFile, start: int, end: int, stop: int) -> Itera
             break
         at += len(piece)
         if b"\n" not in piece:
+            if inside and at >= end:  # the whole range lies inside a long line
+                return
             held.append(piece)
             continue
         *lines, rest = b"".join([*held, piece]).split(b"\n")
