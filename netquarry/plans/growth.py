@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import tokenizer
-from ..operators import compressed, upkeep
+from ..operators import compressed, search, upkeep
 from ..operators import index as ix
 from ..sources import follow, store, terms
 from ..streaming import live
-from . import oracle
+from . import oracle, queries
 from .queries import LOG_FILES, PRUNED_TERMS, SYNTHETIC_TEXT, odd, synthetic, table, text_lines
 from .queries import _FILES, _FILES_OCC, _LOG, _ODD, _DOCS, _OCC  # noqa: PLC2701
 
@@ -172,11 +172,20 @@ def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("file", "kind").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("different"))
 
 
+def first_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place of each term in a log without an index, whose files are read until no term is open."""
+    log = queries._written_log(spark, sf_dir)
+    return queries._named(search.first_places(spark, log, terms.argument_terms(spark, FIRST_TERMS), files=2))
+
+
+FIRST_TERMS = f"{RANGE_TERMS},2001:db8::1"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "appended_log_index": appended_log_index,
     "followed_log_places": followed_log_places,
     "stream_windowed_counts": stream_windowed_counts,
     "aged_addresses": aged_addresses,
+    "first_places": first_places,
     "compressed_postings": compressed_postings,
     "compressed_range_search": compressed_range_search,
     "general_templates": general_templates,
@@ -221,6 +230,9 @@ ORACLES: dict[str, str] = {
         SELECT *, sum(fresh) OVER (PARTITION BY address ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS record FROM (
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY address ORDER BY ts) <= INTERVAL {IDLE_MINUTES} MINUTE THEN 0 ELSE 1 END AS fresh FROM {_SEEN} AS s))
         GROUP BY address, kind, record HAVING max(ts) + INTERVAL {IDLE_MINUTES} MINUTE <= any_value(high) - INTERVAL 10 MINUTE""",
+    "first_places": f"""SELECT o.address AS term, o.file, o.line_no, CAST(o.field AS INTEGER) AS field, l.text FROM {_FILES_OCC} AS o
+        JOIN {_FILES} AS l ON o.file = l.file AND o.line_no = l.line_no WHERE o.address IN ({", ".join(f"'{t}'" for t in FIRST_TERMS.split(","))})
+        QUALIFY row_number() OVER (PARTITION BY o.address ORDER BY regexp_extract(o.file, '[0-9]+') || '/', o.line_no, o.field) = 1""",
     "compressed_postings": _PLACES.format(_BOTH),
     "compressed_range_search": f"""SELECT file, address AS term, line_no AS line, CAST(field AS INTEGER) AS field FROM {_BOTH} AS o
         WHERE address IN ({_IN}) AND line_no BETWEEN {RANGE_LINES[0]} AND {RANGE_LINES[1]}""",
