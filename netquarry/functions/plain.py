@@ -1,4 +1,4 @@
-"""The extraction rules in plain Python: a table function for SQL users, and what tests hold the Column form against.
+"""The extraction rules in plain Python: table functions for SQL users, and what tests hold the Column form against.
 
 Its patterns and limits are its own, so that a mistake in those of the Column form shows.
 """
@@ -8,8 +8,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 HEX = "0123456789abcdefABCDEF"
 RUN = re.compile("[0-9A-Fa-f:-]+")
@@ -96,6 +99,35 @@ class ExtractAddresses:
             yield kind, address, k
 
 
-def register(spark: SparkSession, name: str = "extract_addresses") -> None:
-    """Make the table function known to SQL. The Column form is the faster one; use this where only SQL text will do."""
+@arrow_udtf(returnType="file string, line_no bigint, kind string, address string, field int")
+class ExtractFromLines:
+    """The addresses of a table of lines (file, line_no, text; other columns are left out), a batch of rows at a time.
+
+    A null text has none; file and line_no are handed on as they are, null or not. Lines without a mark that an address
+    needs are put aside before any Python code sees them.
+    """
+
+    def eval(self, lines: pa.RecordBatch) -> Iterator[pa.Table]:
+        kept = pa.Table.from_batches([lines]).filter(pc.match_substring_regex(lines["text"], "[.:-]"))
+        found = [extract(text) for text in kept["text"].to_pylist()]
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        row = np.repeat(np.arange(len(found)), sizes)
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = {
+            "file": kept["file"].cast(pa.string()).take(row),
+            "line_no": kept["line_no"].cast(pa.int64()).take(row),
+            "kind": pa.array([kind for x in found for kind, _ in x], pa.string()),
+            "address": pa.array([address for x in found for _, address in x], pa.string()),
+            "field": pa.array(np.arange(len(row)) - first + 1, pa.int32()),
+        }
+        yield pa.table(columns)
+
+
+def register(spark: SparkSession, name: str = "extract_addresses", table_name: str = "extract_from_lines") -> None:
+    """Make the table functions known to SQL. The Column form is the faster one; use these where only SQL text will do.
+
+    name takes a text, for lateral joins; table_name takes a table, as in SELECT * FROM extract_from_lines(TABLE(lines)), and
+    moves batches instead of single rows. Spark allows no lateral join with the second.
+    """
     spark.udtf.register(name, ExtractAddresses)
+    spark.udtf.register(table_name, ExtractFromLines)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..functions import tokenizer
+from ..functions import plain, tokenizer
 from ..operators import compressed, search, upkeep
 from ..operators import index as ix
 from ..sources import follow, store, terms
@@ -180,6 +180,13 @@ def first_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FIRST_TERMS = f"{RANGE_TERMS},2001:db8::1"
 
+def table_function_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of documents and of the log by SQL text alone, with the batched table function."""
+    plain.register(spark)
+    every = text_lines(spark, sf_dir, "documents", "text", "doc_id").unionByName(synthetic(spark, sf_dir)).unionByName(odd(spark, sf_dir))
+    return spark.sql("SELECT file, address, kind, line_no AS line, field FROM extract_from_lines(TABLE(SELECT file, line_no, text FROM {every}))", every=every)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "appended_log_index": appended_log_index,
     "followed_log_places": followed_log_places,
@@ -190,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compressed_range_search": compressed_range_search,
     "general_templates": general_templates,
     "token_kinds": token_kinds,
+    "table_function_places": table_function_places,
 }
 
 _PLACES = "SELECT file, address, kind, line_no AS line, CAST(field AS INTEGER) AS field FROM {} AS o"
@@ -222,6 +230,7 @@ _TOKEN_LINES = f"(SELECT * FROM {_ODD} AS a UNION ALL SELECT * FROM {_LOG} AS b
 _KIND_LINES = f"(SELECT * FROM {_ODD} AS a UNION ALL SELECT * FROM {oracle.lines('documents', 'text', 'source')} AS c)"
 
 ORACLES: dict[str, str] = {
+    "table_function_places": _PLACES.format(oracle.occurrences(_TOKEN_LINES)),
     "appended_log_index": _PLACES.format(_FILES_OCC),
     "followed_log_places": _PLACES.format(_FILES_OCC),
     "stream_windowed_counts": f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, address, kind, count(*) AS n FROM {_SEEN} AS s

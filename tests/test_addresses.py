@@ -115,6 +115,20 @@ def test_table_function(spark):
     assert [tuple(r) for r in rows] == [("ipv4", "10.0.0.1", 1), ("ipv6", "fe80::1", 2)]
 
 
+def test_table_function_of_lines(spark):
+    """The batched function gives what the Column form gives, in as many tasks as the table has; nulls and extra columns are borne."""
+    register(spark)
+    rows = [("a", k, f"x {k % 256}.1.2.3 and ::{k % 7:x} 02:00:00:00:00:0{k % 10}" * (k % 4), k) for k in range(3000)]
+    rows += [("a", 3000, None, 1), ("a", 3001, "", 1), (None, None, "10.0.0.1", None), ("a", 3002, "10.0.0.1 " * 300, 1)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, text string, field long").repartition(4)
+    call = lambda df: spark.sql("SELECT * FROM extract_from_lines(TABLE(SELECT line_no, text, file, field FROM {df}))", df=df)
+    want = lines.select("file", "line_no", F.inline(addresses("text"))).select("file", "line_no", "kind", "address", "field")
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, call(lines).collect())) == sorted(map(key, want.collect()))
+    assert call(lines).rdd.getNumPartitions() == 4
+    assert call(lines.limit(0)).collect() == []
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("10.1.2.3",), ("255.255.255.255",), ("fe80::1",), (None,)], "a string")
     a = F.col("a")
