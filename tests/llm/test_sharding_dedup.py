@@ -32,6 +32,50 @@ def test_hard_hot_and_no_rows(spark, hard):
     assert sharding.assign(hard.limit(0), F.col("doc_id"), 8).count() == 0
 
 
+def walk(spark, keys, shards, spare=0.0):
+    """id -> shard and place by a plain walk: key after key, each to the first shard clockwise that has room.
+
+    keys: id, key and tie. Only the hashes come from Spark; a slot's keys are taken in the order of their parts and hashes.
+    """
+    hashed = keys.select("id", F.pmod(F.xxhash64("key"), F.lit(sharding.SLOTS)).alias("at"), F.xxhash64("key", "tie").alias("order")).collect()
+    numbers = spark.range(shards).select(F.col("id").cast("int").alias("s")).crossJoin(spark.range(sharding.VNODES).select(F.col("id").cast("int").alias("v")))
+    where = F.pmod(F.xxhash64(F.lit("vnode"), "s", "v"), F.lit(sharding.SLOTS))
+    points = sorted((r[0], r[1], r[2]) for r in numbers.select(where, F.xxhash64("s", "v"), "s").collect())
+    in_slot = {}
+    for r in hashed:
+        in_slot.setdefault(r["at"], []).append(r)
+    wishes = {}
+    for slot, rows in in_slot.items():
+        parts = max(sharding.PARTS, -(-len(rows) // sharding.PART_KEYS))
+        rows.sort(key=lambda r: (r["order"] % parts, r["order"]))
+        seen = dict.fromkeys(s for _, _, s in [p for p in points if p[0] >= slot] + [p for p in points if p[0] < slot])
+        wishes[slot] = list(seen)
+    n = len(hashed)
+    room = [-(-n * (1 + spare) // shards)] * shards if spare else [n // shards + (s < n % shards) for s in range(shards)]
+    load, out = [0] * shards, {}
+    for turn in range(shards):
+        for slot in sorted(in_slot):
+            shard = wishes[slot][turn]
+            while in_slot[slot] and load[shard] < room[shard]:
+                out[in_slot[slot].pop(0)["id"]] = shard, load[shard]
+                load[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize(("shards", "spare"), [(8, 0.0), (9, 0.0), (8, 0.25), (3, 0.1)])
+def test_shards_of_a_plain_ring(spark, shards, spare):
+    keys = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), F.col("id").alias("tie"))
+    out = sharding.assign(keys, F.col("key"), shards, tie=F.col("tie"), spare=spare).collect()
+    assert {r["id"]: (r["shard"], r["slot"]) for r in out} == walk(spark, keys, shards, spare)
+
+
+def test_query_equals_a_plain_ring(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    keys = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("key"), F.crc32(F.coalesce("text", F.lit(""))).alias("tie"))
+    out = queries.op1_sharding(spark, sf).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out} == walk(spark, keys, 8)
+
+
 def test_parts_of_a_hot_slot_change_nothing_but_places(spark, monkeypatch):
     """More parts rank a hot key's rows in more tasks; the slots of all shards stay gapless and the loads the same."""
     hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), "id")
