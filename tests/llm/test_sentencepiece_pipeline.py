@@ -1,12 +1,15 @@
+import itertools
 import random
 import struct
 import zlib
+from collections import Counter
 
 import cases
 import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+import tokenizers
 
 import corpus_pipeline
 from netquarry.llm import queries, scratch
@@ -111,8 +114,17 @@ def test_stages_one_by_one(spark, sf, documents):
     assert set(before) == set(after)
     for i, t in after.items():
         assert (t == before[i]) == (cases.personal(before[i]) == "") and cases.personal(t) == ""
-    packed = corpus_pipeline.sequences(spark, docs, sf).collect()
-    assert {r["doc_id"] for r in packed} == set(after)
+    packed = sorted(corpus_pipeline.sequences(spark, docs, sf).collect(), key=lambda r: (r["doc_id"], r["start"]))
+    tokenizer, got, room = tokenizers.Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json")), {}, {}
+    for r in packed:
+        ids = np.frombuffer(r["ids"], "<u2").tolist()
+        assert r["start"] == len(got.setdefault(r["doc_id"], [])) and r["length"] == len(ids)
+        got[r["doc_id"]] += ids
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in after.items()}
+    for pieces in room.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [0, *itertools.accumulate(n for _, n in pieces)][:-1] and sum(pieces[-1]) <= 4096
 
 
 def test_whole_run(spark, sf):
@@ -128,6 +140,21 @@ def test_stages_bear_hard_and_no_rows(spark, sf, hard):
         corpus_pipeline.sequences(spark, docs, sf).count()
 
 
+def test_each_stage_on_hard_rows(spark, sf, hard):
+    """Which of the null, empty, repeated and long rows each stage keeps, given all of them."""
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name: Counter((r["doc_id"], r["text"]) for r in stages[name](spark, hard, sf).collect())
+    given = Counter((r["doc_id"], r["text"]) for r in hard.collect())
+    wordless = {k: n for k, n in given.items() if not cases.words(k[1] or "")}
+    accepted, joined, cleaned = run("quality rules"), run("n-gram Jaccard join"), run("personal data")
+    assert all(given[k] == n and len(cases.words(k[1] or "")) >= 20 for k, n in accepted.items())
+    assert all(given[k] == n for k, n in joined.items()) and all(joined[k] == n for k, n in wordless.items())
+    lines = run("line dedup")
+    assert all(lines[k] == n for k, n in given.items() if k[1] is None)
+    assert Counter(k[0] for k in cleaned.elements()) == Counter(k[0] for k in given.elements())
+    assert all(cleaned[k] >= n for k, n in wordless.items())
+
+
 def test_every_operator_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
     assert numbers == set(range(1, 14))
