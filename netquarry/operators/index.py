@@ -12,7 +12,7 @@ from ..functions.addresses import addresses, found, kind_of
 #: Lines that a bucket of postings spans. An address in every line has this many places in a row, not all of them.
 BUCKET_LINES = 1 << 20
 #: Lines that a text record spans; an address in more has further records.
-RECORD_LINES = 1 << 24
+RECORD_LINES = 1 << 20
 
 
 def occurrences(

@@ -40,17 +40,22 @@ def _index(found: DataFrame, *keys: str) -> DataFrame:
     return store.format_records(ix.build_index(found, per_file="file" in keys)).select(*keys, "address", "kind", "n", "record")
 
 
+def _ordered(found: DataFrame) -> DataFrame:
+    """The index in the order of the text form, in which the records of one address stand together."""
+    return ix.by_count(store.format_records(ix.build_index(found, per_file=False))).select("address", "kind", "n", "record")
+
+
 def ipv4_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ix.occurrences(text_lines(spark, sf_dir, "documents", "text", "doc_id"), kinds=["ipv4"])
-    return ix.by_count(_index(found))
+    return _ordered(found)
 
 
 def ipv4_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.by_count(_index(ix.occurrences(text_lines(spark, sf_dir, "pages", "html", "page_id"), kinds=["ipv4"])))
+    return _ordered(ix.occurrences(text_lines(spark, sf_dir, "pages", "html", "page_id"), kinds=["ipv4"]))
 
 
 def synth_index(*kinds: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: ix.by_count(_index(ix.occurrences(synthetic(spark, sf_dir), kinds=kinds)))
+    return lambda spark, sf_dir: _ordered(ix.occurrences(synthetic(spark, sf_dir), kinds=kinds))
 
 
 def index_records_text(spark: SparkSession, sf_dir: str) -> DataFrame:
