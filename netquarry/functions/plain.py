@@ -124,7 +124,7 @@ class ExtractFromLines:
 
 
 def register(spark: SparkSession, name: str = "extract_addresses", table_name: str = "extract_from_lines") -> None:
-    """Make the table functions known to SQL. The Column form is the faster one; use these where only SQL text will do.
+    """Make the table functions known to SQL, for where only SQL text will do. The tasks' Python must find this package.
 
     name takes a text, for lateral joins; table_name takes a table, as in SELECT * FROM extract_from_lines(TABLE(lines)), and
     moves batches instead of single rows. Spark allows no lateral join with the second.
