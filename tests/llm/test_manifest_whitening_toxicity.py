@@ -226,3 +226,51 @@ def test_toxicity_of_hard_rows(spark, hard, monkeypatch):
     none = toxicity.score(docs, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5} and {r["threshold"] for r in none} == {toxicity.THRESHOLD}
     assert toxicity.score(docs.limit(0), labels).collect() == []
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """A word that only some of many labelled rows show, those of the largest hashes, and only in long texts besides."""
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 20)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 2500)
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) > int(0.85 * (1 << 32))
+    ids = spark.range(12_000).select(F.col("id").alias("doc_id"), (late & (F.col("id") % 2 == 0)).cast("int").alias("label"))
+    plain = F.concat(F.lit("plain words of number n"), F.col("doc_id").cast("string"))
+    long = F.concat(plain, F.when(F.col("doc_id") % 100 < 2, F.repeat(F.lit(" and more"), 40_000)).otherwise(F.lit("")))
+    docs = ids.select("doc_id", F.concat(long, F.when(F.col("label") == 1, F.lit(" zorbly end")).otherwise(F.lit(" other end"))).alias("text"), F.lit("en").alias("lang"))
+    rows = toxicity.labelled(docs, ids)
+    want = [r for r in ids.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    assert rows.count() == len(want) > 7500 and rows.filter("length(text) > 300000").count() == sum(r["doc_id"] % 100 < 2 for r in want)
+    assert rows.agg(F.sum("label")).first()[0] == sum(r["label"] for r in want)
+    short = docs.filter("length(text) < 1000")
+    out = toxicity.score(short, ids).join(ids, "doc_id").groupBy("label").agg(F.min("score").alias("a"), F.max("score").alias("b")).collect()
+    by = {r["label"]: r for r in out}
+    assert by[1]["a"] > 0.7 > by[0]["b"]
+    # How the documents are dealt to tasks changes no score.
+    few = short.filter("doc_id < 20")
+    model, other = (toxicity.train(toxicity.labelled(short.repartition(n), ids))[0] for n in (3, 5))
+    texts = pa.array([r["text"] for r in few.collect()], pa.large_string())
+    assert model.scores(texts).tolist() == other.scores(texts).tolist()
+
+
+def test_texts_with_a_piece_and_screened_rows(spark):
+    texts = ["one two one", "onetwo three", "", "two TWO", "threes three one"]
+    ids, of, offsets = toxicity.words(pa.array(texts, pa.large_string()))
+    want = np.zeros(toxicity.BUCKETS + 1, int)
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        for k in {int(i) for w in of[a:b] for i in ids[w]} - {toxicity.BUCKETS}:
+            want[k] += 1
+    assert toxicity.texts_with(pa.array(texts, pa.large_string())).tolist() == want.tolist() and want.max() == 2
+    docs = spark.range(-3000, 40_000).select(F.col("id").alias("doc_id"))
+    known = docs.filter("doc_id % 40 = 0")
+    left = {r["doc_id"] for r in toxicity.screened(docs, known, known.count()).collect()}
+    assert left >= {r["doc_id"] for r in known.collect()} and len(left) < 6000
+
+
+def test_calibration_by_counted_logits():
+    pick = np.random.default_rng(4)
+    logits = np.rint(pick.normal(0, 2, 500) * 8) / 8
+    y = (pick.random(500) < 1 / (1 + np.exp(-logits))).astype(float)
+    keys, n = np.unique(np.stack([logits, y], 1), axis=0, return_counts=True)
+    one = np.ones(500)
+    assert np.allclose(toxicity.platt(logits, y, one), toxicity.platt(keys[:, 0], keys[:, 1], n.astype(float)))
+    assert math.isclose(toxicity.best_cut(logits, y, one), toxicity.best_cut(keys[:, 0], keys[:, 1], n.astype(float)))
