@@ -1,4 +1,4 @@
-"""A join of many rows with a table of distinct keys, in which no task gets all rows of a frequent key."""
+"""A join of many rows with a table of distinct keys, in which no task gets all rows of a frequent key; rows that need no join."""
 
 from __future__ import annotations
 
@@ -23,3 +23,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     own = F.concat(F.lit("\x00"), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)).cast("string"))
     met = met.withColumn("_lookup", F.when(F.col("_hot") | F.col(key).isNull(), own).otherwise(F.col(key).cast("string"))).join(rest, "_lookup", "left")
     return met.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in values))
+
+
+def screened(rows: DataFrame, key: str, table: DataFrame, of: str, n: int, how: str = "left_semi") -> DataFrame:
+    """rows whose key may be among the n keys in column of of table, a saved one; with how "left_anti", the others, which surely are not.
+
+    A join of the former moves few rows. Sixteen bits or more for each key of table, at places given by hashes, are
+    broadcast, 4 KB of them in a row; of keys that are not there, a sixteenth may be.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << min(31, max(16, (16 * n).bit_length()))))
+    bits = table.groupBy(F.floor(slot(of) / 32768).alias("_block")).agg(F.bitmap_construct_agg(slot(of) % 32768).alias("_bits"))
+    at = slot(key) % 32768
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), (F.floor(slot(key) / 32768) == F.col("_block")) & (F.getbit(byte, (at % 8).cast("int")) == 1), how)

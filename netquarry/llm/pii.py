@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .lookup import lookup
+from .lookup import lookup, screened
 
 #: Base patterns, in the order of the kinds. The quantifiers don't give back, and an email or ip starts where its run of
 #: characters does or where the match before ended; both change no match, and keep long runs from being tried at each place.
@@ -119,10 +119,11 @@ def terms_in(context: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
 
 
-def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosures(found: DataFrame, docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """entity, n and terms (term and ratio) of every entity with terms that exceed GENERALISE. found: a saved table of _key and _base, the spans.
 
-    The counts cover all documents; n is the number of spans' documents with the entity.
+    The counts cover all documents; n is the number of spans' documents with the entity. texts: _key and _text of the
+    documents with spans, which spares a join of all texts.
     """
     text = F.coalesce("text", F.lit(""))
     spans = found.filter(F.size("_base") > 0).select("_key", F.explode("_base").alias("x"))
@@ -139,7 +140,8 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     of_text = lookup(holders.drop("n"), rated, "entity", "n").filter("n_e is not null")
     of_text = of_text.groupBy("th").agg(F.min("_key").alias("_key"), F.collect_set(F.struct("entity", "n_e", "context")).alias("_of"))
     of_text = scratch.save(of_text, "rated-texts")
-    held = docs.select(doc_key(text).alias("_key"), text.alias("_text")).join(small(of_text), "_key").dropDuplicates(["_key"])
+    texts = docs.select(doc_key(text).alias("_key"), text.alias("_text")) if texts is None else texts
+    held = texts.join(small(of_text), "_key").dropDuplicates(["_key"])
     pairs = held.select("_of", "th", F.explode(terms_in(prose(F.col("_text")))).alias("term")).select(F.explode("_of").alias("x"), "th", "term")
     # A text has an entity once and a term once, so rows are texts.
     pairs = pairs.groupBy("x.entity", "x.n_e", "term").agg(F.count(F.lit(1)).alias("n_te"), F.count_distinct("x.context").alias("contexts"))
@@ -148,12 +150,15 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
         return nothing(found)
     wanted = small(scratch.save(counted.select("term").distinct(), "terms"))
     # Each different text counts once: all rows but the copies of the first one of each text.
-    texts = docs.select("doc_id", F.xxhash64(text).alias("th"))
-    first = texts.groupBy("th").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    hashes = docs.select("doc_id", F.xxhash64(text).alias("th"))
+    first = hashes.groupBy("th").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     n_texts = first.count()
     again = scratch.save(first.filter("n > 1").select(F.col("th").alias("_th"), "first"), "copied-texts")
-    one = docs.select("doc_id", text.alias("_text"), F.xxhash64(text).alias("_h")).join(small(again), F.col("_h") == F.col("_th"), "left")
-    one = one.filter(F.col("_th").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
+    # Texts that surely have no copy stay where they are.
+    every, n_again = docs.select("doc_id", text.alias("_text"), F.xxhash64(text).alias("_h")), again.count()
+    one = screened(every, "_h", again, "_th", n_again).join(small(again), F.col("_h") == F.col("_th"), "left")
+    one = one.filter(F.col("_th").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("_text")
+    one = one.unionByName(screened(every, "_h", again, "_th", n_again, "left_anti").select("_text"))
     words = one.select(F.explode(terms_in(prose(F.col("_text")))).alias("term"))
     # Terms are counted before the join, which is an inner one so that it stays above the count.
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
@@ -190,12 +195,14 @@ def spanned(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     A null text counts as empty and has no span. Rows equal in doc_id and text get the same spans. Terms are letters only,
     found as whole words in any case; one that meets a base span is left to it. An empty table gives no row. The base
-    patterns run once over all texts and their spans are saved; terms are looked for in the documents that they concern.
+    patterns run once over all texts and their spans are saved, with the texts that have any: only those are joined later.
     """
     text = F.coalesce("text", F.lit(""))
     key = doc_key(text).alias("_key")
-    found = scratch.save(docs.select(*carry, key, base_spans(text).alias("_base")), "spans")
-    rules = scratch.save(disclosures(found, docs), "disclosures")
+    based = docs.select(*carry, key, base_spans(text).alias("_base"), text.alias("_text"))
+    found = scratch.save(based.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))), "spans")
+    texts, found = found.filter(F.size("_base") > 0).select("_key", "_text"), found.drop("_text")
+    rules = scratch.save(disclosures(found, docs, texts), "disclosures")
     if rules.isEmpty():
         return found.withColumn("_spans", F.col("_base")).drop("_key")
     every = F.array_distinct(F.flatten(F.transform("_base", entities_of)))
@@ -204,7 +211,7 @@ def spanned(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     # One document's terms make an array of its own size.
     per_doc = met.groupBy("_key", "t.term").agg(F.max("t.ratio").alias("ratio"))
     per_doc = per_doc.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("term", "ratio"))).alias("_terms"))
-    held = docs.select("doc_id", text.alias("_text"), key).join(small(scratch.save(per_doc, "doc-terms")), "_key")
+    held = texts.join(small(scratch.save(per_doc, "doc-terms")), "_key")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}])"))
     ratio = lambda v: F.element_at(F.filter("_terms", lambda t: t["term"] == F.lower(v)), 1)["ratio"]
     more = F.transform(matches(F.col("_text"), pattern, 4), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.coalesce(ratio(x["v"]), F.lit(GENERALISE)).cast("string").alias("v"), F.lit("").alias("c")))

@@ -381,3 +381,33 @@ def test_overlapping_spans_become_one(spark):
     df = spark.createDataFrame([(1, "x +4111 1111 1111 1111 y 1.2.3.4")], "doc_id long, text string")
     out = pii.clean(df).first()["text"]
     assert "1111" not in out and out.startswith("x ") and out.endswith("<IP>")
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_spans_are_not_shuffled(spark, monkeypatch):
+    """Tables too large to be broadcast meet the texts with spans alone, and give the same spans."""
+    pick = random.Random(9)
+    filler = lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") + pick.choice("0123456789") for _ in range(15_000))
+    rows = [(k, f"{a} contact Zorblax Quonk zq@mail.example for {b} details") for k, (a, b) in enumerate([("one", "new"), ("two", "old"), ("six", "big"), ("ten", "red")])]
+    rows += [(5, rows[1][1]), (1, rows[1][1]), (None, rows[2][1]), *((100 + k, filler()) for k in range(150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = lambda: sorted((str(r["doc_id"]), r["s"]) for r in pii.spanned(docs).select("doc_id", pii.listed(F.col("_spans")).alias("s")).collect())
+    want = spans()
+    assert sum("term:" in s for _, s in want) == 7
+    docs = spark.read.schema(docs.schema).parquet(scratch.save(docs, "docs")._scratch)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        assert spans() == want and shuffled(spark) - before < 1_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
