@@ -32,14 +32,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow, giving memory back to the system when a task ends; Spark keeps its Python workers."""
 
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
     return whole
 

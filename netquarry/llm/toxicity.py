@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .lookup import screened
 from .tokens import raw, slices
 from .words import mix
 
@@ -287,22 +288,25 @@ class Model:
     def dense(self) -> list[np.ndarray]:
         return [self.last, *self.filters, *self.biases]
 
-    def state(self, moments: dict) -> tuple[np.ndarray, np.ndarray]:
-        """The table with its past squares, a row each, and all other weights with theirs in rows as wide."""
+    def rest(self, moments: dict) -> np.ndarray:
+        """All weights but the table with their past squares, in rows of SIZE + 1."""
         names = ["last", *(f"f{k}" for k in range(len(WIDTHS))), *(f"b{k}" for k in range(len(WIDTHS)))]
         past = [moments.setdefault(name, np.full_like(x, PAST)) for name, x in zip(names, self.dense(), strict=True)]
-        square = moments.setdefault("table", np.full(len(self.table), PAST, np.float32))
         rest = np.concatenate([*(x.ravel() for x in (*self.dense(), *past)), [self.bias, moments.setdefault("bias", PAST)]])
-        rest = np.concatenate([rest, np.zeros(-len(rest) % (SIZE + 1))]).reshape(-1, SIZE + 1)
-        return np.concatenate([self.table, square[:, None]], 1), rest
+        return np.concatenate([rest, np.zeros(-len(rest) % (SIZE + 1))]).reshape(-1, SIZE + 1)
+
+    def state(self, moments: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The table with its past squares, a row each, and rest()."""
+        square = moments.setdefault("table", np.full(len(self.table), PAST, np.float32))
+        return np.concatenate([self.table, square[:, None]], 1), self.rest(moments)
 
     def move(self, moments: dict, rows: np.ndarray, changes: np.ndarray) -> None:
         """Add changes to rows of state()."""
-        table, rest = self.state(moments)
-        inner = rows < len(table)
+        rest, inner = self.rest(moments), rows < len(self.table)
         self.table[rows[inner]] += changes[inner, :SIZE]
-        moments["table"][rows[inner]] += changes[inner, SIZE]
-        rest[rows[~inner] - len(table)] += changes[~inner]
+        square = moments.setdefault("table", np.full(len(self.table), PAST, np.float32))
+        square[rows[inner]] += changes[inner, SIZE]
+        rest[rows[~inner] - len(self.table)] += changes[~inner]
         flat, a = rest.ravel(), 0
         names = ["last", *(f"f{k}" for k in range(len(WIDTHS))), *(f"b{k}" for k in range(len(WIDTHS)))]
         for x in (*self.dense(), *(moments[name] for name in names)):
@@ -378,18 +382,6 @@ def remainder(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 3
 
 
-def screened(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    """docs without most of those whose doc_id is not among the n of known, so that a join with it moves few texts.
-
-    Sixteen bits or more for each of known, at places given by hashes; they are broadcast, 4 KB of them in a row.
-    """
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << min(31, max(16, (16 * n).bit_length()))))
-    bits = known.groupBy(F.floor(slot / 32768).alias("_block")).agg(F.bitmap_construct_agg(slot % 32768).alias("_bits"))
-    at = slot % 32768
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return docs.join(F.broadcast(bits), (F.floor(slot / 32768) == F.col("_block")) & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
-
-
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A saved table of text, lang, label and held (whether the row calibrates): every row of docs with a label, none that is held out."""
     known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -398,7 +390,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     held = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")), F.lit(100)) < HELD
     slim = docs.select("doc_id", text.alias("text"), "lang").filter(remainder(F.col("doc_id")) != 1)
-    met = screened(slim, known, n).join(known, "doc_id").select("doc_id", "text", "lang", "label", held.alias("held"))
+    met = screened(slim, "doc_id", known, "doc_id", n).join(known, "doc_id").select("doc_id", "text", "lang", "label", held.alias("held"))
     dealt = met.repartition(max(1, -(-n // PART_ROWS)), "doc_id").sortWithinPartitions("doc_id", "text")
     out = scratch.save(dealt.drop("doc_id"), "labelled")
     scratch.drop(known)
@@ -463,6 +455,8 @@ def spread(model: Model, moments: dict, rows: DataFrame, epochs: int, number: in
     sums = changed.groupBy("place").agg(F.sum("n").alias("n"), *(F.sum(F.rint(F.col(c).cast("double") * F.col("n") * unit).cast("long")).alias(c) for c in names))
     got = sums.select("place", *((F.col(c) / (F.col("n") * unit)).cast("float").alias(c) for c in names)).toArrow()
     model.move(moments, np.asarray(got.column("place")), np.stack([np.asarray(got.column(c)) for c in names], 1))
+    del got
+    scratch.trim()
 
 
 def train(rows: DataFrame, seed: int = SEED) -> tuple[Model, dict[str, float]]:

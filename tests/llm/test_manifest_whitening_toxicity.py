@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry.llm import merkle, queries, toxicity, whitening
+from netquarry.llm.lookup import screened
 
 
 def h(*parts):
@@ -262,8 +263,9 @@ def test_texts_with_a_piece_and_screened_rows(spark):
     assert toxicity.texts_with(pa.array(texts, pa.large_string())).tolist() == want.tolist() and want.max() == 2
     docs = spark.range(-3000, 40_000).select(F.col("id").alias("doc_id"))
     known = docs.filter("doc_id % 40 = 0")
-    left = {r["doc_id"] for r in toxicity.screened(docs, known, known.count()).collect()}
+    left, others = ({r["doc_id"] for r in screened(docs, "doc_id", known, "doc_id", known.count(), how).collect()} for how in ("left_semi", "left_anti"))
     assert left >= {r["doc_id"] for r in known.collect()} and len(left) < 6000
+    assert not left & others and len(left) + len(others) == docs.count()
 
 
 def test_calibration_by_counted_logits():
