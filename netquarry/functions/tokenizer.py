@@ -2,11 +2,13 @@
 
 A token is a quoted text, a MAC, IPv6 or IPv4 address, or a maximal run of letters, digits, underscores and characters
 beyond ASCII. What an address is followed by without a gap belongs to it and makes it a string.
+
+These are columns, for any query; token_batches counts the same tokens of many lines with far less work for each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .addresses import OCTET, H
@@ -34,7 +36,8 @@ def kind_of_token(token: Column) -> Column:
     few = F.char_length(token) - F.char_length(F.replace(token, F.lit(":"), F.lit(""))) <= COLONS
     out: Column | None = None
     for kind, shape in SHAPES.items():
-        fits = F.rlike(token, F.lit(f"^(?:{shape})$"))
+        # Not a dollar sign, which also matches before a line separator at the end.
+        fits = F.rlike(token, F.lit(rf"^(?:{shape})\z"))
         out = (F if out is None else out).when(fits & few if kind == "ipv6" else fits, F.lit(kind))
     # An address with something behind it.
     return out.when((F.char_length(token) > 1) & ~F.startswith(token, F.lit('"')), F.lit("string"))
@@ -63,8 +66,3 @@ def line_template(text: Column | str) -> Column:
 
     every = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     return F.coalesce(F.array_join(F.transform(every, one), ""), F.lit(""))
-
-
-def template_counts(lines: DataFrame, text: str = "text") -> DataFrame:
-    """template and the number of lines that have it: partial counts before the shuffle, one row a template after it."""
-    return lines.groupBy(line_template(text).alias("template")).agg(F.count(F.lit(1)).alias("lines"))

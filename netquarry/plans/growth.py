@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..functions import plain, tokenizer
+from ..functions import plain, token_batches, tokenizer
 from ..operators import compressed, search, upkeep
 from ..operators import index as ix
 from ..sources import follow, store, terms
@@ -160,7 +160,7 @@ def _token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def general_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by their templates of all tokens."""
-    return tokenizer.template_counts(_token_lines(spark, sf_dir))
+    return token_batches.template_counts(_token_lines(spark, sf_dir))
 
 
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
