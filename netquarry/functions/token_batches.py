@@ -39,7 +39,7 @@ for _b in range(256):
     _word = _b >= 0x80 or _c.isalnum() or _c == "_"
     FLAGS[_b] = IS_WORD * _word | IS_RUN * (_word or _c in ":.-") | IS_X * (_c in "0123456789abcdefABCDEF") | IS_DIGIT * (_c in "0123456789") | IS_SIGN * (_c in ":.-")
 #: Bytes of the character that a byte begins.
-SIZE = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10)
+SIZE = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 8 + [1] * 8)
 
 TOKEN = re.compile("|".join([*(f"(?P<{k}>{SHAPES[k]}){WORD}*" for k in ("mac", "ipv6", "ipv4")), f"(?P<word>{WORD}+)"]).encode())
 HEX_WORD, INT_WORD = re.compile(f"(?:{SHAPES['hex']})".encode()), re.compile(f"(?:{SHAPES['int']})".encode())
@@ -204,3 +204,31 @@ def template_counts(lines: DataFrame, text: str = "text") -> DataFrame:
     """template and the number of lines that have it: partial counts before the shuffle, one row a template after it."""
     rows = lines.select(F.col(text).alias("text")).mapInArrow(_count_templates, "template string, lines long")
     return rows.groupBy("template").agg(F.sum("lines").alias("lines"))
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, kind, token and n of batches with file and text: counts by piece, to be added up."""
+    known: dict[bytes, list] = {}
+    for batch in batches:
+        for row, text, bounds in _pieces(batch["text"]):
+            start, end, kind = tokens(text, bounds, known)
+            quoted = kind == QUOTED
+            kind[quoted] = STRING
+            line = np.searchsorted(bounds, start, "right") - 1
+            files = batch["file"].slice(row, len(bounds) - 1).dictionary_encode("encode")
+            words = _spans(pa.string(), text, start + quoted, end - quoted).dictionary_encode()
+            # The same numbers for the same file, kind and token are counted in place of texts.
+            of_file, of_word = files.indices.to_numpy()[line], words.indices.to_numpy().astype(np.int64)
+            keys, n = pa.array((of_word * len(files.dictionary) + of_file) * len(KINDS) + kind).value_counts().flatten()
+            rest, kind = np.divmod(keys.to_numpy(), len(KINDS))
+            of_word, of_file = np.divmod(rest, len(files.dictionary))
+            parts = (files.dictionary, of_file), (pa.array(KINDS), kind), (words.dictionary, of_word)
+            yield pa.RecordBatch.from_arrays([*(a.take(pa.array(k)) for a, k in parts), n], names=["file", "kind", "token", "n"])
+
+
+def kind_counts(lines: DataFrame, text: str = "text") -> DataFrame:
+    """file, kind, tokens and different: the tokens of each kind in each file, and how many different ones there are."""
+    rows = lines.select("file", F.col(text).alias("text")).mapInArrow(_count_tokens, "file string, kind string, token string, n long")
+    # Each different token is one row before the kinds are counted.
+    each = rows.groupBy("file", "kind", "token").agg(F.sum("n").alias("n"))
+    return each.groupBy("file", "kind").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("different"))

@@ -166,10 +166,7 @@ def general_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each kind in each log, and how many different ones there are."""
     lines = odd(spark, sf_dir).unionByName(text_lines(spark, sf_dir, "documents", "text", "source"))
-    rows = lines.select("file", F.explode_outer(tokenizer.tokens("text")).alias("x")).filter(F.col("x").isNotNull())
-    # Each different token is one row before the kinds are counted.
-    each = rows.groupBy("file", "x.kind", "x.text").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("file", "kind").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("different"))
+    return token_batches.kind_counts(lines)
 
 
 def first_places(spark: SparkSession, sf_dir: str) -> DataFrame:

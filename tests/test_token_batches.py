@@ -53,6 +53,24 @@ def test_templates_handle_no_token_by_itself(spark, hard):
     assert "MapInArrow" in plan and "regexp_extract_all" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_kinds_of_hard_lines(spark, hard):
+    mine, other = both(spark, hard, "token_kinds")
+    assert mine == other and {r[0] for r in mine} == {None, "odd.log", "s0", "s1", "s2"}
+
+
+def test_tokens_are_counted_before_they_are_rows(spark, hard):
+    plan = growth.token_kinds(spark, hard)._jdf.queryExecution().executedPlan().toString()
+    # The lines of documents are the only rows that come of an array.
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan and plan.count("Generate ") == 1
+
+
+def test_tokens_of_a_text_that_is_no_utf8():
+    """Its bytes are kept as they are."""
+    bad = pa.Array.from_buffers(pa.string(), 1, [None, pa.array([0, 6], pa.int32()).buffers()[1], pa.py_buffer(b"\xff a\xc3 1")])
+    (got,) = token_batches._count_tokens(iter([pa.RecordBatch.from_arrays([pa.array(["f"]), bad], names=["file", "text"])]))
+    assert sorted(zip(got["token"].cast(pa.binary()).to_pylist(), got["kind"].to_pylist(), strict=True)) == [(b"1", "int"), (b"a\xc3", "string"), (b"\xff", "char")]
+
+
 @pytest.mark.parametrize("size", [1, 50, 1 << 20])
 def test_pieces_give_what_the_columns_give(spark, monkeypatch, size):
     """Whatever the size of pieces, on parts of arrays, with nulls and lines without text."""
